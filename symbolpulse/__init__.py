@@ -6,3 +6,10 @@ tables come out.  Every operator is a function over DataFrames, takes an
 explicit ``as_of`` where time matters and runs no action of its own unless its
 docstring says so.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the job; workers need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,21 +8,21 @@ rows per ticker are bounded by days.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .prices import BY_DAY
+from .prices import by_day
 
 BARS = ["open", "high", "low", "volume"]
 
 
-def _back(n: int) -> Window:
-    return BY_DAY.rowsBetween(-n, -1)
+def _back(n: int) -> WindowSpec:
+    return by_day().rowsBetween(-n, -1)
 
 
 def _prev(column: str, k: int = 1) -> Column:
-    return F.lag(column, k).over(BY_DAY)
+    return F.lag(column, k).over(by_day())
 
 
 def _over(agg: Column, column: str, n: int, least: int) -> Column:
@@ -87,7 +87,9 @@ def correlation_feature() -> dict[str, Column]:
         F.max(paired).over(frame) > F.min(paired).over(frame)
     )
     enough = F.count("_ret").over(frame) >= 3
-    return {"price_sentiment_corr7": F.when(enough & varies, F.corr("_ret", "sentiment").over(frame))}
+    spread = F.stddev_pop("_ret").over(frame) * F.stddev_pop(paired).over(frame)
+    pearson = F.try_divide(F.covar_pop("_ret", "sentiment").over(frame), spread)
+    return {"price_sentiment_corr7": F.when(enough & varies, pearson)}
 
 
 def volume_features() -> dict[str, Column]:
@@ -160,7 +162,7 @@ def with_steps(frame: DataFrame) -> DataFrame:
 
 def labels() -> dict[str, Column]:
     """Does the close rise to the next row, and by how much (WIN12)."""
-    following = F.lead("close").over(BY_DAY)
+    following = F.lead("close").over(by_day())
     return {
         "y": (following > F.col("close")).cast("double"),
         "actual_return": F.try_divide(following, F.col("close")) - 1,
@@ -169,7 +171,7 @@ def labels() -> dict[str, Column]:
 
 def fill_forward(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Last known value of each feature, 0 before the first (WIN11)."""
-    so_far = BY_DAY.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = by_day().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.lit(0.0))
     return frame.withColumns({c: filled(c) for c in columns})
 

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.symbols import loose_symbol
 from .tables import first_per_key
 
-BY_DAY = Window.partitionBy("ticker").orderBy("date")
+
+def by_day() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("date")
 
 
 def fx_calendar(fx: DataFrame, pair: str = "EURUSD") -> DataFrame:
@@ -86,7 +88,7 @@ def forward_returns(posts: DataFrame, prices: DataFrame, horizons: Sequence[int]
         "ticker",
         "date",
         *[
-            F.try_divide(F.lead("close", h).over(BY_DAY) - F.col("close"), "close").alias(n)
+            F.try_divide(F.lead("close", h).over(by_day()) - F.col("close"), "close").alias(n)
             for h, n in zip(horizons, names)
         ],
     )
@@ -189,7 +191,7 @@ def daily_bars(ticks: DataFrame, *order: Column) -> DataFrame:
 
 def daily_changes(prices: DataFrame) -> DataFrame:
     """Change of the close against the row before (WIN14)."""
-    change = F.try_divide("close", F.lag("close").over(BY_DAY)) - 1
+    change = F.try_divide("close", F.lag("close").over(by_day())) - 1
     return prices.select("ticker", "date", "close", change.alias("return"))
 
 
@@ -201,8 +203,8 @@ def _average_rank(column: str) -> Column:
 
 def _correlation(x: str, y: str) -> Column:
     """Pearson correlation, NULL when a side does not vary."""
-    flat = (F.max(x) == F.min(x)) | (F.max(y) == F.min(y))
-    return F.when(~flat, F.corr(x, y))
+    varies = (F.max(x) > F.min(x)) & (F.max(y) > F.min(y))
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def return_sentiment_correlations(
