@@ -139,9 +139,16 @@ def with_macd(frame: DataFrame) -> DataFrame:
 
 def with_future_row(frame: DataFrame) -> DataFrame:
     """One extra row per ticker on the day after its last, without measures (WIN13)."""
-    last = frame.groupBy("ticker").agg(F.date_add(F.max("date"), 1).alias("date"))
-    return frame.withColumn("is_future", F.lit(False)).unionByName(
-        last.withColumn("is_future", F.lit(True)), allowMissingColumns=True
+    is_last = F.lead("date").over(by_day()).isNull()
+    copies = F.when(is_last, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    doubled = frame.where(F.col("date").isNotNull()).withColumn("_copies", copies)
+    rows = doubled.select(*frame.columns, F.explode("_copies").alias("is_future"))
+    blank = lambda c: F.when(~F.col("is_future"), F.col(c)).alias(c)
+    return rows.select(
+        "ticker",
+        F.when(F.col("is_future"), F.date_add("date", 1)).otherwise(F.col("date")).alias("date"),
+        *[blank(c) for c in frame.columns if c not in ("ticker", "date")],
+        "is_future",
     )
 
 

@@ -3,6 +3,9 @@
 Aliases are found by an equi join on their first word, so the work is one hash
 probe per word of text and does not grow with the number of aliases.  A match row
 carries only the few words it needs for the exact check, never the whole text.
+
+Arrays of words are exploded with the outer form on purpose: the plain form adds a
+filter on the array's size, which evaluates the regular expressions a second time.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from ..functions.symbols import (
 from ..functions.text import combined_text
 from .tables import first_per_key
 
+# A normalised tag has at most 12 characters, hence at most 6 words.
+TAG_WORDS = 6
 # Characters that make up a word, per matching rule.
 WORD_CHARS = {"bucket": "A-Za-z0-9", "trend": r"\p{L}\p{N}_"}
 
@@ -72,39 +77,65 @@ def _boundary(rule: str) -> Column:
     return plain | (tagged & ~word_after)
 
 
-def alias_matches(posts: DataFrame, aliases: DataFrame, rule: str, keep: Sequence[str]) -> DataFrame:
+def _words(word: str) -> Column:
+    return F.regexp_extract_all(F.lower("text"), F.lit(f"[{word}]+"), F.lit(0))
+
+
+def _spots(posts: DataFrame, word: str, keep: Sequence[str], max_words: int) -> DataFrame:
+    """One row per word: its place, what stands before it, and the words from it on.
+
+    The row is built inside the array of words and exploded afterwards, so that no
+    exploded row drags the arrays of its whole text along.
+    """
+    split = posts.select(
+        *keep, _words(word).alias("words_"), F.split(F.lower("text"), f"[{word}]+").alias("gaps_")
+    )
+    empty = F.lit("")
+
+    def spot(first, at):
+        ahead = [first]
+        # One word more than the longest name shows what follows it.
+        for k in range(1, max_words + 1):
+            ahead += [F.coalesce(F.get("gaps_", at + k), empty), F.coalesce(F.get("words_", at + k), empty)]
+        return F.struct(
+            at.alias("at"),
+            first.alias("first"),
+            F.get("gaps_", at).alias("before"),
+            F.concat(*ahead).alias("context"),
+        )
+
+    spots = split.select(*keep, F.transform("words_", spot).alias("spots_"))
+    return spots.select(*keep, F.explode_outer("spots_").alias("s")).select(*keep, "s.*")
+
+
+def alias_matches(
+    posts: DataFrame,
+    aliases: DataFrame,
+    rule: str,
+    keep: Sequence[str],
+    max_words: int | None = None,
+) -> DataFrame:
     """Distinct ``keep`` columns and symbol of posts that contain an alias (JON3, JON4).
 
     ``posts`` has a ``text`` column; ``keep`` names the narrow columns to carry and
-    must identify a post.  ``aliases`` has ``symbol`` and ``alias``.
+    must identify a post.  ``aliases`` has ``symbol`` and ``alias``.  Names of one
+    plain word are looked up among the distinct words of a text; only names of
+    several words or with signs need the words around a hit.  ``max_words`` bounds
+    the words of those; without it a small job over ``aliases`` finds the bound.
     """
     word = WORD_CHARS[rule]
     patterns = alias_patterns(aliases, rule)
-    # One word more than the longest alias shows what follows it.
-    reach = F.coalesce(patterns.agg(F.max("words")).scalar(), F.lit(1)) + 1
-    lowered = F.lower("text")
-    split = posts.select(
-        *keep,
-        F.regexp_extract_all(lowered, F.lit(f"[{word}]+"), F.lit(0)).alias("words_"),
-        F.split(lowered, f"[{word}]+").alias("gaps_"),
-    )
-    spots = split.select("*", F.posexplode("words_").alias("at", "first"))
-    glued = F.zip_with(
-        F.slice("words_", F.col("at") + 1, reach),
-        F.slice("gaps_", F.col("at") + 2, reach),
-        lambda w, g: F.concat(F.coalesce(w, F.lit("")), F.coalesce(g, F.lit(""))),
-    )
-    candidates = spots.select(
-        *keep,
-        "at",
-        F.col("first").alias("first"),
-        F.get("gaps_", F.col("at")).alias("before"),
-        F.array_join(glued, "").alias("context"),
-    )
-    found = candidates.join(patterns, "first").where(
-        (F.substring("context", F.lit(1), F.length("body")) == F.col("body")) & _boundary(rule)
-    )
-    return found.select(*keep, "symbol").distinct()
+    simple = (F.col("lead") == "") & (F.col("body") == F.col("first"))
+    singles = patterns.where(simple).select("first", "symbol")
+    distinct_words = posts.select(*keep, F.explode_outer(F.array_distinct(_words(word))).alias("first"))
+    found = distinct_words.join(singles, "first").select(*keep, "symbol")
+    if max_words is None:
+        max_words = patterns.where(~simple).agg(F.max("words")).first()[0]
+    if max_words:
+        candidates = _spots(posts, word, keep, max_words).join(patterns.where(~simple), "first")
+        begins = F.substring("context", F.lit(1), F.length("body")) == F.col("body")
+        found = found.unionByName(candidates.where(begins & _boundary(rule)).select(*keep, "symbol"))
+    return found.distinct()
 
 
 def alias_table(aliases: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
@@ -144,11 +175,13 @@ def known_symbols(aliases: DataFrame, *others: tuple[DataFrame, str]) -> DataFra
 
 def candidate_symbols(posts: DataFrame) -> DataFrame:
     """Posts per symbol-like word, and posts with it as a cashtag (AGG10)."""
-    sets = posts.select(plain_symbols("text").alias("plain"), cashtags("text").alias("tagged"))
-    rows = sets.select(F.explode("plain").alias("symbol"), "tagged")
-    return rows.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.array_contains("tagged", F.col("symbol"))).alias("cashtag"),
+    marked = lambda found, tag: F.transform(
+        found, lambda s: F.struct(s.alias("symbol"), F.lit(tag).alias("tagged"))
+    )
+    hits = F.concat(marked(plain_symbols("text"), False), marked(cashtags("text"), True))
+    rows = posts.select(F.explode_outer(hits).alias("hit")).select("hit.*")
+    return rows.where(F.col("symbol").isNotNull()).groupBy("symbol").agg(
+        F.count_if(~F.col("tagged")).alias("total"), F.count_if(F.col("tagged")).alias("cashtag")
     )
 
 
@@ -187,16 +220,20 @@ def symbol_mentions(posts: DataFrame, names: DataFrame, weight: Column | None =
     """
     base = posts.withColumn("weight", F.lit(1.0) if weight is None else weight)
     keep = ["id", "created_utc", "weight"]
-    tagged = base.select(*keep, F.explode(free_cashtags("text")).alias("symbol"))
+    tagged = base.select(*keep, F.explode_outer(free_cashtags("text")).alias("symbol"))
+    tagged = tagged.where(F.col("symbol").isNotNull())
     tags = tagged.groupBy("symbol").agg(F.max("created_utc").alias("tagged_at"))
     extra = tags.join(names.select("symbol").distinct(), "symbol", "left_anti")
 
-    searched = names.unionByName(extra.select("symbol", F.col("symbol").alias("alias")))
-    words = alias_matches(base, searched, "trend", keep)
+    named = alias_matches(base, names, "trend", keep)
+    words = alias_matches(
+        base, extra.select("symbol", F.col("symbol").alias("alias")), "trend", keep, TAG_WORDS
+    )
     # Hits on tag words count only while the tag itself is inside the look-back.
-    dated = words.join(extra, "symbol", "left").select(*keep, "symbol", "tagged_at")
+    dated = words.join(extra, "symbol").select(*keep, "symbol", "tagged_at")
     always = tagged.withColumn("tagged_at", F.lit(None).cast(base.schema["created_utc"].dataType))
-    hits = dated.unionByName(always.select(*dated.columns))
+    named = named.withColumn("tagged_at", F.lit(None).cast(base.schema["created_utc"].dataType))
+    hits = dated.unionByName(always.select(*dated.columns)).unionByName(named.select(*dated.columns))
     return hits.groupBy(*keep, "symbol").agg(
         F.when(F.count_if(F.col("tagged_at").isNull()) == 0, F.max("tagged_at")).alias("tagged_at")
     )

@@ -90,13 +90,13 @@ def _digits(name: str) -> int:
     return 4 if name.startswith(big) else 6
 
 
-def _nudge(name: str) -> float:
-    """Means of cents end in exact halves; a small shift keeps both engines on one side."""
-    return 10.0 ** -(_digits(name) + 3)
+# Means of cents end in exact halves; the shift keeps both engines on one side.
+HALF = 0.501
 
 
 def _round_sql(expr: str, name: str) -> str:
-    return f"round({expr} + {_nudge(name)!r}, {_digits(name)}) AS {name}"
+    scale = f"1e{_digits(name)}"
+    return f"floor(({expr}) * {scale} + {HALF}) / {scale} AS {name}"
 
 
 def _group_sql(exprs: dict[str, str]) -> str:
@@ -121,7 +121,8 @@ def _shown(df, names):
 
 
 def _round(name):
-    return (F.round(F.col(name) + _nudge(name), _digits(name)) + 0.0).alias(name)
+    scale = F.lit(10.0 ** _digits(name))
+    return (F.floor(F.col(name) * scale + HALF) / scale).alias(name)
 
 
 def _group(name: str, columns) -> None:

@@ -131,7 +131,7 @@ def text_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("id"),
         F.expr(
-            "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id * 7 % 10080 as int))"
+            "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id * 7919 % 10080 as int))"
         ).alias("created_utc"),
         F.col("source").alias("title"),
         "text",
@@ -267,7 +267,7 @@ SQL = {
         FROM orders GROUP BY 1""",
     "text_posts": """
         SELECT CAST(doc_id AS VARCHAR) AS id,
-               TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id * 7 % 10080) AS created_utc,
+               TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id * 7919 % 10080) AS created_utc,
                source AS title, text, CAST(doc_id % 50 AS INTEGER) AS upvotes,
                CAST(doc_id % 9 AS INTEGER) AS num_comments, lang
         FROM documents""",
