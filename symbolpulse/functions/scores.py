@@ -21,7 +21,7 @@ from .fixed_values import (
 from .text import lexicon_tokens
 
 
-def _normal_word(word: str, keep) -> str:
+def normal_word(word: str, keep) -> str:
     if word in keep or len(word) <= 4:
         return word
     for ending, cut in (("st", 2), ("t", 1)):
@@ -34,7 +34,7 @@ def merge_keywords(base: Mapping[str, int], extra: Mapping[str, int], markers=()
     """``base`` plus the normal forms of ``extra``; the first definition wins (SRC8)."""
     merged = dict(base)
     for word, score in extra.items():
-        key = _normal_word(str(word).lower(), merged.keys() | set(markers))
+        key = normal_word(str(word).lower(), merged.keys() | set(markers))
         merged.setdefault(key, int(score))
     return merged
 

@@ -82,11 +82,15 @@ def market_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts about the five event types."""
+    return posts_of(load(spark, sf_dir, "events"))
+
+
+def posts_of(events: DataFrame) -> DataFrame:
+    """Posts about the five event types, from a table or a stream."""
     k = F.get_json_object("props", "$.k").cast("int")
     event = F.col("event_id")
     comment = F.when(F.col("event_type") == "view", F.concat(F.lit("e"), event, F.lit("_c"), k))
-    return load(spark, sf_dir, "events").select(
+    return events.select(
         F.coalesce(comment, F.concat(F.lit("e"), event)).alias("id"),
         F.upper("event_type").alias("ticker"),
         F.col("ts").cast("timestamp").alias("created_utc"),
@@ -97,14 +101,22 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return posts(spark, sf_dir).withColumnRenamed("sentiment", "sentiment_dict").withColumn(
+    return enriched_of(posts(spark, sf_dir))
+
+
+def enriched_of(rows: DataFrame) -> DataFrame:
+    return rows.withColumnRenamed("sentiment", "sentiment_dict").withColumn(
         "sentiment_weighted", F.col("sentiment_dict") * (1 + F.log10(1 + F.col("upvotes")))
     )
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ticks_of(load(spark, sf_dir, "events"))
+
+
+def ticks_of(events: DataFrame) -> DataFrame:
     price = F.col("value")
-    return load(spark, sf_dir, "events").select(
+    return events.select(
         F.upper("event_type").alias("ticker"),
         F.col("ts").cast("timestamp").alias("ts"),
         "event_id",
