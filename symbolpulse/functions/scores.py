@@ -18,7 +18,7 @@ from .fixed_values import (
     WORD_BOOST_LIMIT,
     WORD_BOOSTS,
 )
-from .text import lexicon_tokens
+from .text import normal_form, token_text
 
 
 def normal_word(word: str, keep) -> str:
@@ -62,42 +62,79 @@ class Lexicon:
 DEFAULT_LEXICON = Lexicon()
 
 
-def _grouped(words: Mapping[str, float], token: Column) -> Column:
-    """Value of ``token``: one hash-set test per distinct value, not one per word."""
-    by_value: dict[float, list[str]] = {}
-    for word, value in words.items():
-        by_value.setdefault(float(value), []).append(word)
-    result = None
-    for value, members in sorted(by_value.items()):
-        test = token.isin(*sorted(members))
-        result = F.when(test, F.lit(value)) if result is None else result.when(test, F.lit(value))
-    return F.lit(None).cast("double") if result is None else result
-
-
-def _token_facts(token: Column, lexicon: Lexicon) -> Column:
-    """What a token means: is it a marker, its score, its multiplier."""
-    plain = _grouped(lexicon.keywords, token)
-    stem = F.substring(token, F.lit(5), F.length(token))
-    return F.struct(
-        token.isin(*sorted(lexicon.markers)).alias("marker"),
-        # A literal ``not_word`` token counts as the negated keyword already.
-        F.coalesce(plain, F.when(token.startswith("not_"), -_grouped(lexicon.keywords, stem))).alias(
-            "score"
-        ),
-        plain.alias("plain"),
-        _grouped(lexicon.intensities, token).alias("weight"),
-    )
+@dataclass(frozen=True)
+class _Class:
+    """Words that act alike: same score, multiplier and marker role."""
+
+    sign: str
+    marker: bool
+    score: float | None
+    plain: float | None
+    weight: float | None
+    words: tuple[str, ...]
+
+
+OTHER = "."
+
+
+def _classes(lexicon: Lexicon) -> list[_Class]:
+    roles: dict[tuple, list[str]] = {}
+    for word in {*lexicon.markers, *lexicon.keywords, *lexicon.intensities}:
+        score = lexicon.keywords.get(word)
+        role = (word in lexicon.markers, score, score, lexicon.intensities.get(word))
+        roles.setdefault(role, []).append(word)
+    # A literal ``not_word`` in a text counts as the negated keyword already.
+    for word, score in lexicon.keywords.items():
+        if f"not_{word}" not in lexicon.keywords:
+            roles.setdefault((False, -score, None, None), []).append(f"not_{word}")
+    # One character of the private-use area stands for each role.
+    return [
+        _Class(chr(0xE000 + i), *role, tuple(sorted(words)))
+        for i, (role, words) in enumerate(sorted(roles.items(), key=str))
+    ]
+
+
+def _sign_of(token: Column, classes: list[_Class]) -> Column:
+    every = [w for c in classes for w in c.words]
+    sign = F.lit(OTHER)
+    for c in classes:
+        sign = F.when(token.isin(*c.words), c.sign).otherwise(sign)
+    # One hash-set test settles the many words without a role.
+    return F.when(token.isin(*every), sign).otherwise(OTHER)
+
+
+def _by_sign(sign: Column, classes: list[_Class], value) -> Column:
+    result = F.lit(None).cast("double")
+    for c in classes:
+        if value(c) is not None:
+            result = F.when(sign == c.sign, float(value(c))).otherwise(result)
+    return result
 
 
 def lexicon_score(text: Column | str, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
     """Sum of keyword scores with negation and intensity, NULL without a hit (SCR1, SCR2).
 
-    One left-to-right fold.  ``reach`` says how far a negation marker reaches:
-    0 not at all, 1 a filler token follows the marker, 2 the marker is the last
-    token, 3 the last two tokens are markers (the second one then stands between
-    marker and target, and uses up a waiting intensity).
+    Words become one sign each by their role, and long runs of words without a role
+    shrink to three, beyond which nothing reaches.  The rest is one left-to-right
+    fold.  ``reach`` says how far a negation marker reaches: 0 not at all, 1 a
+    filler token follows the marker, 2 the marker is the last token, 3 the last two
+    tokens are markers (the second one then stands between marker and target, and
+    uses up a waiting intensity).
     """
-    facts = F.transform(lexicon_tokens(text, lexicon.kept_words), lambda t: _token_facts(t, lexicon))
+    classes = _classes(lexicon)
+    words = F.split(token_text(text), " ")
+    kept = lexicon.kept_words
+    signs = F.array_join(F.transform(words, lambda t: _sign_of(normal_form(t, kept), classes)), "")
+    short = F.regexp_replace(signs, r"\.{4,}", OTHER * 3)
+    facts = F.transform(
+        F.split(short, ""),
+        lambda s: F.struct(
+            s.isin(*[c.sign for c in classes if c.marker] or [""]).alias("marker"),
+            _by_sign(s, classes, lambda c: c.score).alias("score"),
+            _by_sign(s, classes, lambda c: c.plain).alias("plain"),
+            _by_sign(s, classes, lambda c: c.weight).alias("weight"),
+        ),
+    )
     none = F.lit(None).cast("double")
     start = F.struct(
         F.lit(0.0).alias("total"),

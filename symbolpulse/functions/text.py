@@ -28,9 +28,9 @@ def token_text(text: Column | str) -> Column:
 
 def normal_form(token: Column, keep: Iterable[str]) -> Column:
     """Suffix rule that maps inflected forms together (TXT3)."""
-    chars = F.length(token)
     return (
-        F.when(token.isin(*sorted(keep)) | (chars <= 4), token)
+        # Most words are short; the set is asked only for longer ones.
+        F.when((F.length(token) <= 4) | token.isin(*sorted(keep)), token)
         .when(token.endswith("st"), F.concat(_drop(token, 2), F.lit("en")))
         .when(token.endswith("t"), F.concat(_drop(token, 1), F.lit("en")))
         .when(token.endswith("e"), F.concat(token, F.lit("n")))

@@ -10,7 +10,7 @@ filter on the array's size, which evaluates the regular expressions a second tim
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +32,10 @@ from .tables import first_per_key
 
 # A normalised tag has at most 12 characters, hence at most 6 words.
 TAG_WORDS = 6
+# What joins the words of a normalised tag.
+TAG_JOINTS = (".", "-")
+# So many first words of names may travel in a plan.
+FEW = 1000
 # Characters that make up a word, per matching rule.
 WORD_CHARS = {"bucket": "A-Za-z0-9", "trend": r"\p{L}\p{N}_"}
 
@@ -81,31 +85,54 @@ def _words(word: str) -> Column:
     return F.regexp_extract_all(F.lower("text"), F.lit(f"[{word}]+"), F.lit(0))
 
 
-def _spots(posts: DataFrame, word: str, keep: Sequence[str], max_words: int) -> DataFrame:
-    """One row per word: its place, what stands before it, and the words from it on.
+def _lookups(
+    posts: DataFrame, word: str, keep: Sequence[str], max_words: int, may_start: Callable[[Column, Column], Column]
+) -> DataFrame:
+    """What has to be looked up for a text, in one pass over it.
 
-    The row is built inside the array of words and exploded afterwards, so that no
-    exploded row drags the arrays of its whole text along.
+    A row per distinct word, and a row with place and surroundings per word that may
+    start a longer name (``may_start`` looks at a word and the gap after it).  Rows
+    are built inside the array of words and exploded afterwards, so that no exploded
+    row drags the arrays of its whole text along.
     """
     split = posts.select(
         *keep, _words(word).alias("words_"), F.split(F.lower("text"), f"[{word}]+").alias("gaps_")
     )
-    empty = F.lit("")
+    empty, no_text = F.lit(""), F.lit(None).cast("string")
+
+    def row(first, at, before, context):
+        return F.struct(
+            first.alias("first"), at.alias("at"), before.alias("before"), context.alias("context")
+        )
 
     def spot(first, at):
         ahead = [first]
         # One word more than the longest name shows what follows it.
         for k in range(1, max_words + 1):
             ahead += [F.coalesce(F.get("gaps_", at + k), empty), F.coalesce(F.get("words_", at + k), empty)]
-        return F.struct(
-            at.alias("at"),
-            first.alias("first"),
-            F.get("gaps_", at).alias("before"),
-            F.concat(*ahead).alias("context"),
-        )
+        found = row(first, at, F.get("gaps_", at), F.concat(*ahead))
+        return F.when(may_start(first, F.get("gaps_", at + 1)), found)
+
+    rows = F.transform(
+        F.array_distinct("words_"), lambda w: row(w, F.lit(None).cast("int"), no_text, no_text)
+    )
+    if max_words:
+        rows = F.concat(rows, F.array_compact(F.transform("words_", spot)))
+    exploded = split.select(*keep, rows.alias("rows_")).select(*keep, F.explode_outer("rows_").alias("r"))
+    return exploded.select(*keep, "r.*")
 
-    spots = split.select(*keep, F.transform("words_", spot).alias("spots_"))
-    return spots.select(*keep, F.explode_outer("spots_").alias("s")).select(*keep, "s.*")
+
+def _starts(patterns: DataFrame) -> tuple[int, Callable[[Column, Column], Column]]:
+    """Words of the longest name, and a test for words that start a name.
+
+    Up to ``FEW`` first words travel in the plan; beyond that every word is a
+    candidate and the join decides.  Runs a small job over the names.
+    """
+    firsts = patterns.groupBy("first").agg(F.max("words").alias("words")).limit(FEW + 1).collect()
+    if len(firsts) <= FEW:
+        longest = max((r["words"] for r in firsts), default=0)
+        return longest, lambda first, gap: first.isin(*[r["first"] for r in firsts])
+    return patterns.agg(F.max("words")).first()[0], lambda first, gap: F.lit(True)
 
 
 def alias_matches(
@@ -113,29 +140,29 @@ def alias_matches(
     aliases: DataFrame,
     rule: str,
     keep: Sequence[str],
-    max_words: int | None = None,
+    tags: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct ``keep`` columns and symbol of posts that contain an alias (JON3, JON4).
 
     ``posts`` has a ``text`` column; ``keep`` names the narrow columns to carry and
-    must identify a post.  ``aliases`` has ``symbol`` and ``alias``.  Names of one
-    plain word are looked up among the distinct words of a text; only names of
-    several words or with signs need the words around a hit.  ``max_words`` bounds
-    the words of those; without it a small job over ``aliases`` finds the bound.
+    must identify a post.  ``aliases`` has ``symbol`` and ``alias``, ``tags`` adds
+    normalised symbols to look for as words.  Names of one plain word are looked up
+    among the distinct words of a text; only names of several words or with signs
+    need the words around a hit.  A small job over ``aliases`` plans that part.
     """
     word = WORD_CHARS[rule]
-    patterns = alias_patterns(aliases, rule)
-    simple = (F.col("lead") == "") & (F.col("body") == F.col("first"))
-    singles = patterns.where(simple).select("first", "symbol")
-    distinct_words = posts.select(*keep, F.explode_outer(F.array_distinct(_words(word))).alias("first"))
-    found = distinct_words.join(singles, "first").select(*keep, "symbol")
-    if max_words is None:
-        max_words = patterns.where(~simple).agg(F.max("words")).first()[0]
-    if max_words:
-        candidates = _spots(posts, word, keep, max_words).join(patterns.where(~simple), "first")
-        begins = F.substring("context", F.lit(1), F.length("body")) == F.col("body")
-        found = found.unionByName(candidates.where(begins & _boundary(rule)).select(*keep, "symbol"))
-    return found.distinct()
+    plain = (F.col("lead") == "") & (F.col("body") == F.col("first"))
+    patterns = alias_patterns(aliases, rule).withColumn("plain", plain)
+    max_words, may_start = _starts(patterns.where("NOT plain"))
+    if tags is not None:
+        as_names = tags.select("symbol", F.col("symbol").alias("alias"))
+        patterns = patterns.unionByName(alias_patterns(as_names, rule).withColumn("plain", plain))
+        max_words, named = max(max_words, TAG_WORDS), may_start
+        may_start = lambda first, gap: named(first, gap) | gap.isin(*TAG_JOINTS)
+    begins = F.substring("context", F.lit(1), F.length("body")) == F.col("body")
+    hit = F.when(F.col("plain"), F.col("at").isNull()).otherwise(begins & _boundary(rule))
+    found = _lookups(posts, word, keep, max_words, may_start).join(patterns, "first")
+    return found.where(hit).select(*keep, "symbol").distinct()
 
 
 def alias_table(aliases: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
@@ -225,15 +252,11 @@ def symbol_mentions(posts: DataFrame, names: DataFrame, weight: Column | None =
     tags = tagged.groupBy("symbol").agg(F.max("created_utc").alias("tagged_at"))
     extra = tags.join(names.select("symbol").distinct(), "symbol", "left_anti")
 
-    named = alias_matches(base, names, "trend", keep)
-    words = alias_matches(
-        base, extra.select("symbol", F.col("symbol").alias("alias")), "trend", keep, TAG_WORDS
-    )
+    words = alias_matches(base, names, "trend", keep, tags=extra)
     # Hits on tag words count only while the tag itself is inside the look-back.
-    dated = words.join(extra, "symbol").select(*keep, "symbol", "tagged_at")
+    dated = words.join(extra, "symbol", "left").select(*keep, "symbol", "tagged_at")
     always = tagged.withColumn("tagged_at", F.lit(None).cast(base.schema["created_utc"].dataType))
-    named = named.withColumn("tagged_at", F.lit(None).cast(base.schema["created_utc"].dataType))
-    hits = dated.unionByName(always.select(*dated.columns)).unionByName(named.select(*dated.columns))
+    hits = dated.unionByName(always.select(*dated.columns))
     return hits.groupBy(*keep, "symbol").agg(
         F.when(F.count_if(F.col("tagged_at").isNull()) == 0, F.max("tagged_at")).alias("tagged_at")
     )

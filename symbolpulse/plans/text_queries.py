@@ -29,7 +29,7 @@ CORPUS_LEXICON = S.Lexicon(
 
 
 def docs(spark, sf):
-    return V.load(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+    return V.documents(spark, sf).select("doc_id", "text", "source", "lang")
 
 
 CLEAN = (
@@ -86,7 +86,7 @@ def _score_sql(lexicon) -> str:
                    OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run
         FROM emitted WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
     score AS (
-        SELECT doc_id, sum(val * CASE WHEN run % 2 = 1 THEN weight_before ELSE 1 END) AS score
+        SELECT doc_id, CAST(sum(val * CASE WHEN run % 2 = 1 THEN weight_before ELSE 1 END) AS DOUBLE) AS score
         FROM runs WHERE val IS NOT NULL AND val <> 0 GROUP BY 1)
     SELECT doc_id, score FROM documents LEFT JOIN score USING (doc_id)"""
 

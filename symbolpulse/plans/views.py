@@ -33,6 +33,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents; a file of fewer splits than threads is spread before the text work."""
+    rows = load(spark, sf_dir, "documents")
+    threads = spark.sparkContext.defaultParallelism
+    return rows.repartition(threads, "doc_id") if len(rows.inputFiles()) < threads else rows
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars per supplier; the day's trades in a total order."""
     item = load(spark, sf_dir, "lineitem")
@@ -140,7 +147,7 @@ def fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as posts spread over one week."""
-    return load(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("id"),
         F.expr(
             "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id * 7919 % 10080 as int))"
