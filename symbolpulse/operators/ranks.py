@@ -26,7 +26,9 @@ def _fine_cell(value: Column, kind: T.DataType) -> Column:
 
 
 def with_cells(df: DataFrame, value: str) -> DataFrame:
-    fine = _fine_cell(F.col(value), df.schema[value].dataType)
+    # Never NULL: joins on cells then add no null filter that would repeat the value's
+    # whole expression at the scan.
+    fine = F.coalesce(_fine_cell(F.col(value), df.schema[value].dataType), F.lit(0).cast("bigint"))
     bits = 21 if isinstance(df.schema[value].dataType, T.IntegralType) else 20
     return df.withColumn("_fine", fine).withColumn("_coarse", F.shiftright(F.col("_fine"), bits))
 
