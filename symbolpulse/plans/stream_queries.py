@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import trends
+from ..operators import tables, trends
 from ..operators.storage import shared_dir
 from ..streaming import streams
 from . import views as V
@@ -94,3 +94,17 @@ def str4(spark, sf):
 def str5(spark, sf):
     bars = _table(spark, streams.bar_windows(V.ticks_of(_events(spark, sf)), F.col("event_id")))
     return rounded(bars.drop("day").withColumn("start", F.to_date("start")))
+
+
+@query(
+    "str6",
+    """
+    SELECT date_trunc('hour', created_utc) AS start, ticker, count(*) AS mentions FROM posts
+    WHERE created_utc >= TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1, 2""",
+    "posts",
+    stamps="start",
+)
+def str6(spark, sf):
+    rows = V.posts_of(_events(spark, sf)).withColumn("weight", F.lit(1.0))
+    hours = _table(spark, streams.mention_windows(rows))
+    return tables.purge(hours, "start", V.EVENTS_AS_OF, 10).select("start", "ticker", "mentions")

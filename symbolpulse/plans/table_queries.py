@@ -568,3 +568,9 @@ def ovw2(spark, sf):
             symbols, price, fx, signal, daily, hourly, trend, posts, names, state, V.MARKET_AS_OF
         )
     )
+
+
+@query("jon8", f"SELECT symbol, trend FROM ({CANDIDATES}) WHERE symbol NOT IN (SELECT symbol FROM watchlist)", "watchlist")
+def jon8(spark, sf):
+    watched = V.watchlist(spark, sf).select("symbol")
+    return _candidates(spark, sf).join(watched, "symbol", "left_anti").select("symbol", "trend")

@@ -310,3 +310,13 @@ def test_scorer_routing(spark):
     alone = by(scoring.score_texts(rows, english=positive), "text", "method")
     assert alone["gut"] == "model:english"
     assert by(scoring.score_texts(rows), "text", "score", "method")["long call"] == (0.4, "rule-only")
+
+
+def test_weekly_returns_go_to_the_first_candidates_that_have_one(spark):
+    rows = [("A", 9.0, True), ("B", 8.0, True), ("C", 7.0, True), ("D", 99.0, False)]
+    candidates = spark.createDataFrame(rows, "symbol string, trend double, is_known boolean").withColumns(
+        {"lift": F.lit(1.0), "mentions": F.lit(5)}
+    )
+    weekly = spark.createDataFrame([("B", 0.1), ("C", 0.2), ("D", 0.3)], "ticker string, weekly_return double")
+    got = by(trends.with_weekly_returns(candidates, weekly, 2), "symbol", "weekly_return")
+    assert got == {"A": None, "B": 0.1, "C": 0.2, "D": None}
