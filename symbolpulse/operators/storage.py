@@ -2,28 +2,48 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session, or a temporary one where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    named = spark.sparkContext.getCheckpointDir()
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Where none is named, a local session gets one beside its warehouse; on a cluster that
+    would be a folder of one machine, so the call fails.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
-        return named
-    local = tempfile.mkdtemp(prefix="symbolpulse-")
-    spark.sparkContext.setCheckpointDir(local)
-    return local
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to reliable storage, its lineage cut; runs a job."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; :func:`clear` removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """``df`` written to the shared folder and read again: one job, its lineage cut."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's file system layer."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what :func:`new_folder` and :func:`stored` made; call when results are written."""
+    while _WRITTEN:
+        remove(spark, _WRITTEN.pop())
