@@ -44,6 +44,14 @@ def join_counted(
     return few.unionByName(rest.join(cold, keys, how))
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def batches_of(lengths: Sequence[int], most: int) -> list[tuple[int, int]]:
     """Consecutive ranges whose lengths add up to ``most`` at most, or of one item."""
     out, first, total = [], 0, 0

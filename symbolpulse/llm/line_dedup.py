@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import stored
-from .common import join_counted
+from .common import join_counted, spare
 
 BLANKS = b" \t\n\x0b\x0c\r"
 CHUNK = 1 << 16
@@ -130,14 +130,15 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, mos
         .where(F.col("n") >= least_docs),
         "line-repeats",
     )
+    kept = docs.drop("n_lines", "n_dropped")
+    own, drop = spare(docs, "_id"), spare(docs, "_drop")
     drops = (
         join_counted(found, repeated, ["key"])
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.collect_set("key").alias("_drop"))
+        .groupBy(F.col("doc_id").alias(own))
+        .agg(F.collect_set("key").alias(drop))
     )
-    kept = docs.drop("n_lines", "n_dropped")
-    joined = kept.join(drops.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    joined = kept.join(drops.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left").drop(own)
     names = [*kept.columns, "n_lines", "n_dropped"]
     shape = kept.withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
     at = kept.columns.index("text")

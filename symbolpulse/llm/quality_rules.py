@@ -39,6 +39,9 @@ RULES = (
 )
 
 
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_upper", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words"]
+
+
 def _repeated_words(hashes: Column) -> tuple[Column, Column]:
     """Sorted (hash, place) pairs, and the number of words in windows whose hash occurs again."""
     pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -125,7 +128,10 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, least_words: int = 50,
     base rule nor a rule of the table fails.  Null and empty texts have no words and fail.
     Rows are independent; columns of ``docs`` with a name of a result are replaced.
     """
-    counted = with_counts(docs.drop("base_failed", "broken_rules", "kept"))
+    results = [*COUNTS, "base_failed", "broken_rules", "kept"]
+    # Everything else travels as one column, so that no name can clash.
+    counted = with_counts(docs.select(F.struct(*docs.columns).alias("_doc"), "text"))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     judged = counted.withColumns({"base_failed": failed, "broken_rules": compile_rules(rules)})
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
+    judged = judged.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
+    return judged.select(*(F.col(f"_doc.`{c}`") for c in docs.columns if c not in results), *results)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of
+from .common import batches_of, spare
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
@@ -293,7 +293,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model.value)
         for batch in batches:
-            own = [t or "" for t in batch.column("_text").to_pylist()]
+            own = [t or "" for t in batch.columns[-1].to_pylist()]
             for a, b in batches_of([len(t) for t in own], BATCH_CHARS):
                 flat, counts = encoder.texts(own[a:b])
                 offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
@@ -303,7 +303,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids
     kept = docs.drop(ids)
     names = [*kept.columns, ids]
     shape = kept.withColumn(ids, F.array().cast("array<int>")).schema
-    return kept.withColumn("_text", F.col(text)).mapInArrow(run, shape)
+    return docs.select(*kept.columns, F.col(text).alias(spare(docs, "_text"))).mapInArrow(run, shape)
 
 
 def decode(rows: DataFrame, model_file: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -312,7 +312,7 @@ def decode(rows: DataFrame, model_file: str, ids: str = "ids", text: str = "deco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("_ids")
+            column = batch.columns[-1]
             for a, b in batches_of(column.value_lengths().fill_null(0).to_pylist(), BATCH_CHARS):
                 said = [decode_ids(x or [], model.value) for x in column.slice(a, b - a).to_pylist()]
                 arrays = batch.slice(a, b - a).columns[:-1]
@@ -321,4 +321,4 @@ def decode(rows: DataFrame, model_file: str, ids: str = "ids", text: str = "deco
     kept = rows.drop(text)
     names = [*kept.columns, text]
     shape = kept.withColumn(text, F.lit("")).schema
-    return kept.withColumn("_ids", F.col(ids)).mapInArrow(run, shape)
+    return rows.select(*kept.columns, F.col(ids).alias(spare(rows, "_ids"))).mapInArrow(run, shape)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import stored
-from .common import WORD, batches_of, join_counted
+from .common import WORD, batches_of, join_counted, spare
 from .minhash_dedup import ODD, WordHashes, _mixed
 
 BATCH_BYTES = 1 << 22
@@ -236,12 +236,13 @@ def without_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
     Words that a first passage covers stay; what is left is joined by single blanks.  Texts
     without a passage to drop stay as they are.
     """
-    lists = passages.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.collect_list(F.when(F.col("is_first"), F.struct("start_word", "end_word"))).alias("_stay"),
-        F.collect_list(F.when(~F.col("is_first"), F.struct("start_word", "end_word"))).alias("_go"),
+    own, stay, go = (spare(docs, name) for name in ("_id", "_stay", "_go"))
+    lists = passages.groupBy(F.col("doc_id").alias(own)).agg(
+        F.collect_list(F.when(F.col("is_first"), F.struct("start_word", "end_word"))).alias(stay),
+        F.collect_list(F.when(~F.col("is_first"), F.struct("start_word", "end_word"))).alias(go),
     )
     inside = lambda spans, i: F.exists(spans, lambda s: (s["start_word"] <= i) & (i < s["end_word"]))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    left = F.array_join(F.filter(words, lambda w, i: ~inside(F.col("_go"), i) | inside(F.col("_stay"), i)), " ")
-    joined = docs.join(lists.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_id"), "left")
-    return joined.withColumn("text", F.when(F.size("_go") > 0, left).otherwise(F.col("text"))).select(*docs.columns)
+    left = F.array_join(F.filter(words, lambda w, i: ~inside(F.col(go), i) | inside(F.col(stay), i)), " ")
+    joined = docs.join(lists.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(own), "left")
+    return joined.withColumn("text", F.when(F.size(go) > 0, left).otherwise(F.col("text"))).select(*docs.columns)

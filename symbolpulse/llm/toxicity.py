@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK
+from .common import BLANK, spare
 
 GRAM = 5
 SUSPICIOUS = 3
@@ -67,13 +67,17 @@ def _features(most, strong, n) -> np.ndarray:
     return np.stack([np.ones_like(n), np.minimum(most, 12), np.log1p(np.minimum(strong, 20)), np.log1p(n)], 1)
 
 
+def gain_names(docs: DataFrame) -> list[str]:
+    return [spare(docs, name) for name in ("_most", "_strong", "_windows")]
+
+
 def with_gains(docs: DataFrame, ordinary: bytes, toxic: bytes, keep: Sequence[str] = ()) -> DataFrame:
     """``docs`` with ``_most, _strong, _windows`` of each whole text in place of the text.
 
     ``keep`` may name ``text``, which then stays.
     """
     rest = docs.select(*(c for c in docs.columns if c != "text" or c in keep))
-    names = [*rest.columns, "_most", "_strong", "_windows"]
+    names = [*rest.columns, *gain_names(docs)]
     shape = rest.withColumns({c: F.lit(0).cast("long") for c in names[-3:]}).schema
     contents = docs.sparkSession.sparkContext.broadcast((ordinary, toxic + b"\n" + ordinary))
 
@@ -84,7 +88,7 @@ def with_gains(docs: DataFrame, ordinary: bytes, toxic: bytes, keep: Sequence[st
             added = [pa.array([g[i] for g in got], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names)
 
-    return docs.select(*rest.columns, F.col("text").alias("_read")).mapInArrow(run, shape)
+    return docs.select(*rest.columns, F.col("text").alias(spare(docs, "_read"))).mapInArrow(run, shape)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -116,16 +120,16 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = 4000, most_words:
     """
     sample, stands_for = _sample(docs, labels, most_docs)
     calibrates = F.xxhash64("doc_id", F.lit(7)) % 4 == 0
-    split = F.array_distinct(F.split(F.lower("text"), BLANK))
-    learnt = sample.where(~calibrates).select("_y", split.alias("_words"))
-    # Toxic copies count once: near copies share their smallest word hash.
-    alike = F.array_min(F.transform("_words", lambda w: F.xxhash64(w)))
-    toxic = learnt.where("_y = 1").withColumn("_alike", alike).dropDuplicates(["_alike"]).drop("_alike")
+    learnt = sample.where(~calibrates).select("_y", F.split(F.lower("text"), BLANK).alias("_words"))
+    # Toxic copies count once: near copies share the smallest hash of their three-word windows.
+    places = F.sequence(F.lit(0), F.greatest(F.size("_words") - 3, F.lit(0)))
+    window = F.transform(places, lambda i: F.xxhash64(*[F.coalesce(F.get("_words", i + k), F.lit("")) for k in range(3)]))
+    toxic = learnt.where("_y = 1").withColumn("_alike", F.array_min(window)).dropDuplicates(["_alike"]).drop("_alike")
     least = max(least_docs, most_docs // 200 if stands_for[1] > 1 else toxic.count() // 200)
     words = (
         learnt.where("_y = 0")
         .unionByName(toxic)
-        .select("_y", F.explode("_words").alias("word"))
+        .select("_y", F.explode(F.array_distinct("_words")).alias("word"))
         .where(F.length("word") > 0)
         .groupBy("word")
         .agg(F.sum("_y").alias("_t"), F.sum(1 - F.col("_y")).alias("_o"))
@@ -206,6 +210,7 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] = ()) -> DataFrame:
     w = model.weights
     own = docs.drop("score")
     rest = [c for c in own.columns if c != "text" or c in keep]
-    most, strong, n = F.least("_most", F.lit(12)), F.least("_strong", F.lit(20)), F.col("_windows")
+    most, strong, n = (F.col(name) for name in gain_names(own))
+    most, strong = F.least(most, F.lit(12)), F.least(strong, F.lit(20))
     z = w[0] + w[1] * most + w[2] * F.log1p(strong) + w[3] * F.log1p(n)
     return with_gains(own, model.ordinary, model.toxic, keep).select(*rest, (1 / (1 + F.exp(-z))).alias("score"))
