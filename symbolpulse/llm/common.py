@@ -33,12 +33,11 @@ def join_counted(
     are read twice, so store them first.
     """
     keys = list(keys)
-    total = keyed.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
-    is_hot = F.col(count) > F.lit(max(total // hot_share, 1000))
-    hot = keyed.where(is_hot).drop(count)
-    cold = keyed.where(~is_hot).drop(count)
-    if hot.isEmpty():
-        return rows.join(cold, keys, how)
+    total, most = keyed.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
+    limit = max(total // hot_share, 1000)
+    if most <= limit:
+        return rows.join(keyed.drop(count), keys, how)
+    hot, cold = keyed.where(F.col(count) > limit).drop(count), keyed.where(F.col(count) <= limit).drop(count)
     few = rows.join(F.broadcast(hot), keys, "inner")
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return few.unionByName(rest.join(cold, keys, how))

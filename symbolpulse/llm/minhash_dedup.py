@@ -5,7 +5,7 @@ shingle picks a bin and a value; the least value of a bin is the signature, and
 borrow by optimal densification: each probes its own pseudorandom sequence of bins.  Bands
 of the signature form buckets; in a bucket all members are compared with one center, so a
 bucket of n members has n - 1 candidates.  Candidates are confirmed on the full sets.
-Members that a center does not hold are compared with further centers.
+Members that a center does not hold are compared with further centers, round by round.
 """
 
 from __future__ import annotations
@@ -186,7 +186,7 @@ def near_duplicates(
     reps = classes.select("set_id", F.col("rep").alias("doc_id"))
     keyed = sized.join(reps, ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id"])
     entries = keyed.select(F.explode("keys").alias("key"), "doc_id", "n")
-    full = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    full = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("size", F.col("m"))
     members = stored(join_counted(entries, stored(full, "buckets"), ["key"], "m"), "bucket-members")
     found = _linked(docs, members, width, percent)
     rep_of = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -210,40 +210,41 @@ def _relabelled(rows: DataFrame, column: str, moved: DataFrame) -> DataFrame:
 
 
 def _linked(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """``node, component`` of the bucket members (``key, doc_id, n``).
+    """``node, component`` of the bucket members (``key, doc_id, n, size`` of the bucket).
 
-    A round compares every member of a bucket with a center of another component.  Members
-    that stay apart from the center are open and give the next centers: one a bucket at
-    first, then a growing share of the open ones, so that some six rounds are enough.
+    A round compares the members of each bucket with one center: the most central open member,
+    the one whose buckets hold the most members.  Copies with edits of their own are nearest to
+    such a center, so a member that it does not hold is rarely held by another.  Members that
+    stay apart from it are open and give the next center, until none is open or, after three
+    rounds, two rounds in a row link nothing.
     """
-    ids = members.select("doc_id").distinct()
+    ids = members.groupBy("doc_id").agg(F.sum("size").alias("deg"))
     texts = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
     sets = stored(full_sets(texts, width).dropDuplicates(["doc_id"]), "full-sets")
-    counts = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "bucket-sizes")
-    rows = members.withColumns({"comp": F.col("doc_id"), "open": F.lit(True)})
-    turn = 1
+    rows = members.join(ids, "doc_id").withColumns({"comp": F.col("doc_id"), "open": F.lit(True)})
+    rows = stored(rows.select("key", "doc_id", "n", "size", "deg", "comp", "open"), "bucket-members")
+    turn, idle = 1, 0
     while True:
-        center = F.struct("doc_id", "n", "comp").alias("center")
-        first = rows.where("open").groupBy("key").agg(F.min(center).alias("center"))
-        centers = stored(first.join(counts, "key"), "stars")
-        stars = join_counted(rows, centers, ["key"], "m")
-        chosen = F.lit(False)
-        if turn > 2:
-            chosen = F.col("open") & (F.pmod(F.xxhash64("doc_id"), F.lit(4 ** max(0, 6 - turn))) == 0)
-            stars = stars.unionByName(rows.join(rows.where(chosen).select("key", center), "key").select(*stars.columns))
-        near = 100 * F.least("n", "center.n") >= percent * F.greatest("n", "center.n")
-        pairs = stars.where(near & (F.col("comp") != F.col("center.comp"))).select(
-            F.greatest("doc_id", "center.doc_id").alias("a"), F.least("doc_id", "center.doc_id").alias("b"),
-            F.greatest("comp", "center.comp").alias("ca"), F.least("comp", "center.comp").alias("cb"),
-        )
+        center = F.max(F.struct("deg", (-F.col("doc_id")).alias("neg"), "n", "comp"))
+        first = rows.where("open").groupBy("key").agg(center.alias("center"), F.first("size").alias("m"))
+        centers = stored(first.select("key", "m", "center.n", "center.comp", (-F.col("center.neg")).alias("doc_id")), "stars")
+        at = centers.select("key", "m", F.col("doc_id").alias("_c"), F.col("comp").alias("_comp"), F.col("n").alias("_n"))
+        stars = join_counted(rows, at, ["key"], "m")
+        near = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
+        pairs = stars.where(near & (F.col("comp") != F.col("_comp"))).select(
+            F.col("doc_id").alias("a"), F.col("_c").alias("b"), F.col("comp").alias("ca"), F.col("_comp").alias("cb")
+        )
         held = stored(confirmed(stored(pairs.distinct(), "candidates"), sets, percent), "confirmed")
-        moved = components(held.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        now = _relabelled(rows.withColumn("open", F.col("open") & ~chosen), "comp", moved)
-        at = centers.select("key", "m", F.col("center.doc_id").alias("_c"), F.col("center.comp").alias("_comp"))
-        at = stored(_relabelled(at, "_comp", moved), "stars")
-        judged = join_counted(now, at, ["key"], "m", "left")
+        now = rows
+        if held.isEmpty():
+            idle += 1
+        else:
+            idle = 0
+            moved = stored(components(held.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "moved")
+            now, at = _relabelled(now, "comp", moved), stored(_relabelled(at, "_comp", moved), "stars")
+        judged = join_counted(now, at.drop("_n"), ["key"], "m", "left")
         apart = F.col("open") & (F.col("doc_id") != F.col("_c")) & (F.col("comp") != F.col("_comp"))
         rows = stored(judged.withColumn("open", F.coalesce(apart, F.lit(False))).drop("_c", "_comp"), "bucket-members")
         turn += 1
-        if rows.where("open").isEmpty():
+        if turn > 4 and idle > 1 or rows.where("open").isEmpty():
             return rows.select(F.col("doc_id").alias("node"), F.col("comp").alias("component")).distinct()
