@@ -94,7 +94,7 @@ def suffixes(docs: DataFrame, least: int) -> DataFrame:
 
 NEIGHBOURS = (
     "doc_id long, low int, high int, head long, whole long, head_first long, head_last long, "
-    "whole_first long, whole_last long, contested boolean, cut boolean"
+    "whole_first long, whole_last long, contested boolean, cut boolean, whole_cut boolean"
 )
 
 
@@ -126,8 +126,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group = np.cumsum(new_head) - 1
     contested = (np.bincount(group, new_whole) > 1)[group]
     cut = (group == 0) | (group == group[-1])
+    run = np.cumsum(new_whole) - 1
+    whole_cut = (run == 0) | (run == run[-1])
     keep = cut | (head_first != head_last)
-    arrays = (doc, low, high, head, whole, head_first, head_last, whole_first, whole_last, contested, cut)
+    arrays = (doc, low, high, head, whole, head_first, head_last, whole_first, whole_last, contested, cut, whole_cut)
     names = [part.split()[0] for part in NEIGHBOURS.split(", ")]
     at = np.flatnonzero(keep)
     for i in range(0, len(at), 50_000):
@@ -139,23 +141,41 @@ def neighbours(rows: DataFrame) -> DataFrame:
     """Suffixes that share their seed with another document.
 
     The sort key ends with the document, so a group of any size spreads over partitions; the
-    pieces that partition bounds cut are put together by an aggregation.
+    pieces that partition bounds cut are told what their group holds elsewhere.
     """
     order = ["head", "whole", "doc_id"]
     sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     found = stored(sorted_.select("doc_id", "low", "high", "head", "whole").mapInArrow(_compare, NEIGHBOURS), "neighbours")
     pieces = found.where("cut")
-    wholes = pieces.groupBy("head", "whole").agg(F.min("whole_first").alias("whole_first"), F.max("whole_last").alias("whole_last"), F.count(F.lit(1)).alias("n"))
-    wholes = stored(wholes, "cut-wholes")
-    heads = stored(
-        wholes.groupBy("head").agg(
-            F.min("whole_first").alias("head_first"), F.max("whole_last").alias("head_last"), (F.count(F.lit(1)) > 1).alias("contested"), F.sum("n").alias("n")
-        ),
-        "cut-heads",
+    # A partition has two ends, so these are two groups for each partition at most.
+    heads = pieces.groupBy("head").agg(
+        F.min("head_first"), F.max("head_last"), (F.max("contested") | (F.min("whole") != F.max("whole"))).cast("long")
     )
-    own = pieces.select("doc_id", "low", "high", "head", "whole")
-    mended = join_counted(join_counted(own, wholes, ["head", "whole"]), heads, ["head"])
-    return found.where("not cut").drop("cut").unionByName(mended).where("head_first <> head_last")
+    wholes = pieces.where("whole_cut").groupBy("whole", "head").agg(F.min("whole_first"), F.max("whole_last"))
+    mended = _mended(pieces, [tuple(r) for r in heads.collect()], [tuple(r) for r in wholes.collect()])
+    return found.where("not cut").unionByName(mended).drop("cut", "whole_cut").where("head_first <> head_last")
+
+
+def _mended(pieces: DataFrame, heads: list[tuple], wholes: list[tuple]) -> DataFrame:
+    """Rows of cut groups with what is known of the whole group."""
+    head_table = np.array(sorted(heads), np.int64).reshape(-1, 4)
+    whole_table = {(w, h): (first, last) for w, h, first, last in wholes}
+    names = pieces.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = dict(zip(names, batch.columns, strict=True))
+            at = np.searchsorted(head_table[:, 0], columns["head"].to_numpy())
+            first, last = (columns[c].to_numpy().copy() for c in ("whole_first", "whole_last"))
+            ends = zip(columns["whole"].to_pylist(), columns["head"].to_pylist(), columns["whole_cut"].to_pylist(), strict=True)
+            for i, (whole, head, cut) in enumerate(ends):
+                if cut:
+                    first[i], last[i] = whole_table[whole, head]
+            columns |= {"head_first": pa.array(head_table[at, 1]), "head_last": pa.array(head_table[at, 2])}
+            columns |= {"contested": pa.array(head_table[at, 3] > 0), "whole_first": pa.array(first), "whole_last": pa.array(last)}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    return pieces.mapInArrow(run, pieces.schema)
 
 
 def _windows(docs: DataFrame, stretches: DataFrame, least: int) -> DataFrame:
