@@ -265,10 +265,10 @@ def vote_weight(upvotes: Column | str) -> Column:
     return 1 + F.log10(1 + as_col(upvotes))
 
 
-def clean_votes(raw: Column | str) -> Column:
-    """Votes as int between 0 and the cap, 0 if unreadable (VAL3)."""
+def clean_votes(raw: Column | str, cap: int = UPVOTE_CAP) -> Column:
+    """Votes as int between 0 and ``cap``, 0 if unreadable (VAL3)."""
     number = F.coalesce(as_col(raw).try_cast("bigint"), F.lit(0))
-    return F.least(F.greatest(number, F.lit(0)), F.lit(UPVOTE_CAP)).cast("int")
+    return F.least(F.greatest(number, F.lit(0)), F.lit(cap)).cast("int")
 
 
 def hotness_level(hotness: Column | str) -> Column:

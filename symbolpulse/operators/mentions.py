@@ -1,8 +1,7 @@
 """Which post mentions which symbol.
 
 Aliases are found by an equi join on their first word, so the work is one hash
-probe per word of text and does not grow with the number of aliases.  A match row
-carries only the few words it needs for the exact check, never the whole text.
+probe per distinct word of a text and does not grow with the number of aliases.
 
 Arrays of words are exploded with the outer form on purpose: the plain form adds a
 filter on the array's size, which evaluates the regular expressions a second time.
@@ -10,13 +9,12 @@ filter on the array's size, which evaluates the regular expressions a second tim
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import as_col
-from ..functions.fixed_values import BUCKET_POSTS, BUCKET_TEXT_CHARS
 from ..functions.scores import DEFAULT_LEXICON, lexicon_score
 from ..functions.symbols import (
     cashtags,
@@ -30,12 +28,6 @@ from ..functions.symbols import (
 from ..functions.text import combined_text
 from .tables import first_per_key
 
-# A normalised tag has at most 12 characters, hence at most 6 words.
-TAG_WORDS = 6
-# What joins the words of a normalised tag.
-TAG_JOINTS = (".", "-")
-# So many first words of names may travel in a plan.
-FEW = 1000
 # Characters that make up a word, per matching rule.
 WORD_CHARS = {"bucket": "A-Za-z0-9", "trend": r"\p{L}\p{N}_"}
 
@@ -62,11 +54,11 @@ def alias_patterns(aliases: DataFrame, rule: str) -> DataFrame:
     )
 
 
-def _boundary(rule: str) -> Column:
+def _boundary(rule: str, at: Column, before: Column, context: Column) -> Column:
     """Do the characters around the alias allow a match?"""
     word = WORD_CHARS[rule]
-    lead, body, before, context = (F.col(c) for c in ("lead", "body", "before", "context"))
-    at_start = F.col("at") == 0
+    lead, body = F.col("lead"), F.col("body")
+    at_start = at == 0
     after = F.substring(context, F.length(body) + 1, F.lit(1))
     word_after = after.rlike(f"^[{word}]")
     extra = F.length(before) - F.length(lead)
@@ -85,54 +77,20 @@ def _words(word: str) -> Column:
     return F.regexp_extract_all(F.lower("text"), F.lit(f"[{word}]+"), F.lit(0))
 
 
-def _lookups(
-    posts: DataFrame, word: str, keep: Sequence[str], max_words: int, may_start: Callable[[Column, Column], Column]
-) -> DataFrame:
-    """What has to be looked up for a text, in one pass over it.
-
-    A row per distinct word, and a row with place and surroundings per word that may
-    start a longer name (``may_start`` looks at a word and the gap after it).  Rows
-    are built inside the array of words and exploded afterwards, so that no exploded
-    row drags the arrays of its whole text along.
-    """
-    split = posts.select(
-        *keep, _words(word).alias("words_"), F.split(F.lower("text"), f"[{word}]+").alias("gaps_")
-    )
-    empty, no_text = F.lit(""), F.lit(None).cast("string")
+def _stands_in(rule: str) -> Column:
+    """Does the name (``lead, body, first, words``) stand anywhere in the text's words and gaps?"""
+    places = F.filter(F.transform("words_", lambda w, i: F.when(w == F.col("first"), i)), lambda i: i.isNotNull())
 
-    def row(first, at, before, context):
-        return F.struct(
-            first.alias("first"), at.alias("at"), before.alias("before"), context.alias("context")
+    def fits(at: Column) -> Column:
+        # One word more than the name shows what follows it.
+        ahead = F.transform(
+            F.sequence(F.lit(0), F.col("words")), lambda k: F.array(F.get("words_", at + k), F.get("gaps_", at + k + 1))
         )
+        context = F.array_join(F.flatten(ahead), "")
+        begins = F.substring(context, F.lit(1), F.length("body")) == F.col("body")
+        return begins & _boundary(rule, at, F.get("gaps_", at), context)
 
-    def spot(first, at):
-        ahead = [first]
-        # One word more than the longest name shows what follows it.
-        for k in range(1, max_words + 1):
-            ahead += [F.coalesce(F.get("gaps_", at + k), empty), F.coalesce(F.get("words_", at + k), empty)]
-        found = row(first, at, F.get("gaps_", at), F.concat(*ahead))
-        return F.when(may_start(first, F.get("gaps_", at + 1)), found)
-
-    rows = F.transform(
-        F.array_distinct("words_"), lambda w: row(w, F.lit(None).cast("int"), no_text, no_text)
-    )
-    if max_words:
-        rows = F.concat(rows, F.array_compact(F.transform("words_", spot)))
-    exploded = split.select(*keep, rows.alias("rows_")).select(*keep, F.explode_outer("rows_").alias("r"))
-    return exploded.select(*keep, "r.*")
-
-
-def _starts(patterns: DataFrame) -> tuple[int, Callable[[Column, Column], Column]]:
-    """Words of the longest name, and a test for words that start a name.
-
-    Up to ``FEW`` first words travel in the plan; beyond that every word is a
-    candidate and the join decides.  Runs a small job over the names.
-    """
-    firsts = patterns.groupBy("first").agg(F.max("words").alias("words")).limit(FEW + 1).collect()
-    if len(firsts) <= FEW:
-        longest = max((r["words"] for r in firsts), default=0)
-        return longest, lambda first, gap: first.isin(*[r["first"] for r in firsts])
-    return patterns.agg(F.max("words")).first()[0], lambda first, gap: F.lit(True)
+    return F.exists(places, fits)
 
 
 def alias_matches(
@@ -146,23 +104,29 @@ def alias_matches(
 
     ``posts`` has a ``text`` column; ``keep`` names the narrow columns to carry and
     must identify a post.  ``aliases`` has ``symbol`` and ``alias``, ``tags`` adds
-    normalised symbols to look for as words.  Names of one plain word are looked up
-    among the distinct words of a text; only names of several words or with signs
-    need the words around a hit.  A small job over ``aliases`` plans that part.
+    normalised symbols to look for as words.  The distinct words of a text meet the first
+    words of the names in one equi join.  That settles names of one plain word; for names
+    of several words or with signs, texts that hold their first word are looked at again.
     """
     word = WORD_CHARS[rule]
     plain = (F.col("lead") == "") & (F.col("body") == F.col("first"))
-    patterns = alias_patterns(aliases, rule).withColumn("plain", plain)
-    max_words, may_start = _starts(patterns.where("NOT plain"))
+    patterns = alias_patterns(aliases, rule)
     if tags is not None:
-        as_names = tags.select("symbol", F.col("symbol").alias("alias"))
-        patterns = patterns.unionByName(alias_patterns(as_names, rule).withColumn("plain", plain))
-        max_words, named = max(max_words, TAG_WORDS), may_start
-        may_start = lambda first, gap: named(first, gap) | gap.isin(*TAG_JOINTS)
-    begins = F.substring("context", F.lit(1), F.length("body")) == F.col("body")
-    hit = F.when(F.col("plain"), F.col("at").isNull()).otherwise(begins & _boundary(rule))
-    found = _lookups(posts, word, keep, max_words, may_start).join(patterns, "first")
-    return found.where(hit).select(*keep, "symbol").distinct()
+        patterns = patterns.unionByName(alias_patterns(tags.select("symbol", F.col("symbol").alias("alias")), rule))
+    patterns = patterns.withColumn("plain", plain)
+    rows = posts.select(*keep, F.explode_outer(F.array_distinct(_words(word))).alias("first"))
+    found = rows.join(patterns, "first")
+    settled = found.where("plain").select(*keep, "symbol")
+    name = F.struct("symbol", "lead", "body", "first", "words")
+    again = found.where("NOT plain").groupBy(*[F.col(c).alias(f"_{c}") for c in keep]).agg(F.collect_set(name).alias("names_"))
+    same = F.lit(True)
+    for column in keep:
+        same = same & F.col(column).eqNullSafe(F.col(f"_{column}"))
+    texts = posts.select(*keep, "text").join(again, same).select(
+        *keep, "names_", _words(word).alias("words_"), F.split(F.lower("text"), f"[{word}]+").alias("gaps_")
+    )
+    spread = texts.select(*keep, "words_", "gaps_", F.explode("names_").alias("name_")).select(*keep, "words_", "gaps_", "name_.*")
+    return settled.unionByName(spread.where(_stands_in(rule)).select(*keep, "symbol")).distinct()
 
 
 def alias_table(aliases: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
@@ -267,10 +231,14 @@ def bucket_posts(
     symbols: DataFrame,
     aliases: DataFrame,
     master: DataFrame | None = None,
-    per_symbol: int = BUCKET_POSTS,
+    per_symbol: int | None = None,
+    text_chars: int | None = None,
     score=None,
 ) -> DataFrame:
-    """Newest posts per requested or discovered symbol, scored (BKT1).
+    """Posts per requested or discovered symbol, scored (BKT1).
+
+    ``per_symbol`` keeps the newest ones only, ``text_chars`` cuts their texts; by default
+    all posts stay and whole texts are scored.
 
     ``posts``: id, created_utc, title, text, upvotes, num_comments.  ``score`` maps
     the text column to a score; the lexicon is the default.
@@ -285,9 +253,11 @@ def bucket_posts(
             found.select(F.col("symbol").alias("ticker"), F.explode("aliases").alias("alias"))
         )
     hits = alias_matches(whole, exchange_aliases(names, tracked), "bucket", ["id", "created_utc"])
-    newest = first_per_key(hits, ["symbol"], F.col("created_utc").desc(), F.col("id"), n=per_symbol)
+    newest = hits
+    if per_symbol is not None:
+        newest = first_per_key(hits, ["symbol"], F.col("created_utc").desc(), F.col("id"), n=per_symbol)
     # Texts come back only for the posts that are kept.
-    texts = whole.withColumn("text", F.substring("text", 1, BUCKET_TEXT_CHARS))
+    texts = whole if text_chars is None else whole.withColumn("text", F.substring("text", 1, text_chars))
     scorer = score or (lambda text: F.coalesce(lexicon_score(text, DEFAULT_LEXICON), F.lit(0.0)))
     return (
         newest.select(F.col("symbol").alias("ticker"), "id")

@@ -101,12 +101,15 @@ def first_by_hash(df: DataFrame, keys: Sequence[str], ident: str, seed: int, siz
     below it are taken, and ties at it (same hash) are settled by ``ident``.
     """
     keys = list(keys)
-    marked = df.withColumn("_hash", F.xxhash64(F.col(ident), F.lit(seed)))
+    # The first 60 bits of the digest, as a number that keeps the order of the text.
+    digest = F.md5(F.concat(F.col(ident).cast("string"), F.lit(f"-{seed}")))
+    marked = df.withColumn("_hash", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"))
     last = lambda n: size(n) - 1
     cut = values_at(marked, keys, "_hash", last, last).select(
         *keys, F.col("_hash").alias("_cut"), (F.col("_high") - F.col("_below") + 1).alias("_room")
     )
-    joined = marked.join(cut, keys)
+    # One row for each group; groups are classes here.
+    joined = marked.join(F.broadcast(cut), keys)
     below = joined.where(F.col("_hash") < F.col("_cut"))
     ties = joined.where(F.col("_hash") == F.col("_cut")).withColumn(
         "_rn", F.row_number().over(Window.partitionBy(*keys, "_hash").orderBy(ident))
@@ -114,6 +117,19 @@ def first_by_hash(df: DataFrame, keys: Sequence[str], ident: str, seed: int, siz
     return below.unionByName(ties.where(F.col("_rn") <= F.col("_room")).drop("_rn")).select(*df.columns)
 
 
+def quantile(df: DataFrame, value: str, q: float) -> DataFrame:
+    """One row ``quantile``: the exact value at share ``q``, between two values in proportion."""
+    at = lambda n: q * (n - 1)
+    found = values_at(df, [], value, lambda n: F.floor(at(n)), lambda n: F.ceil(at(n)))
+    total = df.where(F.col(value).isNotNull()).agg(F.count(F.lit(1)).alias("_total"))
+    covers = lambda rank: (F.col("_below") <= F.col(rank)) & (F.col(rank) < F.col("_below") + F.col("_n"))
+    ends = found.agg(
+        F.max(F.when(covers("_low"), F.col(value))).alias("_a"), F.max(F.when(covers("_high"), F.col(value))).alias("_b"), F.max("_low").alias("_low")
+    )
+    # Both sides are one row.
+    return ends.join(F.broadcast(total)).select((F.col("_a") + (F.col("_b") - F.col("_a")) * (at(F.col("_total")) - F.col("_low"))).alias("quantile"))
+
+
 def roc_auc(df: DataFrame, keys: Sequence[str], label: str, proba: str) -> DataFrame:
     """Area under the ROC curve per group, NULL with one class only (MET2).
 

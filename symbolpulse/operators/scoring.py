@@ -27,37 +27,39 @@ ScoreModel = Callable[[list[str]], list[float]]
 LABELS = "array<struct<label:string,score:double>>"
 
 
-def _on_present(texts: pd.Series, call: Callable, batch: int) -> pd.Series:
-    """Run ``call`` over the non-null texts; a failing batch stays NULL."""
+def _on_present(texts: pd.Series, call: Callable, batch: int, skip_errors: bool) -> pd.Series:
+    """Run ``call`` over the non-null texts; with ``skip_errors`` a failing batch stays NULL."""
     out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
     present = texts.dropna()
     for start in range(0, len(present), batch):
         part = present.iloc[start : start + batch]
         try:
             results = call(part.tolist())
-        except Exception:  # a broken model must not fail the job: the next scorer takes over
+        except Exception:
+            if not skip_errors:
+                raise
             continue
         for index, result in zip(part.index, results):
             out.at[index] = result
     return out
 
 
-def label_scorer(model: LabelModel, batch: int = 32) -> Callable[[Column], Column]:
+def label_scorer(model: LabelModel, batch: int = 32, skip_errors: bool = False) -> Callable[[Column], Column]:
     """A model that returns label scores per text, as a column function."""
 
     @pandas_udf(LABELS)
     def score(texts: pd.Series) -> pd.Series:
-        return _on_present(texts, model, batch)
+        return _on_present(texts, model, batch, skip_errors)
 
     return score
 
 
-def number_scorer(model: ScoreModel, batch: int = 1024) -> Callable[[Column], Column]:
+def number_scorer(model: ScoreModel, batch: int = 1024, skip_errors: bool = False) -> Callable[[Column], Column]:
     """A model that returns one number per text, as a column function."""
 
     @pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return _on_present(texts, model, batch).astype("float64")
+        return _on_present(texts, model, batch, skip_errors).astype("float64")
 
     return score
 
@@ -69,23 +71,25 @@ def score_texts(
     english: LabelModel | None = None,
     other: LabelModel | None = None,
     fallback: ScoreModel | None = None,
+    skip_errors: bool = False,
 ) -> DataFrame:
     """Add ``score`` and ``method``: model by language, then fallback, then word rules (SCR7).
 
     A missing model hands its language to the other one.  Each model sees only the
-    texts routed to it.
+    texts routed to it.  A model that raises fails the job; with ``skip_errors`` its batch
+    goes to the next scorer, and counting ``method`` tells how often.
     """
     cleaned = df.withColumn("_clean", clean_for_model(text)).withColumn("_boost", word_boost("_clean"))
     filled = F.col("_clean") != ""
     is_english = F.coalesce(as_col(lang), F.lit("en")) == "en"
     columns = {}
     if english is not None and other is not None:
-        columns["_english"] = label_scorer(english)(F.when(filled & is_english, F.col("_clean")))
-        columns["_other"] = label_scorer(other)(F.when(filled & ~is_english, F.col("_clean")))
+        columns["_english"] = label_scorer(english, skip_errors=skip_errors)(F.when(filled & is_english, F.col("_clean")))
+        columns["_other"] = label_scorer(other, skip_errors=skip_errors)(F.when(filled & ~is_english, F.col("_clean")))
     elif english is not None:
-        columns["_english"] = label_scorer(english)(F.when(filled, F.col("_clean")))
+        columns["_english"] = label_scorer(english, skip_errors=skip_errors)(F.when(filled, F.col("_clean")))
     elif other is not None:
-        columns["_other"] = label_scorer(other)(F.when(filled, F.col("_clean")))
+        columns["_other"] = label_scorer(other, skip_errors=skip_errors)(F.when(filled, F.col("_clean")))
     scored = cleaned.withColumns(columns) if columns else cleaned
 
     value, method = F.lit(None).cast("double"), F.lit(None).cast("string")
@@ -97,7 +101,7 @@ def score_texts(
     if fallback is not None:
         # Only texts no model has scored reach the fallback.
         open_text = F.when(filled & F.col("_value").isNull(), F.col("_clean"))
-        scored = scored.withColumn("_second", number_scorer(fallback)(open_text))
+        scored = scored.withColumn("_second", number_scorer(fallback, skip_errors=skip_errors)(open_text))
         scored = scored.withColumn(
             "method", F.when(F.col("_second").isNotNull(), "fallback").otherwise(F.col("method"))
         ).withColumn("_value", F.coalesce("_value", "_second"))
@@ -115,15 +119,18 @@ def enrich_posts(
     posts: DataFrame,
     score: Callable[[str], Column] | None = None,
     id_columns: Sequence[str] = ("id", "name", "link_id"),
+    text_chars: int | None = None,
 ) -> DataFrame:
     """Cleaned, scored and weighted post rows, one per (id, ticker) (ENR1).
 
+    Whole texts are scored; ``text_chars`` cuts them as in :func:`clean_posts`.
+
     Upsert the result into the enriched table by (id, ticker).
     """
     scorer = score or (lambda text: lexicon_score(text, DEFAULT_LEXICON))
     empty = F.lit(None).cast("double")
     rows = (
-        clean_posts(posts, id_columns)
+        clean_posts(posts, id_columns, text_chars)
         .select("id", F.upper("ticker").alias("ticker"), "created_utc", "text", "upvotes")
         .withColumn("sentiment_dict", scorer("text").cast("double"))
         .withColumn("sentiment_weighted", F.col("sentiment_dict") * vote_weight("upvotes"))

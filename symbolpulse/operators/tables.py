@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import as_col
-from ..functions.fixed_values import ENRICHED_TEXT_CHARS
 from ..functions.scores import clean_votes
 from ..functions.times import last_trading_date
 
@@ -28,13 +27,16 @@ def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column, n: int = 1
     return ranked.where(F.col("_rn") <= n).drop("_rn")
 
 
-def upsert(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+def upsert(target: DataFrame, changes: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """Replace rows of ``target`` by key and add new ones (UPS1).
 
-    ``changes`` holds one row per key; use :func:`first_per_key` before if not.
+    Of several changes to a key the first in ``order`` counts, by default the last in the
+    order of all other columns.
     """
-    kept = target.join(changes.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(changes.select(*target.columns))
+    rest = [F.col(c).desc() for c in target.columns if c not in keys]
+    single = first_per_key(changes, keys, *(order or rest or [F.lit(1)]))
+    kept = target.join(single.select(*keys), list(keys), "left_anti")
+    return kept.unionByName(single.select(*target.columns))
 
 
 def insert_absent(target: DataFrame, rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
@@ -143,17 +145,23 @@ def coerce_posts(df: DataFrame) -> DataFrame:
     )
 
 
-def clean_posts(df: DataFrame, id_columns: Sequence[str] = ("id", "name", "link_id")) -> DataFrame:
-    """Rows with an id and a time; votes clamped, text cut to the column's length (VAL3)."""
+def clean_posts(
+    df: DataFrame, id_columns: Sequence[str] = ("id", "name", "link_id"), text_chars: int | None = None
+) -> DataFrame:
+    """Rows with an id and a time, votes clamped (VAL3).
+
+    Texts stay whole unless ``text_chars`` is given, the length of a table's column.
+    """
     present = [c for c in id_columns if c in df.columns]
     # The first non-empty raw value is taken, then trimmed.
     raw = F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in present])
+    text = F.coalesce("text", F.lit(""))
     return (
         df.withColumn("_id", F.nullif(F.trim(raw), F.lit("")))
         .withColumn("created_utc", F.try_to_timestamp(F.col("created_utc").cast("string")))
         .where(F.col("_id").isNotNull() & F.col("created_utc").isNotNull())
         .withColumn("upvotes", clean_votes("upvotes"))
-        .withColumn("text", F.substring(F.coalesce("text", F.lit("")), 1, ENRICHED_TEXT_CHARS))
+        .withColumn("text", text if text_chars is None else F.substring(text, 1, text_chars))
         .withColumn("id", F.col("_id"))
         .drop("_id")
     )
@@ -178,18 +186,26 @@ def in_symbols(df: DataFrame, symbols: DataFrame | Sequence[str], column: str =
 def number_rows(df: DataFrame, order: str, start: Column | int = 1, out: str = "number") -> DataFrame:
     """Consecutive numbers in the order of a unique bigint column.
 
-    Blocks of 65,536 consecutive order values are counted, block offsets are summed
-    over the block table, and rows are numbered inside their block: no task ever
-    holds more than one block, or one row per block.
+    The values form a tree of blocks with 65,536 children each.  Rows are counted for every
+    block, counts are summed over the blocks before it inside its parent, and rows are
+    numbered inside their block: no window is larger, however the values are spread.
     """
-    blocked = df.withColumn("_block", F.shiftright(F.col(order), 16))
-    sizes = blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = F.row_number().over(Window.partitionBy("_block").orderBy(order))
+    levels = ["_block1", "_block2", "_block3"]
+    numbered = df.withColumns({name: F.shiftright(F.col(order), 16 * (i + 1)) for i, name in enumerate(levels)})
+    sizes = numbered.groupBy(*levels).agg(F.count(F.lit(1)).alias("_n"))
+    offsets, counts = None, sizes
+    for i, name in enumerate(levels):
+        parents = levels[i + 1 :]
+        counts = counts.groupBy(name, *parents).agg(F.sum("_n").alias("_n"))
+        # The highest level has 65,536 blocks at most and no parent.
+        before = Window.partitionBy(*parents).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+        own = counts.select(name, *parents, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(f"_before{i}"))
+        offsets = own if offsets is None else offsets.join(own, [name, *parents])
+    offset = sum(F.col(f"_before{i}") for i in range(len(levels)))
+    within = F.row_number().over(Window.partitionBy(*levels).orderBy(order))
     base = F.lit(start) if isinstance(start, int) else start
     return (
-        blocked.join(offsets, "_block")
+        numbered.join(offsets.select(*levels, offset.alias("_offset")), levels)
         .withColumn(out, (base - 1 + F.col("_offset") + within).cast("bigint"))
-        .drop("_block", "_offset")
+        .drop(*levels, "_offset")
     )

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import as_col
 from ..functions.fixed_values import WATCHLIST_RULES
+from . import ranks
 from .tables import first_per_key
 
 
@@ -57,12 +58,12 @@ def _lift_floor(counts: DataFrame, min_lift: float, quantile: float | None) -> C
     """Least lift, adapted to a quantile of the baseline rates when asked (TRD3)."""
     if quantile is None:
         return F.lit(float(min_lift))
-    q = F.percentile("rate", F.lit(quantile))
+    q = ranks.quantile(counts, "rate", quantile).scalar()
     ratio = F.max(F.greatest(F.lit(1.0), F.col("base_hours") / F.col("window_hours")))
-    floor = F.when(
+    ratio = counts.agg(ratio.alias("ratio")).scalar()
+    return F.when(
         q < 1.0, F.greatest(F.lit(1.5), min_lift * F.greatest(q, F.lit(0.1)))
     ).otherwise(F.greatest(F.lit(float(min_lift)), min_lift * q / ratio))
-    return counts.agg(floor.alias("floor")).scalar()
 
 
 def score_counts(
@@ -181,6 +182,15 @@ def spikes(
     return counted.where((F.col("recent") >= min_mentions) & high)
 
 
+def _is_pattern(pattern: str) -> bool:
+    """Does the engine that will run it take the pattern?"""
+    try:
+        SparkSession.active().sql("SELECT '' RLIKE :pattern", args={"pattern": pattern}).collect()
+    except PySparkException:
+        return False
+    return True
+
+
 def parse_rules(raw: str) -> list[tuple[str | None, int, float]]:
     """``PATTERN:mentions:lift,...`` to rules; unreadable ones are skipped (JON10)."""
     rules: list[tuple[str | None, int, float]] = []
@@ -191,8 +201,9 @@ def parse_rules(raw: str) -> list[tuple[str | None, int, float]]:
         pattern = pieces[0].strip()
         try:
             limits = int(pieces[1]), float(pieces[2])
-            re.compile(pattern)
-        except (ValueError, re.error):
+        except ValueError:
+            continue
+        if not _is_pattern(pattern):
             continue
         rules.append((None if pattern.lower() == "default" else pattern, *limits))
     return rules

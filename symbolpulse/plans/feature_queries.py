@@ -216,13 +216,12 @@ def win13(spark, sf):
     "jon2",
     """
     SELECT p.ticker, p.date, p.close, coalesce(m.sentiment, 0) AS sentiment
-    FROM prices p LEFT JOIN (SELECT * FROM market_daily WHERE posts >= 2) m USING (ticker, date)""",
+    FROM prices p LEFT JOIN market_daily m USING (ticker, date)""",
     "prices market_daily",
     dates="date",
 )
 def jon2(spark, sf):
-    mood = V.market_daily(spark, sf).where("posts >= 2")
-    return features.join_sentiment(V.prices(spark, sf).select("ticker", "date", "close"), mood)
+    return features.join_sentiment(V.prices(spark, sf).select("ticker", "date", "close"), V.market_daily(spark, sf))
 
 
 _ALL = {name: expr for group in GROUPS_SQL.values() for name, expr in group.items()}
@@ -421,12 +420,25 @@ def mod2(spark, sf):
     return training.expanding_folds(features.training_rows(labelled)).select("ticker", "date", "fold")
 
 
-@query("mod3")
+# The order of the sample: the first digits of a digest of the id and the seed.
+_DRAWN = "SELECT *, row_number() OVER (PARTITION BY y ORDER BY left(md5(doc_id || '-42'), 15), doc_id) AS place, count(*) OVER (PARTITION BY y) AS size FROM scores"
+
+
+@query(
+    "mod3",
+    f"""SELECT doc_id, ticker, y, p, actual_return FROM ({_DRAWN})
+    WHERE place <= (SELECT min(n) FROM (SELECT count(*) AS n FROM scores GROUP BY y))""",
+    "scores",
+)
 def mod3(spark, sf):
     return training.undersample(V.scores(spark, sf), "y", "doc_id")
 
 
-@query("mod4")
+@query(
+    "mod4",
+    f"SELECT doc_id, ticker, y, p, actual_return, place <= ceil(size * 0.2) AS is_test FROM ({_DRAWN})",
+    "scores",
+)
 def mod4(spark, sf):
     return training.stratified_test(V.scores(spark, sf), "y", "doc_id")
 

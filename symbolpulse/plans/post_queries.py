@@ -352,11 +352,11 @@ def _mix(spark, sf):
     SELECT id, round(greatest(-1, least(1, CASE WHEN abs(model) < 0.2 AND second <> 0
                      THEN 0.6 * model + 0.4 * second ELSE model END
                + greatest(-0.6, least(0.6, coalesce(lexicon, 0) / 4)))), 6) AS score
-    FROM ({_MIX}) WHERE model IS NOT NULL""",
+    FROM (SELECT * REPLACE (coalesce(model, 0) AS model) FROM ({_MIX}))""",
     "posts",
 )
 def scr6(spark, sf):
-    rows = _mix(spark, sf).where(F.col("model").isNotNull())
+    rows = _mix(spark, sf).withColumn("model", F.coalesce("model", F.lit(0.0)))
     return rounded(rows.select("id", S.blend("model", "second", "lexicon").alias("score")))
 
 
@@ -451,7 +451,7 @@ def rnk2(spark, sf):
     SELECT id, ticker FROM posts WHERE created_utc < TIMESTAMP '2024-01-20 00:00:00' AND ticker <> 'CLICK'
     UNION ALL
     SELECT CASE WHEN ticker <> 'SIGNUP' THEN id END, ticker FROM posts p
-    WHERE created_utc >= TIMESTAMP '2024-01-10 00:00:00'
+    WHERE (created_utc >= TIMESTAMP '2024-01-10 00:00:00' OR ticker = 'CLICK')
       AND (ticker = 'SIGNUP' OR NOT EXISTS (SELECT 1 FROM posts q WHERE q.id = p.id
            AND q.created_utc < TIMESTAMP '2024-01-20 00:00:00' AND q.ticker <> 'CLICK'))""",
     "posts",
@@ -459,7 +459,7 @@ def rnk2(spark, sf):
 def set2(spark, sf):
     rows = V.posts(spark, sf)
     old = rows.where("created_utc < timestamp'2024-01-20 00:00:00' AND ticker <> 'CLICK'").select("id", "ticker")
-    new = rows.where("created_utc >= timestamp'2024-01-10 00:00:00'").select(
+    new = rows.where("created_utc >= timestamp'2024-01-10 00:00:00' OR ticker = 'CLICK'").select(
         F.when(F.col("ticker") != "SIGNUP", F.col("id")).alias("id"), "ticker"
     )
     return tables.merge_posts(old, new)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import tables, trends
-from ..operators.storage import shared_dir
+from ..operators.storage import new_folder
 from ..streaming import streams
 from . import views as V
 from .post_queries import HOURLY, ROUND_MOOD
@@ -15,14 +13,21 @@ from .registry import ORACLES, query
 from .rounding import rounded
 
 
+#: Options of the stream's reader; tests set how many files make a batch.
+READ_OPTIONS: dict[str, str] = {}
+
+
 def _events(spark, sf):
-    """The event files as a stream."""
+    """The event table, one file or a folder of them, as a stream.
+
+    The path is written as a pattern: a stream takes any other path for a folder.
+    """
     schema = V.load(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
+    return spark.readStream.schema(schema).options(**READ_OPTIONS).parquet(f"{sf}/events.parque[t]")
 
 
 def _folders(spark):
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = new_folder(spark, "stream")
     return f"{base}/table", f"{base}/progress"
 
 
@@ -69,8 +74,8 @@ def str3(spark, sf):
     """
     WITH r AS (SELECT p_partkey AS id, upper(['view', 'click', 'error', 'signup', 'purchase'][1 + p_partkey % 5]) AS ticker,
                       CASE WHEN p_size < 25 THEN '<' ELSE '>=' END AS op, p_size * 1.0::DOUBLE AS price FROM part),
-    l AS (SELECT upper(event_type) AS ticker, arg_max(value, row(ts, event_id)) AS last FROM events GROUP BY 1)
-    SELECT id, CASE WHEN op = '<' THEN last >= price ELSE last < price END AS active FROM r JOIN l USING (ticker)""",
+    l AS (SELECT upper(event_type) AS ticker, min(value) AS low, max(value) AS high FROM events GROUP BY 1)
+    SELECT id, CASE WHEN op = '<' THEN low >= price ELSE high < price END AS active FROM r JOIN l USING (ticker)""",
 )
 def str4(spark, sf):
     kinds = F.array(*[F.lit(k) for k in ("VIEW", "CLICK", "ERROR", "SIGNUP", "PURCHASE")])

@@ -189,9 +189,10 @@ def inc3(spark, sf):
 
 
 _SOURCES = """
-    one AS (SELECT date, ticker, close FROM prices WHERE date >= DATE '2001-10-25'),
-    two AS (SELECT date, ticker, close FROM prices WHERE date BETWEEN DATE '2001-10-01' AND DATE '2001-10-20'),
-    three AS (SELECT date, ticker, close FROM prices WHERE date < DATE '1996-01-01')"""
+    all_ AS (SELECT date, ticker, close, CAST(substr(ticker, 2) AS INTEGER) % 4 AS k FROM prices),
+    one AS (SELECT date, ticker, close FROM all_ WHERE k = 0),
+    two AS (SELECT date, ticker, close * 2 AS close FROM all_ WHERE k <= 1),
+    three AS (SELECT date, ticker, close * 3 AS close FROM all_)"""
 
 
 @query(
@@ -205,11 +206,9 @@ _SOURCES = """
 )
 def inc4(spark, sf):
     rows = _bars(spark, sf).drop("volume")
-    return tables.merge_sources(
-        rows.where("date >= date'2001-10-25'"),
-        rows.where("date BETWEEN date'2001-10-01' AND date'2001-10-20'"),
-        rows.where("date < date'1996-01-01'"),
-    )
+    part = F.substring("ticker", 2, 10).cast("int") % 4
+    priced = lambda times: rows.withColumn("close", F.col("close") * times)
+    return tables.merge_sources(rows.where(part == 0), priced(2).where(part <= 1), priced(3))
 
 
 @query("val1", "SELECT date, ticker, open, high, low, close, adj_close, volume FROM prices", "prices", dates="date")
@@ -245,7 +244,7 @@ def val2(spark, sf):
 @query(
     "val3",
     """
-    SELECT coalesce(CASE WHEN lang <> 'de' THEN CAST(doc_id AS VARCHAR) END, 'n' || doc_id) AS id, md5(left(text, 4096)) AS text,
+    SELECT coalesce(CASE WHEN lang <> 'de' THEN CAST(doc_id AS VARCHAR) END, 'n' || doc_id) AS id, md5(text) AS text,
            CAST(CASE WHEN source = 'web' THEN 0 ELSE least(greatest(n_chars * 5000 - 1000000, 0), 10000000) END AS INTEGER) AS upvotes
     FROM documents WHERE lang <> 'fr'""",
 )
@@ -264,13 +263,12 @@ def val3(spark, sf):
 @query(
     "enr1",
     """
-    SELECT id, ticker, upvotes, round(s, 6) AS sentiment_dict, round(s * (1 + log10(1 + upvotes)), 6) AS sentiment_weighted
-    FROM (SELECT id, ticker, upvotes, CAST(length(id) % 3 - 1 AS DOUBLE) AS s FROM market_posts
-          QUALIFY row_number() OVER (PARTITION BY id, ticker ORDER BY created_utc, upvotes DESC) = 1)""",
-    "market_posts",
+    SELECT id, upper(title) AS ticker, upvotes, round(s, 6) AS sentiment_dict, round(s * (1 + log10(1 + upvotes)), 6) AS sentiment_weighted
+    FROM (SELECT *, CAST(length(text) % 3 - 1 AS DOUBLE) AS s FROM text_posts)""",
+    "text_posts",
 )
 def enr1(spark, sf):
-    raw = V.market_posts(spark, sf).withColumn("text", F.col("id")).withColumn("ticker", F.lower("ticker"))
+    raw = V.text_posts(spark, sf).withColumn("ticker", F.col("title"))
     done = scoring.enrich_posts(raw, score=lambda text: F.length(text) % 3 - 1)
     return rounded(done.select("id", "ticker", "upvotes", "sentiment_dict", "sentiment_weighted"))
 

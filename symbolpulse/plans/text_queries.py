@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import symbols as Y
 from ..functions import text as X
-from ..functions.fixed_values import CORPORATE_SUFFIXES, MASTER_SUFFIXES, SYMBOL_STOPWORDS
+from ..functions.fixed_values import BUCKET_POSTS, CORPORATE_SUFFIXES, MASTER_SUFFIXES, SYMBOL_STOPWORDS
 from ..operators import mentions, scoring, trends
 from . import views as V
 from .registry import query
@@ -178,7 +178,7 @@ def length_score(texts: list[str]) -> list[float]:
 )
 def scr7(spark, sf):
     scored = scoring.score_texts(
-        docs(spark, sf), english=letter_model, other=failing_model, fallback=length_score
+        docs(spark, sf), english=letter_model, other=failing_model, fallback=length_score, skip_errors=True
     )
     return rounded(scored.select("doc_id", "method", "score"))
 
@@ -360,6 +360,33 @@ def jon3(spark, sf):
     return mentions.alias_matches(V.text_posts(spark, sf), names, "bucket", ["id"])
 
 
+# Two names of every document, its first two and its first three words of plain letters.
+_DOC_NAMES = """
+    SELECT DISTINCT 'D' || doc_id AS symbol, alias FROM (
+        SELECT doc_id, unnest([regexp_extract(lower(text), '[a-z]+ [a-z]+'), regexp_extract(lower(text), '[a-z]+ [a-z]+ [a-z]+')]) AS alias
+        FROM documents) WHERE alias <> ''"""
+
+
+@query(
+    "jon3_many",
+    f"""
+    WITH names AS ({_DOC_NAMES}),
+    marked AS (SELECT doc_id, chr(1) || regexp_replace(lower(text), '([^a-z0-9])', chr(1) || '\\1' || chr(1), 'g') || chr(1) AS m FROM documents),
+    spelled AS (SELECT DISTINCT alias, chr(1) || replace(alias, ' ', chr(1) || ' ' || chr(1)) || chr(1) AS n FROM names),
+    hits AS (SELECT doc_id, alias FROM marked JOIN spelled ON contains(m, n))
+    SELECT alias, count(DISTINCT doc_id) AS documents, count(DISTINCT symbol) AS symbols FROM hits JOIN names USING (alias) GROUP BY 1""",
+)
+def jon3_many(spark, sf):
+    rows = docs(spark, sf)
+    found = F.array(*[F.regexp_extract(F.lower("text"), p, 0) for p in ("[a-z]+ [a-z]+", "[a-z]+ [a-z]+ [a-z]+")])
+    names = rows.select(F.concat(F.lit("D"), "doc_id").alias("symbol"), F.explode(found).alias("alias")).where("alias <> ''").distinct()
+    # Documents that share a name are one symbol each; matches are counted by name.
+    single = names.select(F.col("alias").alias("symbol"), "alias").distinct()
+    hits = mentions.alias_matches(rows, single, "bucket", ["doc_id"]).withColumnRenamed("symbol", "alias")
+    counts = hits.groupBy("alias").agg(F.count(F.lit(1)).alias("documents"))
+    return counts.join(names.groupBy("alias").agg(F.countDistinct("symbol").alias("symbols")), "alias")
+
+
 def _trend_hits(table: str, text: str) -> str:
     """Hits of the fixed names under the trend rules, one constant pattern per name."""
     word, none = "[\\pL\\pN_]", "[^\\pL\\pN_]"
@@ -477,12 +504,12 @@ _BUCKET = f"""
     "bkt1",
     f"""
     WITH {_BUCKET}
-    SELECT symbol AS ticker, id, md5(left(text, 2000)) AS text FROM best JOIN whole USING (id) WHERE rn <= 100""",
+    SELECT symbol AS ticker, id, md5(text) AS text FROM best JOIN whole USING (id) WHERE rn <= 100""",
     "text_posts aliases",
 )
 def bkt1(spark, sf):
     table = V.aliases(spark)
-    rows = mentions.bucket_posts(V.text_posts(spark, sf), table.select("ticker").distinct(), table)
+    rows = mentions.bucket_posts(V.text_posts(spark, sf), table.select("ticker").distinct(), table, per_symbol=BUCKET_POSTS)
     return rows.select("ticker", "id", F.md5("text").alias("text"))
 
 

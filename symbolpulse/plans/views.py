@@ -34,10 +34,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents; a file of fewer splits than threads is spread before the text work."""
-    rows = load(spark, sf_dir, "documents")
-    threads = spark.sparkContext.defaultParallelism
-    return rows.repartition(threads, "doc_id") if len(rows.inputFiles()) < threads else rows
+    return load(spark, sf_dir, "documents")
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Readers of price, FX, post, feed, alias, lexicon and label files.
 
-Every reader takes a path (file, folder or glob) and returns rows of a table schema.
+Every reader takes a path (file, folder or glob) and returns rows of a table schema.  What it
+does to the rows after reading is a function of its own (``*_rows``), from DataFrame to DataFrame.
 """
 
 from __future__ import annotations
@@ -37,7 +38,12 @@ def _since(df: DataFrame, start: date | None) -> DataFrame:
 def daily_bars_csv(spark: SparkSession, path: str, start: date | None = None) -> DataFrame:
     """Daily bars, one file per ticker; the file name gives the ticker (SRC1)."""
     raw = spark.read.schema(BAR_CSV).option("header", True).csv(path)
-    ticker = F.upper(F.regexp_replace(_file_stem(), r"\.[a-z]{2}$", ""))
+    return bar_rows(raw.select("*", _file_stem().alias("file")), start)
+
+
+def bar_rows(raw: DataFrame, start: date | None = None) -> DataFrame:
+    """Text columns ``Date, Open, .., Volume, file`` to price rows; ``file`` is the ticker with its country."""
+    ticker = F.upper(F.regexp_replace("file", r"\.[a-z]{2}$", ""))
     return _since(
         raw.select(
             F.col("Date").try_cast("date").alias("date"),
@@ -63,7 +69,12 @@ def chart_bars(spark: SparkSession, path: str) -> DataFrame:
     arrays = raw.select(
         F.upper(_file_stem()).alias("ticker"), result["timestamp"].alias("ts"), *[quote[c].alias(c) for c in columns]
     )
-    rows = arrays.select("ticker", F.inline(F.arrays_zip("ts", *columns)))
+    return chart_rows(arrays)
+
+
+def chart_rows(arrays: DataFrame) -> DataFrame:
+    """Parallel arrays ``ts`` (seconds), ``open`` .. ``volume`` of a ticker to rows."""
+    rows = arrays.select("ticker", F.inline(F.arrays_zip("ts", *BARS, "volume")))
     return rows.na.drop("all", subset=BARS).withColumn("ts", F.timestamp_seconds("ts"))
 
 
@@ -90,7 +101,11 @@ def normal_history(df: DataFrame, ticker: str | Column) -> DataFrame:
 
 def fx_csv(spark: SparkSession, path: str, pair: str = "EURUSD", start: date | None = None) -> DataFrame:
     """FX quotes of one pair; rows without date or rate are dropped (SRC4)."""
-    raw = spark.read.schema(BAR_CSV).option("header", True).csv(path)
+    return fx_rows(spark.read.schema(BAR_CSV).option("header", True).csv(path), pair, start)
+
+
+def fx_rows(raw: DataFrame, pair: str = "EURUSD", start: date | None = None) -> DataFrame:
+    """Text columns ``Date, Close`` to rates."""
     rows = raw.select(
         F.col("Date").try_cast("date").alias("date"),
         F.lit(pair).alias("pair"),
@@ -110,8 +125,13 @@ def posts_json(
     The first source of an id wins: hot posts, their comments, then new posts.
     """
     read = lambda path: spark.read.schema(POST_JSON).json(path)
+    return post_rows(read(hot), None if new is None else read(new), comment_limit)
+
 
-    def post_rows(df, rank):
+def post_rows(hot_posts: DataFrame, new_posts: DataFrame | None = None, comment_limit: int = 0) -> DataFrame:
+    """Posts in the schema of the JSON files to post rows, with the comments of hot ones."""
+
+    def rows_of(df, rank):
         return df.select(
             "id",
             F.timestamp_seconds("created_utc").alias("created_utc"),
@@ -122,8 +142,7 @@ def posts_json(
             F.lit(rank).alias("_rank"),
         )
 
-    hot_posts = read(hot)
-    parts = [post_rows(hot_posts, 0)]
+    parts = [rows_of(hot_posts, 0)]
     if comment_limit > 0:
         full = F.filter("comments", lambda c: F.coalesce(c["body"], F.lit("")) != "")
         each = hot_posts.select("id", "created_utc", F.explode(F.slice(full, 1, comment_limit)).alias("c"))
@@ -138,8 +157,8 @@ def posts_json(
                 F.lit(1).alias("_rank"),
             )
         )
-    if new is not None:
-        parts.append(post_rows(read(new), 2))
+    if new_posts is not None:
+        parts.append(rows_of(new_posts, 2))
     every = reduce(DataFrame.unionByName, parts)
     return first_per_key(every, ["id"], F.col("_rank"), F.col("created_utc")).drop("_rank")
 
@@ -150,7 +169,11 @@ def feed_items(spark: SparkSession, path: str, row_tag: str = "item") -> DataFra
         "guid string, id string, link string, title string, description string, summary string, "
         "pubDate string, published string, updated string"
     )
-    raw = spark.read.schema(schema).option("rowTag", row_tag).xml(path)
+    return feed_rows(spark.read.schema(schema).option("rowTag", row_tag).xml(path))
+
+
+def feed_rows(raw: DataFrame) -> DataFrame:
+    """Text columns of RSS and Atom items to rows."""
     rss = F.try_to_timestamp(F.regexp_replace("pubDate", r"^\w+,\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
     return raw.select(
         F.coalesce("guid", "id", "link", "title").alias("id"),
@@ -160,14 +183,18 @@ def feed_items(spark: SparkSession, path: str, row_tag: str = "item") -> DataFra
     )
 
 
-def _json_map(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    text = spark.read.option("wholetext", True).text(path)
+def _json_map(text: DataFrame, kind: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", kind)).alias("key", "value"))
 
 
 def aliases_json(spark: SparkSession, path: str, source: str = "seed") -> DataFrame:
     """``{symbol: [alias, ..]}`` to alias rows; blanks are skipped (SRC7)."""
-    rows = _json_map(spark, path, "map<string, array<string>>")
+    return alias_rows(spark.read.option("wholetext", True).text(path), source)
+
+
+def alias_rows(text: DataFrame, source: str = "seed") -> DataFrame:
+    """Alias rows of JSON objects, one in each ``value``."""
+    rows = _json_map(text, "map<string, array<string>>")
     named = rows.select(F.upper("key").alias("ticker"), F.explode("value").alias("alias"))
     return named.select("ticker", F.trim("alias").alias("alias"), F.lit(source).alias("source")).where("alias != ''")
 
@@ -178,20 +205,32 @@ def lexicon_json(spark: SparkSession, path: str, base: dict[str, int] | None = N
     A lexicon is configuration: it is read once and travels in the plan.
     """
     merged = dict(base or {})
-    for row in _json_map(spark, path, "map<string, int>").toLocalIterator():
-        merged.setdefault(normal_word(row["key"].lower(), merged.keys()), row["value"])
+    text = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    # Files in the order of their names; words in the order in which they stand.
+    rows = text.select("file", F.posexplode(F.map_entries(F.from_json("value", "map<string, int>"))).alias("at", "entry"))
+    for row in rows.orderBy("file", "at").toLocalIterator():
+        merged.setdefault(normal_word(row["entry"]["key"].lower(), merged.keys()), row["entry"]["value"])
     return merged
 
 
 def labelled_texts(spark: SparkSession, *paths: str) -> DataFrame:
     """Rows labelled positive or negative of CSV files (SRC10)."""
     raw = spark.read.schema("text string, label string").option("header", True).option("multiLine", True).csv(list(paths))
+    return labelled_rows(raw)
+
+
+def labelled_rows(raw: DataFrame) -> DataFrame:
+    """Rows with one of the two labels."""
     return raw.where(F.col("label").isin("positive", "negative"))
 
 
 def security_master(spark: SparkSession, path: str) -> DataFrame:
     """Symbol and name of a CSV whose columns go by one of several titles (SRC11)."""
-    raw = spark.read.option("header", True).csv(path)
+    return master_rows(spark.read.option("header", True).csv(path))
+
+
+def master_rows(raw: DataFrame) -> DataFrame:
+    """Symbol and name out of columns that go by one of several titles."""
 
     def pick(*titles):
         found = next((c for c in raw.columns if c.lower() in titles), None)
@@ -206,4 +245,9 @@ def security_master(spark: SparkSession, path: str) -> DataFrame:
 
 def stored_posts(spark: SparkSession, path: str) -> DataFrame:
     """Posts as stored; sort where an order is needed (SRC12)."""
-    return spark.read.parquet(path).select("id", "created_utc", "title", "text", "upvotes", "num_comments")
+    return stored_rows(spark.read.parquet(path))
+
+
+def stored_rows(rows: DataFrame) -> DataFrame:
+    """The post columns of a stored table."""
+    return rows.select("id", "created_utc", "title", "text", "upvotes", "num_comments")

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.storage import stored
+from ..operators.storage import new_folder, remove
 from ..operators.tables import upsert
 
 
@@ -62,4 +62,7 @@ def upsert_partitions(changes: DataFrame, path: str, keys: Sequence[str], partit
         return
     touched = changes.select(partition).distinct()
     merged = upsert(current.join(touched, partition, "left_semi"), changes, keys)
-    write_partitions(stored(merged), path, partition)
+    copy = new_folder(spark, "upsert")
+    merged.write.parquet(copy)
+    write_partitions(spark.read.schema(merged.schema).parquet(copy), path, partition)
+    remove(spark, copy)

@@ -12,9 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import vote_weight
-from ..operators.lists import judge_alerts
-from ..operators.prices import latest_rows
+from ..functions.scores import price_test, vote_weight
 from ..sources.writers import upsert_partitions
 
 Batch = Callable[[DataFrame, int], None]
@@ -92,10 +90,12 @@ def into_table(path: str, keys: Sequence[str]) -> Batch:
 
 
 def alert_sink(rules: DataFrame, fired_path: str) -> Batch:
-    """Sink that lets each rule fire once (STR4).
+    """Sink that lets each rule fire once, at any price that meets it (STR4).
 
-    ``fired_path`` holds the rules fired so far, one folder per micro-batch; a rule
-    found there is not active any more, and a repeated batch replaces its folder.
+    A rule looks at the lowest and highest price of its ticker in a micro-batch, so how the
+    stream is cut does not matter.  ``fired_path`` holds the rules fired so far: one folder for
+    the first micro-batch and for each one that fired a rule, so there are no more folders
+    than rules.  A rule found there is not active any more; a repeated batch replaces its folder.
     """
 
     def judge(batch: DataFrame, number: int) -> None:
@@ -107,9 +107,12 @@ def alert_sink(rules: DataFrame, fired_path: str) -> Batch:
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-        latest = latest_rows(batch.select("ticker", "ts", "price"), ["ticker"], "ts")
-        hits = judge_alerts(active, latest).where("triggered")
-        hits.drop("triggered").write.mode("overwrite").parquet(f"{fired_path}/batch={number}")
+        prices = batch.groupBy("ticker").agg(F.min("price").alias("low"), F.max("price").alias("high"))
+        reached = F.when(F.col("op").isin("<", "<="), F.col("low")).otherwise(F.col("high"))
+        hits = active.join(prices, "ticker").withColumn("last_price", reached).where(price_test("op", "last_price", "price"))
+        hits = hits.drop("low", "high")
+        if number == 0 or not hits.isEmpty():
+            hits.write.mode("overwrite").parquet(f"{fired_path}/batch={number}")
 
     return judge
 

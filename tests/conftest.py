@@ -12,7 +12,7 @@ from symbolpulse.session import SETTINGS  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     builder = (
-        SparkSession.builder.master("local[*]")
+        SparkSession.builder.master(f"local[{os.environ.get('TEST_CORES', '*')}]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")

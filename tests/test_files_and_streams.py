@@ -1,10 +1,12 @@
 import json
+import os
 from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from symbolpulse.operators import rollups
+from symbolpulse.operators import rollups, storage
+from symbolpulse.plans import catalog, stream_queries
 from symbolpulse.sources import readers, writers
 from symbolpulse.streaming import streams
 
@@ -125,3 +127,42 @@ def test_stream_deduplicates_and_alerts_fire_once(spark, tmp_path):
     assert [r.id for r in spark.read.parquet(fired).collect()] == [1]
     left = streams.remaining_rules(rules, spark.read.parquet(fired))
     assert {r.id: r.active for r in left.collect()} == {1: False, 2: True}
+
+
+@pytest.mark.parametrize("files", [1, 4])
+@pytest.mark.parametrize("name", ["str1", "str2", "str3", "str4", "str5", "str6"])
+def test_streams_read_folders_and_do_not_depend_on_batches(spark, tmp_path, monkeypatch, name, files):
+    source = "/root/testdata/sf0.001"
+    if not os.path.isdir(source):
+        pytest.skip("no test tables")
+    for table in ("events", "part"):
+        rows = spark.read.parquet(f"{source}/{table}.parquet")
+        # In the order of time, so that no batch brings rows that are late.
+        parted = rows.repartitionByRange(files, "ts") if table == "events" else rows.coalesce(1)
+        parted.write.parquet(str(tmp_path / f"{table}.parquet"))
+    run = catalog.QUERIES[name]
+    whole = sorted(map(str, run(spark, source).collect()))
+    monkeypatch.setitem(stream_queries.READ_OPTIONS, "maxFilesPerTrigger", "1")
+    assert whole and sorted(map(str, run(spark, str(tmp_path)).collect())) == whole
+
+
+def test_alerts_fire_at_any_crossing(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    rules = spark.createDataFrame([(1, "X", ">", 100.0, True), (2, "X", "<", 95.0, True), (3, "X", ">", 200.0, True)], "id bigint, ticker string, op string, price double, active boolean")
+    prices = [("p1", "X", at, 150, 0.0, 0.0), ("p2", "X", at + timedelta(hours=1), 90, 0.0, 0.0)]
+    for cut in ([prices], [prices[:1], prices[1:]]):
+        folder = tmp_path / f"in{len(cut)}"
+        ticks = _batches(spark, folder, cut).select("ticker", F.col("created_utc").alias("ts"), F.col("upvotes").cast("double").alias("price"))
+        fired = str(tmp_path / f"fired{len(cut)}")
+        streams.run_available(ticks, streams.alert_sink(rules, fired), str(tmp_path / f"cp{len(cut)}"), "append")
+        assert sorted(r.id for r in spark.read.parquet(fired).collect()) == [1, 2]
+
+
+def test_upsert_leaves_no_copy(spark, tmp_path):
+    shared = storage.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    for v in (1, 2):
+        rows = spark.createDataFrame([("a", v, "d1")], "k string, v int, day string")
+        writers.upsert_partitions(rows, str(tmp_path / "t"), ["k"], "day")
+    assert spark.read.parquet(str(tmp_path / "t")).first().v == 2
+    assert (set(os.listdir(shared)) if os.path.isdir(shared) else set()) == before

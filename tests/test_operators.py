@@ -97,6 +97,39 @@ def test_numbers_are_consecutive_over_blocks(spark):
     assert [got[s] for s in sorted(got)] == list(range(11, 17))
 
 
+def test_numbers_of_sparse_values(spark):
+    values = [i * 3_000_000_017 - 500 * 3_000_000_017 for i in range(1000)]
+    rows = spark.createDataFrame([(s,) for s in values], "seq bigint")
+    got = by(tables.number_rows(rows, "seq", 1, "n"), "seq", "n")
+    assert [got[s] for s in values] == list(range(1, 1001))
+
+
+def test_upsert_keeps_keys_unique(spark):
+    target = spark.createDataFrame([("a", 1, 0), ("b", 1, 0)], "k string, v int, seq int")
+    changes = spark.createDataFrame([("a", 2, 1), ("a", 3, 2), ("c", 4, 1), ("c", 4, 1)], "k string, v int, seq int")
+    assert by(tables.upsert(target, changes, ["k"]), "k", "v") == {"a": 3, "b": 1, "c": 4}
+    first = tables.upsert(target, changes, ["k"], F.col("seq"))
+    assert by(first, "k", "v") == {"a": 2, "b": 1, "c": 4} and first.count() == 3
+
+
+def test_broken_models_fail_unless_skipped(spark):
+    def broken(texts):
+        raise RuntimeError("no model")
+
+    rows = spark.createDataFrame([("some text", "en")], "text string, lang string")
+    with pytest.raises(Exception, match="no model"):
+        scoring.score_texts(rows, english=broken).collect()
+    assert scoring.score_texts(rows, english=broken, skip_errors=True).first().method == "rule-only"
+
+
+def test_exact_quantiles(spark):
+    values = [0.5, 1.25, 1.25, 3.0, 8.5, 20.0, None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for q in (0.0, 0.3, 0.5, 0.9, 1.0):
+        want = rows.agg(F.percentile("v", F.lit(q)).alias("p")).first().p
+        assert abs(ranks.quantile(rows, "v", q).first()["quantile"] - want) < 1e-12
+
+
 NAMES = [("NVO", "novo-nordisk"), ("NVO", "novo"), ("CPP", "c++"), ("GME", "game stop"), ("UML", "über"), ("RHM.DE", "rhm.de"), ("TAG", "#tag"), ("END", "end.")]
 TEXTS = ["novo-nordisk rises", "Novo nordisk", "c++ and c++x, xc++", "GAME  stop", "the game stop!", "(game stop)", "über", "xüber ober", "RHM.DE.", "rhm.dex", "a#tag ##tag", "#tag", "the end.", "end.x", "$end. y", "x$end.", "novo_x novox", "", "c++"]
 
@@ -305,7 +338,7 @@ def test_scorer_routing(spark):
     def broken(texts):
         raise RuntimeError
 
-    got = by(scoring.score_texts(rows, english=positive, other=broken, fallback=lambda texts: [0.9] * len(texts)), "text", "score", "method")
+    got = by(scoring.score_texts(rows, english=positive, other=broken, fallback=lambda texts: [0.9] * len(texts), skip_errors=True), "text", "score", "method")
     assert got == {"good": (0.5, "model:english"), "gut": (0.9, "fallback"), "": (0.0, "empty"), "long call": (1.0, "fallback")}
     alone = by(scoring.score_texts(rows, english=positive), "text", "method")
     assert alone["gut"] == "model:english"

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from symbolpulse.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
@@ -37,7 +38,8 @@ def canonical(columns, rows):
     return sorted(tuple(show(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+# Queries of the optional package are tested in a folder of their own.
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
     got = entry.queries()[name](spark, SF_DIR)
     rows = [tuple(r) for r in got.collect()]
