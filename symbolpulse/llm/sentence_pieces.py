@@ -23,9 +23,9 @@ from .common import batches_of, spare
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
 RUN = 64
-KNOWN = 400_000
+KNOWN = 200_000
 
 
 @dataclass
