@@ -138,6 +138,18 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+ORACLES["op4_repeated_passages"] = rf"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+g AS (SELECT doc_id, i - 1 AS start, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+h AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT doc_id, start, doc_id = first AS is_first FROM g JOIN h USING (g)),
+n AS (SELECT *, coalesce(start > lag(start) OVER w + 50, TRUE) AS new FROM m WINDOW w AS (PARTITION BY doc_id, is_first ORDER BY start)),
+k AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id, is_first ORDER BY start) AS k FROM n)
+SELECT doc_id, min(start)::INTEGER AS start_word, (max(start) + 50)::INTEGER AS end_word, (max(start) + 50 - min(start))::INTEGER AS n_words, is_first
+FROM k GROUP BY doc_id, is_first, k"""
+
+
 @query
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sizes(table(spark, sf_dir, "documents"))
@@ -148,6 +160,18 @@ def op6_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.near_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+ORACLES["op6_embedding_join"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.95 ELSE FALSE END),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a),
+c AS (SELECT a AS vec_id, min(b) AS c FROM r GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c, vec_id)) AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)"""
+
+
 @query
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -160,6 +184,19 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(docs, width=4, percent=80)
 
 
+ORACLES["op8_minhash_dedup"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(c, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(c, doc_id)) AS kept
+FROM documents LEFT JOIN z USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
