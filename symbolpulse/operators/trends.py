@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import as_col
 from ..functions.fixed_values import WATCHLIST_RULES
 from . import ranks
-from .tables import first_per_key
+from .tables import first_per_key, merge_candidates
 
 
 def _stamp(df: DataFrame, moment: datetime) -> Column:
@@ -155,6 +155,16 @@ def trend_grid(
     return mark_known(best, known, promoted)
 
 
+def scan_tables(scan: DataFrame, target: DataFrame, as_of: datetime) -> tuple[DataFrame, DataFrame]:
+    """What a scan writes back: its history rows, and the candidate table after it (SNK3, UPS2).
+
+    ``scan`` is the output of :func:`trend_scan`, ``target`` the candidate table so far.
+    """
+    measured = scan.withColumnRenamed("mentions", "mentions_24h")
+    history = measured.withColumn("ts", F.lit(as_of).cast("timestamp"))
+    return history, merge_candidates(target, measured, as_of)
+
+
 def with_weekly_returns(candidates: DataFrame, weekly: DataFrame, limit: int = 10) -> DataFrame:
     """Weekly return for the first ``limit`` candidates that have one, in list order."""
     joined = candidates.join(weekly.select(F.col("ticker").alias("symbol"), "weekly_return"), "symbol", "left")

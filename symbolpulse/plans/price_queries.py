@@ -54,7 +54,7 @@ def asf2(spark, sf):
     return rounded(prices.latest_prices_eur(V.prices(spark, sf), V.fx(spark, sf)), 4)
 
 
-_AHEAD = """
+AHEAD = """
     SELECT ticker, date,
            (lead(close, 1) OVER w - close) / nullif(close, 0) AS return_1d,
            (lead(close, 3) OVER w - close) / nullif(close, 0) AS return_3d,
@@ -65,7 +65,7 @@ _AHEAD = """
 @query(
     "asf3",
     f"""
-    WITH a AS ({_AHEAD})
+    WITH a AS ({AHEAD})
     SELECT p.id, p.ticker, p.created_utc, round(a.return_1d, 6) AS return_1d,
            round(a.return_3d, 6) AS return_3d, round(a.return_7d, 6) AS return_7d
     FROM market_posts p ASOF LEFT JOIN a ON p.ticker = a.ticker AND CAST(p.created_utc AS DATE) <= a.date""",
@@ -247,7 +247,7 @@ def top2(spark, sf):
 @query(
     "top5",
     f"""
-    WITH a AS ({_AHEAD}), e AS ({MARKET_ENRICHED}),
+    WITH a AS ({AHEAD}), e AS ({MARKET_ENRICHED}),
     j AS (SELECT e.ticker, e.id, e.sentiment_weighted, a.return_3d
           FROM e ASOF LEFT JOIN a ON e.ticker = a.ticker AND CAST(e.created_utc AS DATE) <= a.date)
     SELECT ticker, round(arg_max(return_3d, row(round(sentiment_weighted, 9), id)), 6) AS top_post_return_3d

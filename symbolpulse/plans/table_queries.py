@@ -10,7 +10,7 @@ from .. import schemas
 
 from ..operators import lists, overview, prices, rollups, scoring, tables, trends
 from . import views as V
-from .price_queries import MARKET_ENRICHED, WEEKLY, market_enriched
+from .price_queries import AHEAD, MARKET_ENRICHED, WEEKLY, market_enriched
 from .registry import query
 from .rounding import rounded
 
@@ -536,14 +536,19 @@ def ovw1(spark, sf):
     rt AS (SELECT ticker, date, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret FROM prices),
     co AS (SELECT ticker, corr(ret, sentiment_weighted) AS c, count(*) AS n FROM rt JOIN md USING (ticker, date)
            WHERE ret IS NOT NULL AND sentiment_weighted IS NOT NULL GROUP BY 1 HAVING count(*) >= 5),
+    ah AS ({AHEAD}), en AS ({MARKET_ENRICHED}),
+    tp AS (SELECT ticker, arg_max(return_3d, row(round(sentiment_weighted, 9), id)) AS top FROM (
+               SELECT en.ticker, en.id, en.sentiment_weighted, ah.return_3d
+               FROM en ASOF LEFT JOIN ah ON en.ticker = ah.ticker AND CAST(en.created_utc AS DATE) <= ah.date)
+           WHERE sentiment_weighted IS NOT NULL AND return_3d IS NOT NULL GROUP BY 1),
     tr AS (SELECT 'S' || s_suppkey AS ticker, s_nationkey / 25 AS accuracy, s_acctbal / 10000 AS f1, 0.01::DOUBLE AS avg_strategy_return,
                   0.5::DOUBLE AS long_win_rate FROM supplier)
     SELECT ov.*, round(c1.x, 6) AS change_1d_pct, round(s7.a, 6) AS weighted_7d, round(s7.b, 6) AS weighted_last_day,
            round(h24.x, 6) AS weighted_24h, round(mc.x, 6) AS mention_change_pct,
            CAST(CASE WHEN mc.ticker IS NULL THEN NULL WHEN h > 0 THEN least(floor(h / 500), 3) ELSE 0 END AS DOUBLE) AS hotness_level,
            aliases, round(co.c, 6) AS correlation, CAST(co.n AS DOUBLE) AS correlation_samples,
-           CAST(NULL AS DOUBLE) AS top_post_return_3d, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1, avg_strategy_return, long_win_rate
-    FROM ov LEFT JOIN c1 USING (ticker) LEFT JOIN s7 USING (ticker) LEFT JOIN h24 USING (ticker) LEFT JOIN mc USING (ticker)
+           round(tp.top, 6) AS top_post_return_3d, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1, avg_strategy_return, long_win_rate
+    FROM ov LEFT JOIN tp USING (ticker) LEFT JOIN c1 USING (ticker) LEFT JOIN s7 USING (ticker) LEFT JOIN h24 USING (ticker) LEFT JOIN mc USING (ticker)
     LEFT JOIN al USING (ticker) LEFT JOIN co USING (ticker) LEFT JOIN tr USING (ticker)""",
     "suppliers prices fx predictions market_posts watchlist",
     dates="sentiment_date",
@@ -559,8 +564,7 @@ def ovw2(spark, sf):
         F.lit(0.01).alias("avg_strategy_return"),
         F.lit(0.5).alias("long_win_rate"),
     )
-    # The best-post column has a query of its own (top5); here no returns are joined.
-    posts = rows.withColumn("return_3d", F.lit(None).cast("double"))
+    posts = prices.forward_returns(rows, price).withColumn("sentiment_weighted", F.round("sentiment_weighted", 9))
     return _plain(
         overview.detail_overview(
             symbols, price, fx, signal, daily, hourly, trend, posts, names, state, V.MARKET_AS_OF

@@ -603,6 +603,45 @@ def trd1(spark, sf):
     return rounded(found)
 
 
+_SCAN = f"WITH {_mentions_sql()}, cells AS ({_cell_sql(7, 24, 0)}), {_RATED}, s AS (SELECT * FROM trended WHERE mentions >= 3 AND lift >= 1.0)"
+
+
+def _scanned(spark, sf):
+    """A scan written back to a table that knows the aliases' symbols."""
+    found = trends.trend_scan(_mentions(spark, sf), _known(spark), V.DOCS_AS_OF, min_mentions=3, min_lift=1.0)
+    seen = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    target = V.aliases(spark).select(F.col("ticker").alias("symbol")).distinct().select(
+        "symbol", F.lit(1).cast("bigint").alias("mentions_24h"), F.lit(0.5).alias("baseline_rate_per_h"), F.lit(2.0).alias("lift"),
+        F.lit(3.0).alias("trend"), seen.alias("first_seen"), seen.alias("last_seen"),
+    )
+    return trends.scan_tables(found, target, V.DOCS_AS_OF)
+
+
+@query(
+    "scan_tables",
+    f"""{_SCAN}, t AS (SELECT DISTINCT ticker AS symbol FROM aliases)
+    SELECT coalesce(t.symbol, s.symbol) AS symbol, coalesce(mentions, 1) AS mentions_24h, round(coalesce(rate, 0.5), 6) AS baseline_rate_per_h,
+           round(coalesce(lift, 2.0), 6) AS lift, round(coalesce(trend, 3.0), 6) AS trend,
+           CASE WHEN t.symbol IS NULL THEN TIMESTAMP '2024-01-08' ELSE TIMESTAMP '2024-01-01' END AS first_seen,
+           CASE WHEN s.symbol IS NULL THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-08' END AS last_seen
+    FROM t FULL JOIN s ON t.symbol = s.symbol""",
+    "text_posts aliases",
+    stamps="first_seen last_seen",
+)
+def scan_tables(spark, sf):
+    return rounded(_scanned(spark, sf)[1])
+
+
+@query(
+    "scan_history",
+    f"{_SCAN} SELECT symbol, mentions AS mentions_24h, round(lift, 6) AS lift, TIMESTAMP '2024-01-08' AS ts FROM s",
+    "text_posts aliases",
+    stamps="ts",
+)
+def scan_history(spark, sf):
+    return rounded(_scanned(spark, sf)[0].select("symbol", "mentions_24h", "lift", "ts"))
+
+
 @query(
     "trd1_weighted",
     f"""WITH {_mentions_sql(DOC_WEIGHT)}, cells AS ({_cell_sql(7, 24, 0)}), {_RATED}
