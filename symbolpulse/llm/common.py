@@ -43,6 +43,16 @@ def join_counted(
     return few.unionByName(rest.join(cold, keys, how))
 
 
+def map_texts(rows: DataFrame, run: Callable, shape) -> DataFrame:
+    """``rows.mapInArrow`` in batches of a thousand rows.
+
+    Rows carry whole texts; the session's own batch size is meant for rows of some numbers, and
+    an executor holds several batches for each core.
+    """
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return rows.mapInArrow(run, shape)
+
+
 def spare(df: DataFrame, name: str) -> str:
     """``name``, or a longer one if ``df`` has such a column."""
     taken = {c.lower() for c in df.columns}

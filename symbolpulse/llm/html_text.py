@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spare
+from .common import map_texts, spare
 
 # Element names by their role in a page, and words of class, id and role
 # attributes that mark page furniture.
@@ -251,12 +251,10 @@ def extract_main_text(pages: DataFrame, html: str = "html", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = [main_text(page) for page in part.columns[-1].to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names)
+            texts = [main_text(page) for page in batch.columns[-1].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names)
 
     kept = pages.drop(text)
     names = [*kept.columns, text]
     shape = kept.withColumn(text, F.lit("")).schema
-    return pages.select(*kept.columns, F.col(html).alias(spare(pages, "_html"))).mapInArrow(run, shape)
+    return map_texts(pages.select(*kept.columns, F.col(html).alias(spare(pages, "_html"))), run, shape)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import stored
-from .common import join_counted, spare
+from .common import join_counted, map_texts, spare
 
 BLANKS = b" \t\n\x0b\x0c\r"
 CHUNK = 1 << 16
@@ -80,7 +80,7 @@ def _filters(docs: DataFrame, least: int, bits: int) -> DataFrame:
     shape = "chunk int, once binary, twice binary"
     # A task holds one pair of filters however many splits it reads: two tasks a core are enough.
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.select("text").coalesce(2 * cores).mapInArrow(mark, shape).groupBy("chunk").applyInArrow(merge, shape)
+    return map_texts(docs.select("text").coalesce(2 * cores), mark, shape).groupBy("chunk").applyInArrow(merge, shape)
 
 
 def suspects(docs: DataFrame, least: int, bits: int) -> DataFrame:
@@ -102,7 +102,7 @@ def suspects(docs: DataFrame, least: int, bits: int) -> DataFrame:
             ids = batch.column(0).take(pa.array(np.array(rows, np.int64)[hit]))
             yield pa.RecordBatch.from_arrays([ids, pa.array([keys[i].decode() for i in hit], pa.string())], ["doc_id", "key"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(probe, "doc_id long, key string")
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), probe, "doc_id long, key string")
 
 
 def filter_bits(docs: DataFrame, most: int) -> int:
@@ -159,4 +159,4 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, mos
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names)
 
-    return joined.mapInArrow(rewrite, shape)
+    return map_texts(joined, rewrite, shape)

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import stored
-from .common import batches_of, join_counted
+from .common import batches_of, join_counted, map_texts
 from .components import components
 
-BATCH_BYTES = 1 << 22
-KNOWN = 400_000
+BATCH_BYTES = 1 << 21
+KNOWN = 100_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,7 +116,7 @@ def _map_sets(docs: DataFrame, width: int, shape: str, fill) -> DataFrame:
                 names, columns = fill(sets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {shape}")
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, f"doc_id long, {shape}")
 
 
 def _lists(sets, kind) -> pa.Array:

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, spare
+from .common import batches_of, map_texts, spare
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 BATCH_CHARS = 1 << 20
 RUN = 64
-KNOWN = 200_000
+KNOWN = 100_000
 
 
 @dataclass
@@ -303,7 +303,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids
     kept = docs.drop(ids)
     names = [*kept.columns, ids]
     shape = kept.withColumn(ids, F.array().cast("array<int>")).schema
-    return docs.select(*kept.columns, F.col(text).alias(spare(docs, "_text"))).mapInArrow(run, shape)
+    return map_texts(docs.select(*kept.columns, F.col(text).alias(spare(docs, "_text"))), run, shape)
 
 
 def decode(rows: DataFrame, model_file: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -321,4 +321,4 @@ def decode(rows: DataFrame, model_file: str, ids: str = "ids", text: str = "deco
     kept = rows.drop(text)
     names = [*kept.columns, text]
     shape = kept.withColumn(text, F.lit("")).schema
-    return rows.select(*kept.columns, F.col(ids).alias(spare(rows, "_ids"))).mapInArrow(run, shape)
+    return map_texts(rows.select(*kept.columns, F.col(ids).alias(spare(rows, "_ids"))), run, shape)

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import stored
-from .common import WORD, batches_of, join_counted, spare
+from .common import WORD, batches_of, join_counted, map_texts, spare
 from .minhash_dedup import ODD, WordHashes, _mixed
 
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 21
 SEED_WORDS = 16
 INVERSE = np.uint64(pow(int(ODD), -1, 2**64))
 
@@ -89,7 +89,7 @@ def suffixes(docs: DataFrame, least: int) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, low int, high int, head long, whole long")
+    return map_texts(rows, run, "doc_id long, low int, high int, head long, whole long")
 
 
 NEIGHBOURS = (
@@ -203,7 +203,7 @@ def _windows(docs: DataFrame, stretches: DataFrame, least: int) -> DataFrame:
                     ["doc_id", "start", "window"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, start int, window long")
+    return map_texts(rows, run, "doc_id long, start int, window long")
 
 
 def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:

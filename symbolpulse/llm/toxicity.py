@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, spare
+from .common import BLANK, map_texts, spare
 
 GRAM = 5
 SUSPICIOUS = 3
@@ -88,7 +88,7 @@ def with_gains(docs: DataFrame, ordinary: bytes, toxic: bytes, keep: Sequence[st
             added = [pa.array([g[i] for g in got], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names)
 
-    return docs.select(*rest.columns, F.col("text").alias(spare(docs, "_read"))).mapInArrow(run, shape)
+    return map_texts(docs.select(*rest.columns, F.col("text").alias(spare(docs, "_read"))), run, shape)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
