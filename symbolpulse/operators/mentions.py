@@ -28,6 +28,8 @@ from ..functions.symbols import (
 from ..functions.text import combined_text
 from .tables import first_per_key
 
+# Copies of the names, so that frequent words do not gather in one task.
+SALTS = 16
 # Characters that make up a word, per matching rule.
 WORD_CHARS = {"bucket": "A-Za-z0-9", "trend": r"\p{L}\p{N}_"}
 
@@ -115,7 +117,10 @@ def alias_matches(
         patterns = patterns.unionByName(alias_patterns(tags.select("symbol", F.col("symbol").alias("alias")), rule))
     patterns = patterns.withColumn("plain", plain)
     rows = posts.select(*keep, F.explode_outer(F.array_distinct(_words(word))).alias("first"))
-    found = rows.join(patterns, "first")
+    # A word of every text meets its names in as many tasks as there are copies of them.
+    copies = patterns.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt_", F.pmod(F.hash(*keep), F.lit(SALTS)))
+    found = salted.join(copies, ["first", "salt_"]).drop("salt_")
     settled = found.where("plain").select(*keep, "symbol")
     name = F.struct("symbol", "lead", "body", "first", "words")
     again = found.where("NOT plain").groupBy(*[F.col(c).alias(f"_{c}") for c in keep]).agg(F.collect_set(name).alias("names_"))
