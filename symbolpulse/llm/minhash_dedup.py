@@ -215,15 +215,15 @@ def _linked(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Da
     A round compares the members of each bucket with one center: the most central open member,
     the one whose buckets hold the most members.  Copies with edits of their own are nearest to
     such a center, so a member that it does not hold is rarely held by another.  Members that
-    stay apart from it are open and give the next center, until none is open or, after three
-    rounds, two rounds in a row link nothing.
+    stay apart from it are open and give the next center, until none is open or, from the third
+    round on, a round links nothing.
     """
     ids = members.groupBy("doc_id").agg(F.sum("size").alias("deg"))
     texts = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
     sets = stored(full_sets(texts, width).dropDuplicates(["doc_id"]), "full-sets")
     rows = members.join(ids, "doc_id").withColumns({"comp": F.col("doc_id"), "open": F.lit(True)})
     rows = stored(rows.select("key", "doc_id", "n", "size", "deg", "comp", "open"), "bucket-members")
-    turn, idle = 1, 0
+    turn, idle = 1, False
     while True:
         center = F.max(F.struct("deg", (-F.col("doc_id")).alias("neg"), "n", "comp"))
         first = rows.where("open").groupBy("key").agg(center.alias("center"), F.first("size").alias("m"))
@@ -237,14 +237,14 @@ def _linked(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Da
         held = stored(confirmed(stored(pairs.distinct(), "candidates"), sets, percent), "confirmed")
         now = rows
         if held.isEmpty():
-            idle += 1
+            idle = True
         else:
-            idle = 0
+            idle = False
             moved = stored(components(held.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "moved")
             now, at = _relabelled(now, "comp", moved), stored(_relabelled(at, "_comp", moved), "stars")
         judged = join_counted(now, at.drop("_n"), ["key"], "m", "left")
         apart = F.col("open") & (F.col("doc_id") != F.col("_c")) & (F.col("comp") != F.col("_comp"))
         rows = stored(judged.withColumn("open", F.coalesce(apart, F.lit(False))).drop("_c", "_comp"), "bucket-members")
         turn += 1
-        if turn > 4 and idle > 1 or rows.where("open").isEmpty():
+        if turn > 3 and idle or rows.where("open").isEmpty():
             return rows.select(F.col("doc_id").alias("node"), F.col("comp").alias("component")).distinct()
