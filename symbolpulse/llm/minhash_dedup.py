@@ -5,7 +5,8 @@ shingle picks a bin and a value; the least value of a bin is the signature, and
 borrow by optimal densification: each probes its own pseudorandom sequence of bins.  Bands
 of the signature form buckets; in a bucket all members are compared with one center, so a
 bucket of n members has n - 1 candidates.  Candidates are confirmed on the full sets.
-Members that a center does not hold are compared with further centers, round by round.
+Members that a center does not hold are compared with further centers, round by round; what
+the rounds leave apart is compared by an exact prefix-filter join.
 """
 
 from __future__ import annotations
@@ -216,7 +217,8 @@ def _linked(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Da
     the one whose buckets hold the most members.  Copies with edits of their own are nearest to
     such a center, so a member that it does not hold is rarely held by another.  Members that
     stay apart from it are open and give the next center, until none is open or, from the third
-    round on, a round links nothing.
+    round on, a round links nothing.  Pairs that met no common center then go to
+    :func:`_finished`, so when the rounds end decides the work, not the result.
     """
     ids = members.groupBy("doc_id").agg(F.sum("size").alias("deg"))
     texts = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
@@ -247,4 +249,71 @@ def _linked(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Da
         rows = stored(judged.withColumn("open", F.coalesce(apart, F.lit(False))).drop("_c", "_comp"), "bucket-members")
         turn += 1
         if turn > 3 and idle or rows.where("open").isEmpty():
-            return rows.select(F.col("doc_id").alias("node"), F.col("comp").alias("component")).distinct()
+            return _finished(rows, sets, percent)
+
+
+def _finished(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``node, component`` after the links that the rounds of stars did not compare.
+
+    Such a pair shares a bucket that still holds several components.  The members of these
+    buckets meet by a prefix filter, which loses no pair: with shingles in one order, rarest first,
+    two sets that share ``percent`` of their union share a shingle in the first
+    n - ceil(percent * n / 100) + 1 of each, and behind the first shared one enough must be
+    left on both sides.
+    """
+    nodes = stored(rows.select("doc_id", "n", "comp").distinct(), "nodes")
+    split = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    apart = rows.join(split.hint("shuffle_hash"), "key", "left_semi").select("doc_id").distinct()
+    left = stored(nodes.join(apart.hint("shuffle_hash"), "doc_id", "left_semi"), "apart")
+    named = nodes.select(F.col("doc_id").alias("node"), F.col("comp").alias("component"))
+    if left.isEmpty():
+        return named
+    pairs = _prefix_pairs(left, sets, percent)
+    held = stored(confirmed(stored(pairs, "candidates"), sets, percent), "confirmed")
+    if held.isEmpty():
+        return named
+    moved = stored(components(held.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "moved")
+    return _relabelled(nodes, "comp", moved).select(F.col("doc_id").alias("node"), F.col("comp").alias("component"))
+
+
+def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs ``a, b, ca, cb`` of ``left`` (``doc_id, n, comp``) that a prefix filter lets through.
+
+    Only members outside the largest component of a shingle look for partners, so a large
+    group is not compared with itself; shingles with many members are salted.
+    """
+    shingles = left.join(sets, "doc_id").select("doc_id", "n", "comp", F.explode("shingles").alias("shingle"))
+    shingles = stored(shingles, "shingles")
+    counts = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("df", F.col("m"))
+    common = join_counted(shingles, stored(counts, "shingle-counts"), ["shingle"], "m")
+    ordered = common.groupBy("doc_id", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))
+    # Shingles of one set only come first in the order: they take places and meet nobody.
+    alone = F.col("n") - F.size("own")
+    first = F.expr(f"n - (n * {percent} + 99) div 100 + 1") - alone
+    prefix = ordered.withColumns({"alone": alone, "first": first.cast("int")}).where("first > 0")
+    entries = prefix.select("doc_id", "n", "comp", "alone", F.posexplode(F.slice("own", F.lit(1), F.col("first"))).alias("i", "at"))
+    # ``rest``: the shingles of the set from this one on.
+    entries = stored(entries.select("doc_id", "n", "comp", F.col("at.shingle").alias("shingle"), (F.col("n") - F.col("alone") - F.col("i")).alias("rest")), "prefixes")
+    groups = entries.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
+    tops = groups.groupBy("shingle").agg(F.max(F.struct("k", "comp"))["comp"].alias("top"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("groups"))
+    tops = tops.where("groups > 1").select("shingle", "top", "m", F.expr("cast(m div 1000 + 1 as int)").alias("copies"))
+    met = stored(join_counted(entries, stored(tops, "tops"), ["shingle"], "m"), "met")
+    probes = met.where("comp <> top").select(
+        "shingle", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("rest").alias("ra"),
+        F.col("top"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"),
+    )
+    held = met.select(
+        "shingle", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("rest").alias("rb"),
+        F.pmod(F.hash("doc_id"), F.col("copies")).alias("salt"),
+    )
+    both = probes.join(held, ["shingle", "salt"]).where(
+        (F.col("ca") != F.col("cb"))
+        & ((F.col("cb") == F.col("top")) | (F.col("a") < F.col("b")))
+        & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        & ((100 + percent) * F.least("ra", "rb") >= percent * (F.col("na") + F.col("nb")))
+    )
+    low = F.col("a") < F.col("b")
+    return both.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+        F.when(low, F.col("ca")).otherwise(F.col("cb")).alias("ca"), F.when(low, F.col("cb")).otherwise(F.col("ca")).alias("cb"),
+    ).distinct()

@@ -86,6 +86,29 @@ def test_near_duplicates_of_odd_tables(spark):
     assert got == [(-1, 2, -1, True), (3, 2, 3, True), (7, 2, 3, False), (7, 2, 3, False), (9, 0, 9, True), (9, 0, 9, True)]
 
 
+def test_near_duplicates_behind_a_template(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    template = [word() for _ in range(250)]
+    pages = [template + [word() for _ in range(50)] for _ in range(40)]
+    for _ in range(6):
+        own = [word() for _ in range(40)]
+        pages += [template + own + [word() for _ in range(15)] for _ in range(2)]
+    # One band of two values: the bucket of the template hides the pairs behind its first pages.
+    texts = [" ".join(p) for p in pages]
+    hashed = minhash_dedup.shingles_of(texts, 5, minhash_dedup.WordHashes())
+    keys = minhash_dedup.band_keys(minhash_dedup.signatures(hashed, 2, minhash_dedup._probes(2)), 2)[:, 0].tolist()
+    common = collections.Counter(keys).most_common(1)[0][0]
+    pages = [p for p, k in zip(pages, keys, strict=True) if k == common]
+    sets = [{tuple(p[k : k + 5]) for k in range(len(p) - 4)} for p in pages]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in range(len(pages)) for a in range(b)}
+    near = {p for p, s in alike.items() if s >= 0.8}
+    assert near and len(pages) > 20 and all(0.65 < s < 0.75 for p, s in alike.items() if p not in near)
+    docs = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(pages)], "doc_id bigint, text string")
+    rows = minhash_dedup.near_duplicates(docs, bands=1, rows=2).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: i - 1 if (i - 1, i) in near else i for i in range(len(pages))}
+
+
 def _passages(texts, least):
     holders = collections.defaultdict(set)
     for i, t in enumerate(texts):
