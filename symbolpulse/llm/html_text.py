@@ -26,6 +26,8 @@ DROPPED = frozenset(
     "aside audio button canvas dialog embed fieldset footer form frame frameset head header iframe input label link "
     "math menu meta nav noembed noframes noscript object script select style svg template textarea title video xmp".split()
 )
+# Of these, the ones that some sites put around a whole page or article.
+WRAPPERS = frozenset("dialog fieldset form header object".split())
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html li "
     "main ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -33,6 +35,7 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"} | {
     "aside", "dialog", "fieldset", "footer", "form", "header", "menu", "nav"
 }
+ALWAYS, PARTS = DROPPED - WRAPPERS, BLOCKS | WRAPPERS
 SCORED = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(["article", "main"])
 FURNITURE = frozenset(
@@ -54,12 +57,13 @@ NAME = re.compile(r"[a-z0-9]+")
 class Node:
     """An element, with text and elements as its children."""
 
-    __slots__ = ("tag", "parent", "children", "furniture", "points", "chars", "linked", "main")
+    __slots__ = ("tag", "parent", "children", "furniture", "points", "chars", "linked", "main", "whole")
 
     def __init__(self, tag: str, parent: Node | None, furniture: bool = False):
         self.tag, self.parent, self.furniture = tag, parent, furniture
         self.children: list[Node | str] = []
         self.points, self.chars, self.linked, self.main = 0.0, 0, 0, tag in MAIN
+        self.whole = 0
 
 
 def is_furniture(attributes: str) -> bool:
@@ -94,7 +98,7 @@ def parse(page: str) -> Node:
                 same = ("dd", "dt") if tag in ("dd", "dt") else ("td", "th") if tag in ("td", "th") else (tag,)
                 for other in same:
                     here = _closed(here, other, stop=("ul", "ol", "dl", "table", "select"))
-            node = Node(tag, here, tag in DROPPED or bool(m[3]) and is_furniture(m[3]))
+            node = Node(tag, here, tag in ALWAYS or bool(m[3]) and is_furniture(m[3]))
             here.children.append(node)
             if tag in RAW:
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -128,13 +132,17 @@ def score(root: Node) -> list[Node]:
     """Count text and links upwards and pass the paragraphs' points on; the kept elements."""
     nodes = _in_order(root)
     for node in reversed(nodes):
+        node.whole += sum(len(c.strip()) for c in node.children if isinstance(c, str))
         if node.parent is not None:
             node.parent.main |= node.main
+            node.parent.whole += 0 if _is_left_out(node) else node.whole
     dropped: set[int] = set()
     kept = []
     for node in nodes:
         inside = node.parent is not None and id(node.parent) in dropped
-        if inside or node.furniture and not (node.main and node.tag not in DROPPED) and node.tag not in ("html", "body"):
+        # A wrapper stays where it holds the main element or most of the page's text.
+        small = node.tag in WRAPPERS and not node.main and 2 * node.whole <= root.whole
+        if inside or small or _is_left_out(node):
             dropped.add(id(node))
         else:
             kept.append(node)
@@ -151,11 +159,18 @@ def score(root: Node) -> list[Node]:
     return kept
 
 
+def _is_left_out(node: Node) -> bool:
+    """Furniture of the page by name or attributes; wrappers are judged by their share of the text."""
+    if node.tag in ALWAYS:
+        return True
+    return node.furniture and not node.main and node.tag not in ("html", "body")
+
+
 def _pass_points(node: Node, own: str) -> None:
     """Points of a paragraph, or of text that stands in a container itself."""
     if node.tag in SCORED:
         chars, to = node.chars, node.parent
-    elif node.tag in BLOCKS:
+    elif node.tag in PARTS:
         chars, to = len(own), node
     else:
         return
@@ -223,7 +238,7 @@ def blocks_of(parts: list[Node], kept: list[Node]) -> list[str]:
         elif id(item) in alive:
             if item.tag == "br":
                 line.append(" ")
-            elif item.tag in BLOCKS:
+            elif item.tag in PARTS:
                 end()
                 todo.append(None)
                 todo += reversed(item.children)

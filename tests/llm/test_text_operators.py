@@ -86,6 +86,19 @@ def test_main_text():
     )
 
 
+@pytest.mark.parametrize("wrapper", ["form", "header", "object", "dialog", "fieldset"])
+def test_main_text_inside_a_wrapper(wrapper):
+    story = "<p>First long sentence of the story, with commas, and words.</p><p>Second one, that ends it.</p>"
+    text = "First long sentence of the story, with commas, and words.\nSecond one, that ends it."
+    controls = "<input value=x><select><option>pick</option></select><button>Send</button><label>Name</label><textarea>t</textarea>"
+    small = f"<{wrapper}><p>Log in here</p></{wrapper}>"
+    for inner in (f"<article>{story}</article>", f"<main>{story}</main>", f"<div>{story}</div>", story):
+        page = f"<html><body><{wrapper} id=f1>{controls}<nav>menu</nav>{inner}</{wrapper}><footer>end</footer></body></html>"
+        assert html_text.main_text(page) == text
+    # A small one beside or inside the article still goes.
+    assert html_text.main_text(f"<body>{small}<article>{small}{story}{small}</article></body>") == text
+
+
 def test_main_text_of_odd_pages(spark):
     pages = [None, "", "plain & text", "<p>a < b &lt; c", "<div>x", "<a href='1'>only a link</a>", "<!-- open", "<p>" * 3000 + "deep", "<p>w, " * 2000, "<article><nav>m</nav></article>"]
     rows = spark.createDataFrame([(i, "u", p, "old", "h") for i, p in enumerate(pages)] * 2, "page_id bigint, url string, html string, text string, _html string")
