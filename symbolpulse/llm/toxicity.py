@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on words of ordinary documents, one on the
-pieces of toxic words that ordinary documents never hold.  Every window of a text is
+pieces of words that toxic documents hold several times as often as ordinary ones.  Every window of a text is
 compressed with the ordinary dictionary and with both; where the toxic one shortens it by
 some bytes, the window is suspicious.  A calibrated threshold (a logistic curve over the
 largest gain, the suspicious windows and the number of windows) turns that into a score.
@@ -23,6 +23,7 @@ from .common import BLANK, map_texts, spare
 
 GRAM = 5
 SUSPICIOUS = 3
+RATIO = 5
 WINDOW = re.compile(r"\S.{0,62}\S*", re.S)
 
 
@@ -125,7 +126,10 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = 4000, most_words:
     places = F.sequence(F.lit(0), F.greatest(F.size("_words") - 3, F.lit(0)))
     window = F.transform(places, lambda i: F.xxhash64(*[F.coalesce(F.get("_words", i + k), F.lit("")) for k in range(3)]))
     toxic = learnt.where("_y = 1").withColumn("_alike", F.array_min(window)).dropDuplicates(["_alike"]).drop("_alike")
-    least = max(least_docs, most_docs // 200 if stands_for[1] > 1 else toxic.count() // 200)
+    n_toxic, n_ordinary = toxic.count(), learnt.where("_y = 0").count()
+    least = max(least_docs, n_toxic // 200)
+    # Smoothed shares: a mislabelled or quoting row lowers the ratio and does not decide alone.
+    telling = (F.col("_t") + 0.5) * (n_ordinary + 1) >= RATIO * (F.col("_o") + 0.5) * (n_toxic + 1)
     words = (
         learnt.where("_y = 0")
         .unionByName(toxic)
@@ -143,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = 4000, most_words:
     marks = (
         pieces.groupBy("gram")
         .agg(F.sum("_t").alias("_t"), F.sum("_o").alias("_o"))
-        .where((F.col("_o") == 0) & (F.col("_t") >= least))
+        .where(telling & (F.col("_t") >= least))
         .orderBy(F.desc("_t"), "gram")
         .limit(5 * most_words)
     )
@@ -156,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = 4000, most_words:
         .limit(most_words)
         .collect()
     )
-    common = words.where("_o > 0").orderBy(F.desc("_o"), "word").limit(most_words // 2).collect()
+    common = words.where((F.col("_o") > 0) & ~(telling & (F.col("_t") >= least))).orderBy(F.desc("_o"), "word").limit(most_words // 2).collect()
     ordinary = " ".join(r["word"] for r in reversed(common)).encode()
     parts = dict.fromkeys(p for r in toxic_words for p in _marked(f" {r['word']} ", good))
     content = "\n".join(reversed(parts)).encode()

@@ -182,6 +182,28 @@ def test_shared_lines_of_repeated_and_null_ids(spark):
     assert line_dedup.dedup_lines(rows.where("doc_id = 1")).where("n_dropped > 0").count() == 0
 
 
+@pytest.mark.parametrize("most_docs", [150, 4000])
+def test_toxicity_learns_from_noisy_labels(spark, most_docs):
+    rng = random.Random(11)
+    plain = [f"{a}{b}{c}" for a in ("tri", "mol", "gar", "ben") for b in ("dan", "ver", "lok") for c in ("ter", "ish", "oon")]
+    bad = ["zorgling", "kwexpot", "flibnar"]
+    texts, toxic, told = [], [], []
+    for i in range(1500):
+        words = rng.choices(plain, k=rng.randint(20, 80))
+        toxic.append(int(i % 4 == 0))
+        if toxic[-1]:
+            for _ in range(3):
+                words[rng.randrange(len(words))] = rng.choice(bad)
+        texts.append(" ".join(words))
+        told.append(1 - toxic[-1] if rng.random() < 0.04 else toxic[-1])
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(told)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(docs, labels, most_docs=most_docs)
+    held = [r for r in toxicity.score(docs, model).withColumn("held", toxicity.held_out()).collect() if r.held]
+    assert sum((r.score >= 0.5) == bool(toxic[r.doc_id]) for r in held) >= 0.95 * len(held)
+    assert all(word.encode() in model.toxic for word in bad)
+
+
 def test_toxicity_learns_and_keeps_held_out_labels_out(spark):
     rng = random.Random(8)
     plain = ["the", "of", "house", "tree", "river", "walking", "bright", "morning", "window", "paper", "garden", "simple"]
