@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on words of ordinary documents, one on the
-pieces of words that toxic documents hold several times as often as ordinary ones.  Every window of a text is
+pieces of words that toxic documents hold many times as often as ordinary ones.  Every window of a text is
 compressed with the ordinary dictionary and with both; where the toxic one shortens it by
 some bytes, the window is suspicious.  A calibrated threshold (a logistic curve over the
 largest gain, the suspicious windows and the number of windows) turns that into a score.
@@ -23,7 +23,7 @@ from .common import BLANK, map_texts, spare
 
 GRAM = 5
 SUSPICIOUS = 3
-RATIO = 5
+RATIO = 20
 WINDOW = re.compile(r"\S.{0,62}\S*", re.S)
 
 
