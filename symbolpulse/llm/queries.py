@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.storage import new_folder
 from . import (
-    embedding_join, html_text, line_dedup, minhash_dedup, quality_rules, secret_scan, sentence_pieces, source_mix, suffix_dedup, toxicity,
+    conversation_repair, embedding_join, html_text, line_dedup, minhash_dedup, quality_rules, secret_scan, sentence_pieces, source_mix, suffix_dedup,
+    toxicity, vector_codes, warc,
 )
 from .common import Query, table
 
@@ -215,3 +216,67 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join("ids", ",")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256")
     )
 
+
+
+@query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    manifest = warc.write_warc(pages, new_folder(spark, "warc"))
+    found = warc.read_warc(manifest, ["key", "record_type", "payload_bytes", "payload_digest", "refers_to"])
+    return found.select(
+        F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    )
+
+
+ORACLES["op11_warc"] = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS d FROM pages),
+k AS (SELECT d, max(page_id) AS m FROM p WHERE b >= {warc.LEAST_REVISIT} GROUP BY d)
+SELECT page_id, b AS payload_bytes, d AS payload_digest, CASE WHEN m <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN m <> page_id THEN m END AS refers_to FROM p LEFT JOIN k USING (d)"""
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    numbers = ",".join(str(x) for book in books for entry in book for x in entry)
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.sha2(F.lit(numbers), 256).alias("codebooks_sha256"))
+
+
+def _codes_sql() -> str:
+    """Rounds of assignment ``a`` and codebooks ``b``, one pair for each round."""
+    parts, entries, rounds = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS
+    far = "list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = [
+        f"""v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"p AS MATERIALIZED (SELECT vec_id, label, part, e[part * len(e) // {parts} + 1:(part + 1) * len(e) // {parts}] AS x FROM v, range({parts}) AS r(part))",
+        f"""b0 AS MATERIALIZED (SELECT part, k, x AS y FROM p
+  JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM v QUALIFY k < {entries}) USING (vec_id))""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, label, part, x, min({{'d': {far}, 'k': k}}) AS m FROM p JOIN b{i} USING (part) GROUP BY ALL)")
+        if i < rounds:
+            steps.append(f"""b{i + 1} AS MATERIALIZED (SELECT part, k, coalesce(mean, y) AS y FROM b{i} LEFT JOIN (
+  SELECT part, k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS mean FROM (
+    SELECT part, m.k AS k, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(x) + 1)) AS j FROM a{i}) GROUP BY ALL)
+  GROUP BY ALL) USING (part, k))""")
+    return ",\n".join(steps) + f""",
+c AS (SELECT vec_id, label, string_agg(printf('%02x', m.k::INTEGER), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY ALL)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, k)) FROM b{rounds}) AS codebooks_sha256 FROM c"""
+
+
+ORACLES["op12_vector_codes"] = f"WITH {_codes_sql()}"
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.digests(conversation_repair.repair(conversation_repair.damage(rows)))
+    every = rows.select(F.col("conv_id").alias("id")).distinct()
+    found = every.join(found.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in conversation_repair.COUNTS]
+    return found.select(
+        F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", sha(F.lit(None))).alias("repaired_sha256")
+    )
