@@ -35,9 +35,12 @@ from .common import map_texts
 
 #: Payloads below this many bytes are always written in full.
 LEAST_REVISIT = 1000
-FILE_BYTES, SHARD_BYTES = 64 << 20, 1 << 30
-#: Records that bounds are taken from; shards are a hundredth at most.
-SAMPLE = 20_000
+FILE_BYTES, SHARD_BYTES = 64 << 20, 64 << 20
+#: A record counts as its payload and so many bytes.
+HEADER_BYTES = 500
+#: Groups of records that bounds are taken from, twenty for each shard at least.
+SAMPLE = 200_000
+MOST_SHARDS = SAMPLE // 20
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = b"\r\n"
@@ -65,13 +68,13 @@ def record_id(key: str | None, digest: str, copy: str) -> str:
 def record_bytes(key: str | None, url: str | None, payload: bytes, copy: str, refers_to: str | None, revisit: bool, date: str) -> bytes:
     """A record as it stands in the archive, before compression.
 
-    ``copy`` tells records of equal key and payload apart; one that others revisit has none.
+    ``copy`` tells records of equal key and payload apart; the one that others revisit has none.
     """
     sha1 = hashlib.sha1(payload).digest()
     block = _block(None if revisit else payload, len(payload))
     named = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", record_id(key, sha1.hex(), copy if revisit or len(payload) < LEAST_REVISIT else "")),
+        ("WARC-Record-ID", record_id(key, sha1.hex(), copy)),
         ("WARC-Date", date),
         ("WARC-Target-URI", _uri(url)),
         ("WARC-Payload-Digest", "sha1:" + base64.b32encode(sha1).decode()),
@@ -97,16 +100,16 @@ def _member(raw: bytes) -> bytes:
 # ---------------------------------------------------------------- writer
 
 
-def _choose(records: DataFrame) -> DataFrame:
+def _choose(records: DataFrame, index: DataFrame) -> DataFrame:
     """``records`` with ``revisit`` and ``refers_to``.
 
-    Of equal payloads of :data:`LEAST_REVISIT` bytes or more the one with the greatest key is kept; if
-    several have it, one of them.  Only keys and digests are grouped and joined, payloads stay where they are
+    Of equal payloads of :data:`LEAST_REVISIT` bytes or more the one with the greatest key is kept, and so are
+    all others with this key.  Only keys and digests are grouped; payloads stay where they are
     unless the groups are too many for a broadcast.
     """
-    large = records.where(F.col("bytes") >= LEAST_REVISIT).select("digest", "bytes", "key", "number")
-    kept = large.groupBy("digest", "bytes").agg(F.max(F.struct("key", "number")).alias("kept"), F.count(F.lit(1)).alias("n"))
-    kept = stored(kept.where("n > 1").select(F.col("digest").alias("of"), F.col("bytes").alias("size"), "kept", "n"), "equal-payloads")
+    kept = index.where(F.col("bytes") >= LEAST_REVISIT).groupBy(F.col("digest").alias("of"), F.col("bytes").alias("size"))
+    kept = kept.agg(F.max("key").alias("kept"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("keys"))
+    kept = stored(kept.where("keys > 1").drop("keys"), "equal-payloads")
     groups, total = kept.agg(F.count(F.lit(1)), F.sum("n")).first()
     meet = (F.col("digest") == F.col("of")) & (F.col("bytes") == F.col("size"))
     few = 1000
@@ -118,11 +121,11 @@ def _choose(records: DataFrame) -> DataFrame:
         both = records.join(F.broadcast(hot), meet)
         rest = records.join(F.broadcast(hot), meet, "left_anti").join(cold.hint("shuffle_hash"), meet, "left")
         both = both.unionByName(rest)
-    revisit = F.col("of").isNotNull() & ~F.struct("key", "number").eqNullSafe(F.col("kept"))
-    return both.select(*records.columns, revisit.alias("revisit"), F.when(revisit, F.col("kept.key")).alias("refers_to"))
+    revisit = F.col("of").isNotNull() & ~F.col("key").eqNullSafe(F.col("kept"))
+    return both.select(*records.columns, revisit.alias("revisit"), F.when(revisit, F.col("kept")).alias("refers_to"))
 
 
-def _bounds(records: DataFrame, shards: int) -> list[tuple]:
+def _bounds(groups: DataFrame, total: int, shards: int) -> list[tuple]:
     """Sort keys that cut the records into ``shards`` ranges of about equal bytes.
 
     A group of equal keys and digests counts once, with all its bytes.  Groups above half a shard
@@ -130,15 +133,12 @@ def _bounds(records: DataFrame, shards: int) -> list[tuple]:
     """
     if shards < 2:
         return []
-    groups = records.groupBy("key", "digest").agg(F.sum(F.col("bytes") + 500).alias("bytes"))
-    groups = stored(groups, "record-keys")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    heavy = groups.where(F.col("bytes") > total / (2 * shards)).collect()
-    light = groups.where(F.col("bytes") <= total / (2 * shards))
-    rest = light.agg(F.sum("bytes")).first()[0] or 0
+    heavy = groups.where(F.col("weight") > total / (2 * shards)).collect()
+    light = groups.where(F.col("weight") <= total / (2 * shards))
+    rest = light.agg(F.sum("weight")).first()[0] or 0
     light = light.orderBy(F.xxhash64("key", "digest"), "key", "digest").limit(SAMPLE).collect()
-    scale = rest / max(1, sum(r.bytes for r in light))
-    weighted = sorted([(_order(r.key), r.digest, r.bytes) for r in heavy] + [(_order(r.key), r.digest, r.bytes * scale) for r in light])
+    scale = rest / max(1, sum(r.weight for r in light))
+    weighted = sorted([(_order(r.key), r.digest, r.weight) for r in heavy] + [(_order(r.key), r.digest, r.weight * scale) for r in light])
     out, seen, each = [], 0.0, total / shards
     for key, digest, weight in weighted:
         seen += weight
@@ -165,29 +165,32 @@ def write_warc(
     ``folder`` is any place that pyarrow's file systems and Spark both reach.
     """
     spark = records.sparkSession
-    number = F.monotonically_increasing_id().alias("number")
     rows = records.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = stored(rows.select("*", F.sha1("payload").alias("digest"), F.length("payload").cast("long").alias("bytes"), number), "records")
-    total = rows.agg(F.sum(F.col("bytes") + 500)).first()[0] or 0
-    shards = max(1, min(-(-total // shard_bytes), SAMPLE // 100))
-    bounds = _bounds(rows.select("key", "digest", "bytes"), shards)
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.length("payload").cast("long"))
+    index = rows.groupBy("key", "digest", "bytes").agg(F.count(F.lit(1)).alias("n"))
+    index = stored(index.withColumn("weight", F.col("n") * (F.col("bytes") + HEADER_BYTES)), "record-index")
+    total = index.agg(F.sum("weight")).first()[0] or 0
+    shards = max(1, min(-(-total // shard_bytes), MOST_SHARDS))
+    bounds = _bounds(index, total, shards)
     least = [bisect.bisect_left(bounds, b) for b in bounds]
 
-    @F.arrow_udf("int")
-    def shard_of(keys: pa.Array, digests: pa.Array, numbers: pa.Array) -> pa.Array:
-        out = []
+    @F.arrow_udf("struct<shard:int,later:boolean>")
+    def place_of(keys: pa.Array, digests: pa.Array, numbers: pa.Array) -> pa.Array:
+        shard, later = [], []
         for k, d, n in zip(keys.to_pylist(), digests.to_pylist(), numbers.to_pylist()):
             at = (_order(k), d)
             high = bisect.bisect_right(bounds, at)
             # Equal bounds: one group fills several shards.
             same = high - least[high - 1] if high and bounds[high - 1] == at else 0
-            out.append(high - same + 1 + n % same if same > 1 else high)
-        return pa.array(out, pa.int32())
+            shard.append(high - same + 1 + n % same if same > 1 else high)
+            later.append(same > 1 and n % same > 0)
+        return pa.StructArray.from_arrays([pa.array(shard, pa.int32()), pa.array(later, pa.bool_())], ["shard", "later"])
 
-    chosen = _choose(rows).withColumn("shard", shard_of("key", "digest", "number"))
-    chosen = chosen.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "digest", "revisit", "url")
+    chosen = _choose(rows, index).withColumn("place", place_of("key", "digest", F.monotonically_increasing_id()))
+    chosen = chosen.select("*", "place.shard", "place.later").drop("place")
+    chosen = chosen.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "digest", "url")
     chosen = chosen.withColumn("key", F.col("key").cast("string")).withColumn("refers_to", F.col("refers_to").cast("string"))
-    columns = ["shard", "key", "url", "payload", "revisit", "refers_to"]
+    columns = ["shard", "later", "key", "url", "payload", "revisit", "refers_to"]
     draft = f"{folder}/_temporary-{uuid.uuid4().hex}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +226,7 @@ def write_warc(
                     }
                 same = (r["key"], hashlib.sha1(r["payload"]).digest())
                 copy, last = copy + 1 if same == last else 0, same
-                member = _member(record_bytes(r["key"], r["url"], r["payload"], f"{r['shard']}.{copy}", r["refers_to"], r["revisit"], date))
+                member = _member(record_bytes(r["key"], r["url"], r["payload"], f"{r['shard']}.{copy}" if copy or r["later"] or r["revisit"] else "", r["refers_to"], r["revisit"], date))
                 open_["stream"].write(member)
                 open_["digest"].update(member)
                 open_["records"] += 1
@@ -344,4 +347,5 @@ def read_warc(files: DataFrame, columns: list[str] | None = None) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_pylist(held, schema)
 
-    return files.select("file").repartition(F.col("file")).mapInArrow(run, shape)
+    tasks = max(1, min(files.count(), MOST_SHARDS))
+    return files.select("file").repartition(tasks, F.col("file")).mapInArrow(run, shape)

@@ -46,7 +46,7 @@ def archive(folder):
 
 
 def expected_records(rows):
-    """Key, bytes, digest, type and target of each record; equal rows are listed as often as they come."""
+    """Key, bytes, digest, type and target of each record; all records with the greatest key are kept."""
     groups = {}
     for key, _, text in rows:
         groups.setdefault((text or "").encode(), []).append(key)
@@ -54,10 +54,8 @@ def expected_records(rows):
     for payload, keys in groups.items():
         first = (len(payload), hashlib.sha1(payload).hexdigest())
         best = max(keys, key=lambda k: (k is not None, k))
-        full = False
         for key in keys:
-            if len(payload) < warc.LEAST_REVISIT or (key == best and not full):
-                full = full or key == best
+            if len(payload) < warc.LEAST_REVISIT or key == best:
                 out.append((key, *first, "response", None))
             else:
                 out.append((key, *first, "revisit", best))
