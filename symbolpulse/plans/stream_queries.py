@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import tables, trends
 from ..operators.storage import new_folder
 from ..streaming import streams
+from ..streaming.windows import Windows, into_windows, read_windows
 from . import views as V
 from .post_queries import HOURLY, ROUND_MOOD
 from .registry import ORACLES, query
@@ -15,6 +16,8 @@ from .rounding import rounded
 
 #: Options of the stream's reader; tests set how many files make a batch.
 READ_OPTIONS: dict[str, str] = {}
+#: Batches that become one segment.
+FOLD = 16
 
 
 def _events(spark, sf):
@@ -31,11 +34,11 @@ def _folders(spark):
     return f"{base}/table", f"{base}/progress"
 
 
-def _table(spark, stream):
-    """Run a windowed stream into a table and read it."""
+def _table(spark, stream, windows: Windows):
+    """Run a stream into windows and read them."""
     path, progress = _folders(spark)
-    streams.run_available(stream, streams.into_table(path, ["start", "ticker"]), progress)
-    return spark.read.parquet(path)
+    streams.run_available(stream, into_windows(path, windows, fold=FOLD), progress, "append")
+    return read_windows(spark, path, windows)
 
 
 @query("str1", "SELECT id, ticker FROM posts", "posts")
@@ -44,14 +47,14 @@ def str1(spark, sf):
     # Every post comes twice.
     rows = V.posts_of(_events(spark, sf))
     twice = rows.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    streams.run_available(streams.distinct_posts(twice), streams.append_sink(path), progress, "append")
+    streams.run_available(twice, streams.distinct_sink(path), progress, "append")
     return spark.read.parquet(path).select("id", "ticker")
 
 
 @query("str2", f"SELECT created_utc AS start, ticker, {ROUND_MOOD} FROM ({HOURLY.format(extra='')})", "enriched", stamps="start")
 def str2(spark, sf):
     rows = V.enriched_of(V.posts_of(_events(spark, sf)))
-    return rounded(_table(spark, streams.sentiment_windows(rows)).drop("day"))
+    return rounded(_table(spark, rows, streams.sentiment_windows()))
 
 
 @query(
@@ -65,7 +68,7 @@ def str2(spark, sf):
 )
 def str3(spark, sf):
     rows = V.posts_of(_events(spark, sf)).withColumn("weight", F.lit(1.0))
-    hours = streams.hourly_mentions(_table(spark, streams.mention_windows(rows)))
+    hours = streams.hourly_mentions(_table(spark, rows, streams.mention_windows()))
     return trends.mention_counts(hours, V.EVENTS_AS_OF, [(7, 24)]).select("symbol", "recent", "base")
 
 
@@ -97,8 +100,8 @@ def str4(spark, sf):
     ORACLES["agg14"].replace("CAST(ts AS DATE) AS date", "CAST(ts AS DATE) AS start").replace("(date, '%Y-%m-%d') AS date", "(start, '%Y-%m-%d') AS start"),
 )
 def str5(spark, sf):
-    bars = _table(spark, streams.bar_windows(V.ticks_of(_events(spark, sf)), F.col("event_id")))
-    return rounded(bars.drop("day").withColumn("start", F.to_date("start")))
+    bars = _table(spark, V.ticks_of(_events(spark, sf)), streams.bar_windows(F.col("event_id")))
+    return rounded(bars.withColumn("start", F.to_date("start")))
 
 
 @query(
@@ -111,5 +114,5 @@ def str5(spark, sf):
 )
 def str6(spark, sf):
     rows = V.posts_of(_events(spark, sf)).withColumn("weight", F.lit(1.0))
-    hours = _table(spark, streams.mention_windows(rows))
+    hours = _table(spark, rows, streams.mention_windows())
     return tables.purge(hours, "start", V.EVENTS_AS_OF, 10).select("start", "ticker", "mentions")

@@ -1,56 +1,80 @@
 """Deduplication, tumbling rollups, bars and alerts over streams.
 
-State is bounded by the watermark: ids and windows older than ``delay`` leave it.
-Results go to tables by upsert, so a repeated micro-batch changes nothing.
+Rollups are partial rows that the sink merges (see ``windows``), so rows count however late they come.
+Results do not depend on how a stream is cut or ordered, and a repeated micro-batch changes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import price_test, vote_weight
-from ..sources.writers import upsert_partitions
+from .windows import Windows
 
 Batch = Callable[[DataFrame, int], None]
 
 
-def distinct_posts(posts: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Each post id once within the delay (STR1)."""
-    return posts.withWatermark("created_utc", delay).dropDuplicatesWithinWatermark(["id"])
+def distinct_sink(path: str, delay_days: int = 7) -> Batch:
+    """Sink that keeps each post id once among posts at most ``delay_days`` apart (STR1).
 
+    A batch is compared with the kept posts of its own days and the days around them, folders of
+    other days are not read.  Of equal ids in a batch the first by time stays.
+    """
 
-def _windowed(df: DataFrame, at: str, length: str, delay: str, *aggs: Column) -> DataFrame:
-    grouped = df.withWatermark(at, delay).groupBy(F.window(at, length).alias("w"), "ticker")
-    return grouped.agg(*aggs).select(F.col("w.start").alias("start"), "*").drop("w")
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.groupBy("id").agg(F.min_by(F.struct(*batch.columns), "created_utc").alias("row")).select("row.*")
+        fresh = fresh.withColumn("day", F.to_date("created_utc"))
+        low, high = fresh.agg(F.min("day"), F.max("day")).first()
+        try:
+            kept = spark.read.parquet(path).where(F.col("batch") < number)
+            near = kept.where(F.col("day").between(F.date_sub(F.lit(low), delay_days), F.date_add(F.lit(high), delay_days)))
+            near = near.select("id", F.col("day").alias("kept_day"))
+            close = (fresh["id"] == near["id"]) & (F.abs(F.date_diff(fresh["day"], near["kept_day"])) <= delay_days)
+            fresh = fresh.join(near, close, "left_anti")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("day").parquet(f"{path}/batch={number}")
+
+    return write
 
 
-def sentiment_windows(enriched: DataFrame, length: str = "1 hour", delay: str = "7 days") -> DataFrame:
-    """Sentiment per window and symbol; the delay is the backfill of the batch form (STR2)."""
-    total = F.sum(vote_weight("upvotes"))
-    return _windowed(
-        enriched.where(F.col("sentiment_weighted").isNotNull()),
-        "created_utc",
-        length,
-        delay,
-        F.avg("sentiment_dict").alias("sentiment_dict"),
-        F.try_divide(F.sum("sentiment_weighted"), total).alias("sentiment_weighted"),
-        F.count(F.lit(1)).alias("posts"),
+def sentiment_windows(length: str = "1 hour") -> Windows:
+    """Sentiment per window and symbol (STR2)."""
+    sums = ["sum_dict", "n_dict", "sum_weighted", "weight", "posts"]
+    return Windows(
+        at="created_utc",
+        length=length,
+        keep=F.col("sentiment_weighted").isNotNull(),
+        partial={
+            "sum_dict": F.sum("sentiment_dict"),
+            "n_dict": F.count("sentiment_dict"),
+            "sum_weighted": F.sum("sentiment_weighted"),
+            "weight": F.sum(vote_weight("upvotes")),
+            "posts": F.count(F.lit(1)),
+        },
+        merge={c: F.sum(c) for c in sums},
+        result={
+            "sentiment_dict": F.try_divide("sum_dict", "n_dict"),
+            "sentiment_weighted": F.try_divide("sum_weighted", "weight"),
+            "posts": F.col("posts"),
+        },
     )
 
 
-def mention_windows(mentions: DataFrame, delay: str = "7 days") -> DataFrame:
+def mention_windows() -> Windows:
     """Mentions per hour and symbol; trend scans sum these hours (STR3)."""
-    return _windowed(
-        mentions,
-        "created_utc",
-        "1 hour",
-        delay,
-        F.count(F.lit(1)).alias("mentions"),
-        F.sum("weight").alias("weight"),
+    return Windows(
+        at="created_utc",
+        length="1 hour",
+        partial={"mentions": F.count(F.lit(1)), "weight": F.sum("weight")},
+        merge={c: F.sum(c) for c in ("mentions", "weight")},
+        result={c: F.col(c) for c in ("mentions", "weight")},
     )
 
 
@@ -64,29 +88,39 @@ def hourly_mentions(hours: DataFrame) -> DataFrame:
     )
 
 
-def bar_windows(ticks: DataFrame, *order: Column, delay: str = "2 days") -> DataFrame:
-    """Daily bars that refresh while their day goes on (STR5)."""
+def bar_windows(*order: Column) -> Windows:
+    """Daily bars that refresh while their day goes on (STR5); ``order`` breaks ties of time."""
     at = F.struct(F.col("ts"), *order)
-    return _windowed(
-        ticks.where(F.coalesce("open", "high", "low", "close").isNotNull()),
-        "ts",
-        "1 day",
-        delay,
-        F.min_by("open", at).alias("open"),
-        F.max("high").alias("high"),
-        F.min("low").alias("low"),
-        F.max_by("close", at).alias("close"),
-        F.sum(F.coalesce("volume", F.lit(0))).cast("bigint").alias("volume"),
-    )
-
 
-def into_table(path: str, keys: Sequence[str]) -> Batch:
-    """Sink that upserts windows into a table partitioned by day."""
-
-    def write(batch: DataFrame, _number: int) -> None:
-        upsert_partitions(batch.withColumn("day", F.to_date("start")), path, keys, "day")
-
-    return write
+    def end(value: str) -> Column:
+        return F.struct(at.alias("at"), F.col(value).alias("value"))
+
+    return Windows(
+        at="ts",
+        length="1 day",
+        keep=F.coalesce("open", "high", "low", "close").isNotNull(),
+        partial={
+            "first": F.min_by(end("open"), at),
+            "high": F.max("high"),
+            "low": F.min("low"),
+            "last": F.max_by(end("close"), at),
+            "volume": F.sum(F.coalesce("volume", F.lit(0))).cast("bigint"),
+        },
+        merge={
+            "first": F.min_by("first", "first.at"),
+            "high": F.max("high"),
+            "low": F.min("low"),
+            "last": F.max_by("last", "last.at"),
+            "volume": F.sum("volume"),
+        },
+        result={
+            "open": F.col("first.value"),
+            "high": F.col("high"),
+            "low": F.col("low"),
+            "close": F.col("last.value"),
+            "volume": F.col("volume"),
+        },
+    )
 
 
 def alert_sink(rules: DataFrame, fired_path: str) -> Batch:
@@ -125,7 +159,7 @@ def remaining_rules(rules: DataFrame, fired: DataFrame) -> DataFrame:
     ).select(*rules.columns)
 
 
-def run_available(stream: DataFrame, sink: Batch, checkpoint: str, mode: str = "update") -> None:
+def run_available(stream: DataFrame, sink: Batch, checkpoint: str, mode: str = "append") -> None:
     """Process what is there and stop; runs jobs."""
     query = (
         stream.writeStream.outputMode(mode)
@@ -135,12 +169,3 @@ def run_available(stream: DataFrame, sink: Batch, checkpoint: str, mode: str = "
         .start()
     )
     query.awaitTermination()
-
-
-def append_sink(path: str) -> Batch:
-    """Sink that keeps each micro-batch in a folder of its own."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return write

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from symbolpulse.operators import rollups, storage
 from symbolpulse.plans import catalog, stream_queries
 from symbolpulse.sources import readers, writers
-from symbolpulse.streaming import streams
+from symbolpulse.streaming import streams, windows
 
 
 def put(folder, name, text):
@@ -107,8 +107,9 @@ def test_stream_equals_batch_over_several_batches(spark, tmp_path):
     parts = [[post(i) for i in range(k, 50, 3)] for k in range(3)]
     stream = _batches(spark, tmp_path / "in", parts)
     out = str(tmp_path / "out")
-    streams.run_available(streams.sentiment_windows(stream), streams.into_table(out, ["start", "ticker"]), str(tmp_path / "cp"))
-    got = {(r.start, r.ticker): (r.posts, round(r.sentiment_weighted, 9)) for r in spark.read.parquet(out).collect()}
+    hours = streams.sentiment_windows()
+    streams.run_available(stream, windows.into_windows(out, hours), str(tmp_path / "cp"), "append")
+    got = {(r.start, r.ticker): (r.posts, round(r.sentiment_weighted, 9)) for r in windows.read_windows(spark, out, hours).collect()}
     batch = rollups.hourly_sentiment(spark.read.parquet(str(tmp_path / "in")))
     assert got == {(r.created_utc, r.ticker): (r.posts, round(r.sentiment_weighted, 9)) for r in batch.collect()}
 
@@ -118,7 +119,7 @@ def test_stream_deduplicates_and_alerts_fire_once(spark, tmp_path):
     parts = [[("p1", "X", at, 150, 0.0, 0.0)], [("p1", "X", at, 150, 0.0, 0.0), ("p2", "X", at, 160, 0.0, 0.0)]]
     stream = _batches(spark, tmp_path / "in", parts)
     out = str(tmp_path / "ids")
-    streams.run_available(streams.distinct_posts(stream), streams.append_sink(out), str(tmp_path / "cp1"), "append")
+    streams.run_available(stream, streams.distinct_sink(out), str(tmp_path / "cp1"), "append")
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["p1", "p2"]
     rules = spark.createDataFrame([(1, "X", ">", 100.0, True), (2, "X", "<", 100.0, True)], "id bigint, ticker string, op string, price double, active boolean")
     ticks = stream.select("ticker", F.col("created_utc").alias("ts"), F.col("upvotes").cast("double").alias("price"))
@@ -129,23 +130,62 @@ def test_stream_deduplicates_and_alerts_fire_once(spark, tmp_path):
     assert {r.id: r.active for r in left.collect()} == {1: False, 2: True}
 
 
-@pytest.mark.parametrize("files", [1, 4])
+def _write_in_turn(rows, folder, order):
+    """One file for each fifth of the time; the stream reads them by age, in this order."""
+    os.makedirs(folder)
+    files = rows.repartitionByRange(len(order), "ts")
+    for age, part in enumerate(order):
+        draft = f"{folder}-{part}"
+        files.where(F.spark_partition_id() == part).coalesce(1).write.parquet(draft)
+        (name,) = [n for n in os.listdir(draft) if n.endswith(".parquet")]
+        os.rename(f"{draft}/{name}", f"{folder}/{part}-{name}")
+        os.utime(f"{folder}/{part}-{name}", (1_700_000_000 + 60 * age,) * 2)
+
+
+@pytest.mark.parametrize("order", [[0], [0, 1, 2, 3, 4], [4, 3, 2, 1, 0], [2, 4, 0, 3, 1]], ids=["one", "sorted", "reversed", "mixed"])
 @pytest.mark.parametrize("name", ["str1", "str2", "str3", "str4", "str5", "str6"])
-def test_streams_read_folders_and_do_not_depend_on_batches(spark, tmp_path, monkeypatch, name, files):
+def test_streams_do_not_depend_on_batches_or_their_order(spark, tmp_path, monkeypatch, name, order):
     source = "/root/testdata/sf0.001"
     if not os.path.isdir(source):
         pytest.skip("no test tables")
-    for table in ("events", "part"):
-        rows = spark.read.parquet(f"{source}/{table}.parquet")
-        # In the order of time, so that no batch brings rows that are late.
-        parted = rows.repartitionByRange(files, "ts") if table == "events" else rows.coalesce(1)
-        parted.write.parquet(str(tmp_path / f"{table}.parquet"))
+    _write_in_turn(spark.read.parquet(f"{source}/events.parquet"), f"{tmp_path}/events.parquet", order)
+    spark.read.parquet(f"{source}/part.parquet").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     run = catalog.QUERIES[name]
     whole = sorted(map(str, run(spark, source).collect()))
     monkeypatch.setitem(stream_queries.READ_OPTIONS, "maxFilesPerTrigger", "1")
+    monkeypatch.setattr(stream_queries, "FOLD", 2)
     assert whole and sorted(map(str, run(spark, str(tmp_path)).collect())) == whole
 
 
+def test_segments_fold_and_survive_repeats(spark, tmp_path):
+    hours = streams.mention_windows()
+    path = str(tmp_path / "t")
+    sink = windows.into_windows(path, hours, fold=2)
+    at = datetime(2024, 1, 1)
+    rows = lambda i: spark.createDataFrame([("X", at, 1.0), ("Y", at + timedelta(hours=i % 3), 2.0), ("Z", None, 1.0)], "ticker string, created_utc timestamp, weight double")
+    for i in [0, 1, 1, 2, 3, 3, 2, 4, 5, 6]:
+        sink(rows(i), i)
+        done = windows.segments(spark, path)
+        assert done[0][0] == 0 and all(a[1] + 1 == b[0] for a, b in zip(done, done[1:]))
+    assert [s[:2] for s in done] == [(0, 3), (4, 5), (6, 6)]
+    got = {(r.ticker, r.start): (r.mentions, r.weight) for r in windows.read_windows(spark, path, hours).collect()}
+    assert got == {("X", at): (7, 7.0), **{("Y", at + timedelta(hours=h)): (n, 2.0 * n) for h, n in ((0, 3), (1, 2), (2, 2))}}
+    # A fold that stopped before it removed its parts.
+    windows._put(hours.partials(rows(1)), path, 1, 1)
+    assert windows.read_windows(spark, path, hours).where("ticker = 'X'").first().mentions == 7
+
+
+def test_ids_stay_once_in_any_order(spark, tmp_path):
+    sink = streams.distinct_sink(str(tmp_path / "ids"), delay_days=2)
+    day = lambda d, h=0: datetime(2024, 1, d, h)
+    shape = "id string, ticker string, created_utc timestamp"
+    for number, rows in enumerate([[("a", "X", day(9)), ("a", "X", day(9, 1)), ("b", "X", day(9))], [("a", "X", day(8)), ("c", "X", day(1))], [("a", "X", day(20)), ("c", "X", day(3))]]):
+        for _ in range(2):
+            sink(spark.createDataFrame(rows, shape), number)
+    got = sorted((r.id, r.created_utc.day, r.created_utc.hour) for r in spark.read.parquet(str(tmp_path / "ids")).collect())
+    assert got == [("a", 9, 0), ("a", 20, 0), ("b", 9, 0), ("c", 1, 0)]
+
+
 def test_alerts_fire_at_any_crossing(spark, tmp_path):
     at = datetime(2024, 1, 1)
     rules = spark.createDataFrame([(1, "X", ">", 100.0, True), (2, "X", "<", 95.0, True), (3, "X", ">", 200.0, True)], "id bigint, ticker string, op string, price double, active boolean")
