@@ -45,7 +45,8 @@ def loose_symbol(raw: Column | str) -> Column:
 
 def _found(text: Column | str, pattern: str, normal) -> Column:
     hits = F.regexp_extract_all(F.coalesce(as_col(text), F.lit("")), F.lit(pattern), F.lit(1))
-    return F.array_compact(F.array_distinct(F.transform(hits, normal)))
+    # Distinct before the normal form, which is the dear part, and after it.
+    return F.array_compact(F.array_distinct(F.transform(F.array_distinct(hits), normal)))
 
 
 def free_cashtags(text: Column | str) -> Column:
@@ -58,9 +59,14 @@ def cashtags(text: Column | str) -> Column:
     return _found(text, PREFIX_CASHTAG, strict_symbol)
 
 
+def upper_symbols(text: Column | str) -> Column:
+    """Distinct upper-case words that look like symbols."""
+    return _found(text, PLAIN_SYMBOL, strict_symbol)
+
+
 def plain_symbols(text: Column | str) -> Column:
     """Distinct upper-case words that look like symbols, and all cashtags (SYM3)."""
-    return F.array_union(_found(text, PLAIN_SYMBOL, strict_symbol), cashtags(text))
+    return F.array_union(upper_symbols(text), cashtags(text))
 
 
 def symbol_variants(symbol: Column | str) -> Column:

@@ -1,7 +1,8 @@
 """Which post mentions which symbol.
 
-Aliases are found by an equi join on their first word, so the work is one hash
-probe per distinct word of a text and does not grow with the number of aliases.
+Aliases are found by an equi join on their first word.  A bitset of these first words comes first: words that
+begin no name leave the array of a text before rows are made of it, so what is joined or
+shuffled grows with the hits and not with the texts or the number of aliases.
 
 Arrays of words are exploded with the outer form on purpose: the plain form adds a
 filter on the array's size, which evaluates the regular expressions a second time.
@@ -9,7 +10,8 @@ filter on the array's size, which evaluates the regular expressions a second tim
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +24,17 @@ from ..functions.symbols import (
     loose_symbol,
     master_aliases,
     name_variants,
-    plain_symbols,
     symbol_variants,
+    upper_symbols,
 )
 from ..functions.text import combined_text
+from .storage import stored
 from .tables import first_per_key
 
+# Names up to this size in all are broadcast; beyond it, words and names meet by a shuffle.
+BROADCAST_BYTES = 8 << 20
+# Bits for each first word, and for all of them; more words than bits let more words pass, never fewer.
+BITS_PER_WORD, MOST_BITS = 64, 1 << 21
 # Copies of the names, so that frequent words do not gather in one task.
 SALTS = 16
 # Characters that make up a word, per matching rule.
@@ -79,14 +86,14 @@ def _words(word: str) -> Column:
     return F.regexp_extract_all(F.lower("text"), F.lit(f"[{word}]+"), F.lit(0))
 
 
-def _stands_in(rule: str) -> Column:
-    """Does the name (``lead, body, first, words``) stand anywhere in the text's words and gaps?"""
+def _stands_in(rule: str, parts: str = "words") -> Column:
+    """Does the name (``lead, body, first``, its number of words) stand anywhere in the text's words and gaps?"""
     places = F.filter(F.transform("words_", lambda w, i: F.when(w == F.col("first"), i)), lambda i: i.isNotNull())
 
     def fits(at: Column) -> Column:
         # One word more than the name shows what follows it.
         ahead = F.transform(
-            F.sequence(F.lit(0), F.col("words")), lambda k: F.array(F.get("words_", at + k), F.get("gaps_", at + k + 1))
+            F.sequence(F.lit(0), F.col(parts)), lambda k: F.array(F.get("words_", at + k), F.get("gaps_", at + k + 1))
         )
         context = F.array_join(F.flatten(ahead), "")
         begins = F.substring(context, F.lit(1), F.length("body")) == F.col("body")
@@ -95,32 +102,61 @@ def _stands_in(rule: str) -> Column:
     return F.exists(places, fits)
 
 
-def alias_matches(
-    posts: DataFrame,
-    aliases: DataFrame,
-    rule: str,
-    keep: Sequence[str],
-    tags: DataFrame | None = None,
-) -> DataFrame:
-    """Distinct ``keep`` columns and symbol of posts that contain an alias (JON3, JON4).
+class _Names:
+    """Patterns of :func:`alias_patterns`, stored, with what is known of their size and first words."""
 
-    ``posts`` has a ``text`` column; ``keep`` names the narrow columns to carry and
-    must identify a post.  ``aliases`` has ``symbol`` and ``alias``, ``tags`` adds
-    normalised symbols to look for as words.  The distinct words of a text meet the first
-    words of the names in one equi join.  That settles names of one plain word; for names
-    of several words or with signs, texts that hold their first word are looked at again.
-    """
+    def __init__(self, patterns: DataFrame):
+        plain = (F.col("lead") == "") & (F.col("body") == F.col("first"))
+        self.rows = stored(patterns.withColumn("plain", plain), "names")
+        self.count, size = self.rows.agg(F.count(F.lit(1)), F.sum(F.length("body") + F.lit(64))).first()
+        self.small = (size or 0) <= BROADCAST_BYTES
+        self.bits = min(MOST_BITS, 1 << max(12, math.ceil(math.log2(max(1, self.count) * BITS_PER_WORD))))
+        slot = self._slot(F.col("first"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % 64).cast("int"))
+        cells = self.rows.groupBy(F.floor(slot / 64).cast("int").alias("cell")).agg(F.bit_or(bit).alias("all"), F.bit_or(F.when(~F.col("plain"), bit)).alias("long"))
+        found = cells.collect()
+        self.begins = self._test({r["cell"]: r["all"] for r in found})
+        self.begins_long = self._test({r["cell"]: r["long"] or 0 for r in found})
+
+    def _slot(self, word: Column) -> Column:
+        return F.pmod(F.xxhash64(word), F.lit(self.bits))
+
+    def _test(self, cells: dict[int, int]) -> Callable[[Column], Column]:
+        # One literal: the text of all cells becomes an array once, when the plan is made.
+        text = ",".join(str(cells.get(i, 0)) for i in range(self.bits // 64))
+        array = F.split(F.lit(text), ",").cast("array<bigint>")
+
+        def test(word: Column) -> Column:
+            slot = self._slot(word)
+            return F.getbit(F.get(array, F.shiftright(slot, 6).cast("int")), (slot % 64).cast("int")) == 1
+
+        return test
+
+
+def _candidates(posts: DataFrame, names: _Names, rule: str, keep: Sequence[str]) -> DataFrame:
+    """``keep``, the words of a text, those that begin a name, and the gaps if a name of several parts may begin."""
+    word = WORD_CHARS[rule]
+    rows = posts.select(*keep, "text", _words(word).alias("words_"))
+    rows = rows.withColumn("begins_", F.filter(F.array_distinct("words_"), names.begins))
+    gaps = F.when(F.exists("begins_", names.begins_long), F.split(F.lower("text"), f"[{word}]+"))
+    return rows.withColumn("gaps_", gaps).drop("text")
+
+
+def _few_names(posts: DataFrame, names: _Names, rule: str, keep: Sequence[str]) -> DataFrame:
+    """Matches where the names fit in a broadcast: one pass over the texts, no word is shuffled."""
+    rows = _candidates(posts, names, rule, keep).select(*keep, "words_", "gaps_", F.explode_outer("begins_").alias("first"))
+    found = rows.join(F.broadcast(names.rows), "first")
+    return found.where(F.col("plain") | _stands_in(rule)).select(*keep, "symbol")
+
+
+def _many_names(posts: DataFrame, names: _Names, rule: str, keep: Sequence[str]) -> DataFrame:
+    """Matches by a shuffle of the words that begin a name; names of several parts look at their texts again."""
     word = WORD_CHARS[rule]
-    plain = (F.col("lead") == "") & (F.col("body") == F.col("first"))
-    patterns = alias_patterns(aliases, rule)
-    if tags is not None:
-        patterns = patterns.unionByName(alias_patterns(tags.select("symbol", F.col("symbol").alias("alias")), rule))
-    patterns = patterns.withColumn("plain", plain)
-    rows = posts.select(*keep, F.explode_outer(F.array_distinct(_words(word))).alias("first"))
+    rows = posts.select(*keep, F.explode_outer(F.filter(F.array_distinct(_words(word)), names.begins)).alias("first"))
     # A word of every text meets its names in as many tasks as there are copies of them.
-    copies = patterns.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = names.rows.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("salt_", F.pmod(F.hash(*keep), F.lit(SALTS)))
-    found = salted.join(copies, ["first", "salt_"]).drop("salt_")
+    found = salted.join(copies.hint("shuffle_hash"), ["first", "salt_"]).drop("salt_")
     settled = found.where("plain").select(*keep, "symbol")
     name = F.struct("symbol", "lead", "body", "first", "words")
     again = found.where("NOT plain").groupBy(*[F.col(c).alias(f"_{c}") for c in keep]).agg(F.collect_set(name).alias("names_"))
@@ -131,7 +167,19 @@ def alias_matches(
         *keep, "names_", _words(word).alias("words_"), F.split(F.lower("text"), f"[{word}]+").alias("gaps_")
     )
     spread = texts.select(*keep, "words_", "gaps_", F.explode("names_").alias("name_")).select(*keep, "words_", "gaps_", "name_.*")
-    return settled.unionByName(spread.where(_stands_in(rule)).select(*keep, "symbol")).distinct()
+    return settled.unionByName(spread.where(_stands_in(rule)).select(*keep, "symbol"))
+
+
+def alias_matches(posts: DataFrame, aliases: DataFrame, rule: str, keep: Sequence[str]) -> DataFrame:
+    """Distinct ``keep`` columns and symbol of posts that contain an alias (JON3, JON4).
+
+    ``posts`` has a ``text`` column; ``keep`` names the narrow columns to carry and
+    must identify a post.  ``aliases`` has ``symbol`` and ``alias``.  The names are stored and measured
+    first, which runs jobs over them.
+    """
+    names = _Names(alias_patterns(aliases, rule))
+    match = _few_names if names.small else _many_names
+    return match(posts, names, rule, keep).distinct()
 
 
 def alias_table(aliases: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
@@ -174,8 +222,10 @@ def candidate_symbols(posts: DataFrame) -> DataFrame:
     marked = lambda found, tag: F.transform(
         found, lambda s: F.struct(s.alias("symbol"), F.lit(tag).alias("tagged"))
     )
-    hits = F.concat(marked(plain_symbols("text"), False), marked(cashtags("text"), True))
-    rows = posts.select(F.explode_outer(hits).alias("hit")).select("hit.*")
+    # The tags are found once and stand for plain words too.
+    found = posts.select(upper_symbols("text").alias("plain"), cashtags("text").alias("tags"))
+    hits = F.concat(marked(F.array_union("plain", "tags"), False), marked(F.col("tags"), True))
+    rows = found.select(F.explode_outer(hits).alias("hit")).select("hit.*")
     return rows.where(F.col("symbol").isNotNull()).groupBy("symbol").agg(
         F.count_if(~F.col("tagged")).alias("total"), F.count_if(F.col("tagged")).alias("cashtag")
     )
@@ -207,26 +257,75 @@ def master_alias_rows(master: DataFrame) -> DataFrame:
     ).distinct()
 
 
+#: Tag symbols are at most so long; longer words need no posting.
+TAG_CHARS = 12
+
+
+def postings(posts: DataFrame, names: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """What a trend scan needs of texts, made in one pass over them: ``keep, kind, symbol, words``.
+
+    ``kind`` is ``tag`` for a cashtag (its symbol), ``name`` for a match of ``names`` (its symbol) and ``words``
+    for the distinct words of a post that could be a tag elsewhere.  Names beyond a broadcast are
+    matched by a pass of their own.  Store the result: tags, matches and counts are then read from it.
+    """
+    prepared = _Names(alias_patterns(names, "trend"))
+    short = F.filter(F.array_distinct("words_"), lambda w: F.length(w) <= TAG_CHARS)
+    none = F.lit(None).cast("array<string>")
+
+    def item(kind: str, symbol: Column, first: Column, words: Column = none) -> Column:
+        text = F.lit(None).cast("string")
+        return F.struct(F.lit(kind).alias("kind"), F.coalesce(symbol, text).alias("symbol"), F.coalesce(first, text).alias("first"), words.alias("words"))
+
+    nothing = F.lit(None).cast("string")
+    tags = F.transform(free_cashtags("text"), lambda s: item("tag", s, nothing))
+    rows = _candidates(posts.withColumn("tags_", tags), prepared, "trend", [*keep, "tags_"])
+    begins = F.transform("begins_", lambda w: item("name", nothing, w))
+    parts = ["tags_", F.array(item("words", nothing, nothing, short))] + ([begins] if prepared.small else [])
+    rows = rows.select(*keep, "words_", "gaps_", F.explode_outer(F.concat(*parts)).alias("item"))
+    rows = rows.select(*keep, "words_", "gaps_", "item.*")
+    if not prepared.small:
+        named = _many_names(posts, prepared, "trend", keep).select(*keep, F.lit("name").alias("kind"), "symbol", none.alias("words"))
+        return rows.select(*keep, "kind", "symbol", "words").unionByName(named)
+    found = rows.join(F.broadcast(prepared.rows.withColumnRenamed("symbol", "named").withColumnRenamed("words", "parts_")), "first", "left")
+    fits = (F.col("kind") != "name") | (F.col("named").isNotNull() & (F.col("plain") | _stands_in("trend", "parts_")))
+    return found.where(fits).select(*keep, "kind", F.coalesce("named", "symbol").alias("symbol"), "words")
+
+
+def tag_words(found: DataFrame, posts: DataFrame, tags: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep, symbol`` of posts that hold one of ``tags(symbol)`` as a word, read from :func:`postings`.
+
+    Tags with a sign inside need what stands between words: only for them texts are read again.
+    """
+    signed = F.col("symbol").rlike(r"[.\-]")
+    one = tags.where(~signed).select("symbol", F.lit("").alias("lead"), F.lower("symbol").alias("body"), F.lower("symbol").alias("first"))
+    single = _Names(one)
+    words = found.where("kind = 'words'").select(*keep, F.explode_outer(F.filter("words", single.begins)).alias("first"))
+    names = single.rows.select("first", "symbol")
+    hits = words.join(F.broadcast(names) if single.small else names.hint("shuffle_hash"), "first").select(*keep, "symbol")
+    rest = stored(tags.where(signed).select("symbol", F.col("symbol").alias("alias")), "signed-tags")
+    if rest.isEmpty():
+        return hits
+    return hits.unionByName(alias_matches(posts, rest, "trend", keep))
+
+
 def symbol_mentions(posts: DataFrame, names: DataFrame, weight: Column | None = None) -> DataFrame:
     """One row per post and symbol under the trend rules (JON4).
 
     ``posts``: id, created_utc, text.  Cashtags found anywhere in ``posts`` are
     looked for as plain words too; ``tagged_at`` is the last time the tag was seen
-    for hits that rest on this only, and NULL for all others.
+    for hits that rest on this only, and NULL for all others.  The texts are read once, into a stored
+    table of postings.
     """
     base = posts.withColumn("weight", F.lit(1.0) if weight is None else weight)
     keep = ["id", "created_utc", "weight"]
-    tagged = base.select(*keep, F.explode_outer(free_cashtags("text")).alias("symbol"))
-    tagged = tagged.where(F.col("symbol").isNotNull())
-    tags = tagged.groupBy("symbol").agg(F.max("created_utc").alias("tagged_at"))
-    extra = tags.join(names.select("symbol").distinct(), "symbol", "left_anti")
+    found = stored(postings(base, names, keep), "postings")
+    tags = found.where("kind = 'tag'").groupBy("symbol").agg(F.max("created_utc").alias("tagged_at"))
+    extra = stored(tags.join(names.select("symbol").distinct(), "symbol", "left_anti"), "tags")
 
-    words = alias_matches(base, names, "trend", keep, tags=extra)
     # Hits on tag words count only while the tag itself is inside the look-back.
-    dated = words.join(extra, "symbol", "left").select(*keep, "symbol", "tagged_at")
-    always = tagged.withColumn("tagged_at", F.lit(None).cast(base.schema["created_utc"].dataType))
-    hits = dated.unionByName(always.select(*dated.columns))
-    return hits.groupBy(*keep, "symbol").agg(
+    words = tag_words(found, base, extra, keep).join(extra, "symbol").select(*keep, "symbol", "tagged_at")
+    sure = found.where("kind <> 'words'").select(*keep, "symbol", F.lit(None).cast(base.schema["created_utc"].dataType).alias("tagged_at"))
+    return words.unionByName(sure).groupBy(*keep, "symbol").agg(
         F.when(F.count_if(F.col("tagged_at").isNull()) == 0, F.max("tagged_at")).alias("tagged_at")
     )
 

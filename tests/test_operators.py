@@ -353,3 +353,44 @@ def test_weekly_returns_go_to_the_first_candidates_that_have_one(spark):
     weekly = spark.createDataFrame([("B", 0.1), ("C", 0.2), ("D", 0.3)], "ticker string, weekly_return double")
     got = by(trends.with_weekly_returns(candidates, weekly, 2), "symbol", "weekly_return")
     assert got == {"A": None, "B": 0.1, "C": 0.2, "D": None}
+
+
+NAMED = [("A", "alpha"), ("A", "alpha beta"), ("B", "b.c"), ("C", "(gamma)"), ("D", "delta."), ("E", "the"), ("F", "of the"), ("G", "ünï")]
+MIXED = [
+    "Alpha beta, b.c and (gamma)", "alphabeta b.cd gamma", "of the delta. The end", "$BRK.B and #zed", "zed, brk.b! x_zed", "brk b", "ünï ünïx", "", None, "$Q-R-S q-r-s q-r",
+    "delta.x (gamma)", "#alpha of  the",
+]
+
+
+@pytest.mark.parametrize("rule", ["bucket", "trend"])
+def test_names_match_alike_by_broadcast_and_by_shuffle(spark, monkeypatch, rule):
+    posts = spark.createDataFrame([(i, t) for i, t in enumerate(MIXED * 3)], "id int, text string").repartition(3)
+    names = spark.createDataFrame(NAMED, "symbol string, alias string")
+    few = sorted(map(tuple, mentions.alias_matches(posts, names, rule, ["id"]).collect()))
+    monkeypatch.setattr(mentions, "BROADCAST_BYTES", 0)
+    assert few and sorted(map(tuple, mentions.alias_matches(posts, names, rule, ["id"]).collect())) == few
+    assert mentions.alias_matches(posts, names.where("false"), rule, ["id"]).count() == 0
+
+
+def test_full_bitset_drops_no_word(spark, monkeypatch):
+    monkeypatch.setattr(mentions, "MOST_BITS", 64)
+    words = [f"w{i}" for i in range(500)]
+    posts = spark.createDataFrame([(i, f"{w} other") for i, w in enumerate(words)], "id int, text string")
+    names = spark.createDataFrame([(w.upper(), w) for w in words], "symbol string, alias string")
+    assert mentions.alias_matches(posts, names, "trend", ["id"]).count() == 500
+
+
+def test_mentions_read_texts_once(spark, monkeypatch, tmp_path):
+    at = datetime(2024, 1, 1)
+    rows = [(str(i), at + timedelta(hours=i), t) for i, t in enumerate(MIXED)]
+    spark.createDataFrame(rows, "id string, created_utc timestamp, text string").write.parquet(str(tmp_path / "posts"))
+    posts = spark.read.parquet(str(tmp_path / "posts"))
+    names = spark.createDataFrame(NAMED, "symbol string, alias string")
+    plan = mentions.postings(posts.withColumn("weight", F.lit(1.0)), names, ["id", "created_utc", "weight"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("text#") and plan.count("Relation [id#") == 1
+    got = {(r.id, r.symbol): r.tagged_at for r in mentions.symbol_mentions(posts, names).collect()}
+    # Tags count everywhere, as words too, also those with signs inside.
+    expected = {("3", "BRK.B"): None, ("3", "ZED"): None, ("4", "ZED"): at + timedelta(hours=3), ("4", "BRK.B"): at + timedelta(hours=3), ("9", "Q-R-S"): None}
+    assert {k: v for k, v in got.items() if k[1] in ("BRK.B", "ZED", "Q-R-S")} == expected
+    monkeypatch.setattr(mentions, "BROADCAST_BYTES", 0)
+    assert {(r.id, r.symbol): r.tagged_at for r in mentions.symbol_mentions(posts, names).collect()} == got
