@@ -7,10 +7,8 @@ rows per ticker are bounded by days.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .prices import by_day
 
@@ -118,23 +116,52 @@ def band_features() -> dict[str, Column]:
     return {"bb_middle": middle, "bb_upper": middle + width, "bb_lower": middle - width}
 
 
-def with_macd(frame: DataFrame) -> DataFrame:
-    """Add ``_macd`` and ``_signal``, recursive means that no window frame expresses (WIN9).
+#: Rows of so many days form a block; the products of a block stay far from the limits of doubles.
+BLOCK_DAYS = 1024
+
+
+def with_recursive_means(frame: DataFrame, means: dict[str, tuple[str, int]]) -> DataFrame:
+    """Add recursive means ``name: (column, span)`` over the days of a ticker, from its first value on.
 
-    One pass over the days of a ticker in an Arrow batch.
+    With ``a = 2 / (span + 1)``, a row maps the mean before it to ``p * mean + q``.  Such maps compose,
+    so within a block of days a mean is ``P * carry + P * sum(q / P)`` with running products ``P``,
+    and the carry is a fold over the ends of earlier blocks.  After ``k - 1`` rows without a value the old mean weighs
+    ``(1 - a) ** k``.  All windows share one partition and order: one shuffle, one sort.
     """
-    schema = T.StructType(
-        [*frame.schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("_macd", "_signal")]]
-    )
+    day = Window.partitionBy("ticker").orderBy("_block", "date")
+    before = day.rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("ticker", "_block").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = frame.withColumn("_block", F.floor(F.unix_date("date") / BLOCK_DAYS)).withColumn("_n", F.row_number().over(day))
+    rows = rows.withColumn("_ends", F.coalesce(F.lead("_block").over(day) > F.col("_block"), F.lit(False)))
+    columns = {column for column, _ in means.values()}
+    rows = rows.withColumns({f"_last_{c}": F.last(F.when(F.col(c).isNotNull(), F.col("_n")), ignorenulls=True).over(before) for c in columns})
+    maps: dict[str, Column] = {}
+    for name, (column, span) in means.items():
+        x, last, a = F.col(column), F.col(f"_last_{column}"), 2.0 / (span + 1.0)
+        old = F.pow(F.lit(1.0 - a), F.col("_n") - last)
+        maps[f"_p_{name}"] = F.when(x.isNull() | last.isNull(), 1.0).otherwise(old / (old + a))
+        maps[f"_q_{name}"] = F.when(x.isNull(), 0.0).when(last.isNull(), x).otherwise(a * x / (old + a))
+    rows = rows.withColumns(maps)
+    rows = rows.withColumns({f"_p_{m}": F.exp(F.sum(F.ln(f"_p_{m}")).over(inside)) for m in means})
+    rows = rows.withColumns({f"_q_{m}": F.col(f"_p_{m}") * F.sum(F.col(f"_q_{m}") / F.col(f"_p_{m}")).over(inside) for m in means})
+
+    def carry(name: str) -> Column:
+        end = F.struct(F.col(f"_p_{name}").alias("p"), F.col(f"_q_{name}").alias("q"))
+        return F.collect_list(F.when(F.col("_ends"), end)).over(before)
+
+    rows = rows.withColumns({f"_carry_{m}": carry(m) for m in means})
+    folded = lambda m: F.aggregate(f"_carry_{m}", F.lit(0.0), lambda y, e: e["p"] * y + e["q"])
+    started = lambda c: F.col(c).isNotNull() | F.col(f"_last_{c}").isNotNull()
+    result = {m: F.when(started(c), F.col(f"_p_{m}") * folded(m) + F.col(f"_q_{m}")) for m, (c, _) in means.items()}
+    return rows.select(*frame.columns, *(value.alias(name) for name, value in result.items()))
 
-    def fold(days: pd.DataFrame) -> pd.DataFrame:
-        days = days.sort_values("date")
-        fast = days["close"].ewm(span=12, adjust=False).mean()
-        slow = days["close"].ewm(span=26, adjust=False).mean()
-        macd = fast - slow
-        return days.assign(_macd=macd, _signal=macd.ewm(span=9, adjust=False).mean())
 
-    return frame.groupBy("ticker").applyInPandas(fold, schema)
+def with_macd(frame: DataFrame) -> DataFrame:
+    """Add ``_macd`` and ``_signal``, which no window frame expresses (WIN9); rows without a date are left out."""
+    dated = frame.where(F.col("date").isNotNull())
+    moved = with_recursive_means(dated, {"_fast": ("close", 12), "_slow": ("close", 26)})
+    moved = moved.withColumn("_macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    return with_recursive_means(moved, {"_signal": ("_macd", 9)})
 
 
 def with_future_row(frame: DataFrame) -> DataFrame:

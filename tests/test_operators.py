@@ -394,3 +394,26 @@ def test_mentions_read_texts_once(spark, monkeypatch, tmp_path):
     assert {k: v for k, v in got.items() if k[1] in ("BRK.B", "ZED", "Q-R-S")} == expected
     monkeypatch.setattr(mentions, "BROADCAST_BYTES", 0)
     assert {(r.id, r.symbol): r.tagged_at for r in mentions.symbol_mentions(posts, names).collect()} == got
+
+
+@pytest.mark.parametrize("block_days", [5, 1024])
+def test_recursive_means_equal_pandas(spark, monkeypatch, block_days):
+    monkeypatch.setattr(features, "BLOCK_DAYS", block_days)
+    rng = random.Random(8)
+    start = date(2015, 1, 1)
+    rows = []
+    for ticker, n in (("A", 1), ("B", 60), ("C", 900), ("D", 40)):
+        day = start
+        for i in range(n):
+            day += timedelta(days=rng.choice([1, 1, 3, 9]))
+            gap = ticker == "D" and (i < 4 or rng.random() < 0.4) or rng.random() < 0.02
+            rows.append((ticker, day, None if gap else rng.uniform(-5, 100)))
+    df = spark.createDataFrame(rows, "ticker string, date date, close double").repartition(4)
+    got = features.with_recursive_means(df, {"m": ("close", 12), "s": ("close", 26)})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(ticker") == 1 and plan.count("Sort [") == 1 and "Python" not in plan
+    for ticker, days in got.toPandas().sort_values("date").groupby("ticker"):
+        for name, span in (("m", 12), ("s", 26)):
+            want = days["close"].astype(float).ewm(span=span, adjust=False).mean()
+            np.testing.assert_allclose(days[name].astype(float), want, rtol=1e-11, atol=1e-11)
+    assert features.with_macd(df.where("false")).count() == 0
