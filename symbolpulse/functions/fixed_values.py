@@ -76,3 +76,10 @@ WATCHLIST_RULES = ".*.DE:15:2.5,DEFAULT:25:3.5"
 # Fixed value: threshold grids of the classifier calibration.
 F1_GRID = (0.2, 0.8, 25)
 DUAL_GRID = (0.25, 0.75, 21)
+
+# Fixed value: parameters that the search of each per-symbol model tries.
+MODEL_GRIDS = {
+    "logistic": {"C": [0.01, 0.1, 1.0, 10.0]},
+    "random_forest": {"n_estimators": [50, 100, 200], "max_depth": [3, 5, None]},
+    "gradient_boosting": {"n_estimators": [50, 100, 200], "learning_rate": [0.01, 0.1, 0.2], "max_depth": [3, 5]},
+}

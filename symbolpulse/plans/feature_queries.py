@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.fixed_values import DUAL_GRID, F1_GRID
+from ..functions.fixed_values import DUAL_GRID, F1_GRID, MODEL_GRIDS
 from ..operators import evaluation, features, ranks, training
 from . import views as V
 from .registry import query
@@ -500,6 +500,23 @@ def mod1(spark, sf):
     return rounded(training.evaluate_probabilities(scored))
 
 
+#: All features and a part of the search, so that the query stays short on one machine.
+SEARCH = {
+    "logistic": MODEL_GRIDS["logistic"],
+    "random_forest": {"n_estimators": [50], "max_depth": [3, 5]},
+    "gradient_boosting": {"n_estimators": [20], "learning_rate": [0.2], "max_depth": [3]},
+}
+
+
+@query("mod1_models")
+def mod1_models(spark, sf):
+    """Three types of model per ticker on all features."""
+    wide = features.feature_frame(frame(spark, sf))
+    plain = ("ticker", "date", "is_future", "close", "y", "actual_return")
+    scored = training.ticker_models(wide, [c for c in wide.columns if c not in plain], SEARCH)
+    return rounded(training.evaluate_probabilities(scored, ["ticker", "model"]))
+
+
 @query("mod6")
 def mod6(spark, sf):
     scored = training.ticker_probabilities(_model_rows(spark, sf), MODEL_COLUMNS)
