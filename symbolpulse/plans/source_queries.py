@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from ..sources import readers
+from ..operators.storage import new_folder
+from ..operators.tables import first_per_key
+from ..sources import readers, writers
 from . import views as V
 from .registry import query
 
@@ -56,8 +60,11 @@ def src2(spark, sf):
         price(F.col("value")).alias("close"),
         F.col("user_id").cast("bigint").alias("volume"),
     )
-    # One document for each type and hour, as the files of a service would be.
-    grouped = V.load(spark, sf, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.collect_list(item).alias("r"))
+    # Documents of a type and hour, as the files of a service would be, of a bounded number of bars:
+    # a block holds consecutive rows of one input partition.
+    block = F.shiftright(F.monotonically_increasing_id(), 10).alias("block")
+    rows = V.load(spark, sf, "events").select("event_type", F.date_trunc("hour", "ts").alias("hour"), block, item.alias("bar"))
+    grouped = rows.groupBy("event_type", "hour", "block").agg(F.collect_list("bar").alias("r"))
     columns = ["ts", *readers.BARS, "volume"]
     arrays = grouped.select(F.upper("event_type").alias("ticker"), *[F.col(f"r.{c}").alias(c) for c in columns])
     return readers.chart_rows(arrays)
@@ -108,16 +115,21 @@ def src5(spark, sf):
     comment = F.struct(
         F.col("turn").cast("string").alias("id"), F.col("text").alias("body"), F.lit(None).cast("double").alias("created_utc"), F.lit(None).cast("int").alias("score")
     )
-    order = F.struct("turn", "role", "text", comment.alias("c"))
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(order)).alias("all"))
+    # The first turn is the post; two comments need at most three turns with a text.  The group limit works before the shuffle.
+    key = F.struct("turn", "role", "text")
+    head = turns.groupBy("conv_id").agg(F.min(key).alias("post"))
+    few = first_per_key(turns.where("text <> ''"), ["conv_id"], *[F.col(c) for c in ("turn", "role", "text")], n=3)
+    few = few.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", comment.alias("c")))).alias("few"))
+    whole = head.join(few, "conv_id", "left")
+    rest = F.when(F.col("post.text") != "", F.slice("few", 2, 3)).otherwise(F.col("few"))
     posts = whole.select(
         F.col("conv_id").cast("string").alias("id"),
         F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("t"), "conv_id")).alias("title"),
         (F.lit(1704067200.0) + F.col("conv_id") % 10000 * 60).alias("created_utc"),
-        F.col("all")[0]["text"].alias("selftext"),
+        F.col("post.text").alias("selftext"),
         (F.col("conv_id") % 50).cast("int").alias("score"),
         F.lit(None).cast("int").alias("num_comments"),
-        F.transform(F.slice("all", 2, 1_000_000), lambda x: x["c"]).alias("comments"),
+        F.transform(rest, lambda x: x["c"]).alias("comments"),
     )
     hot = F.col("id").cast("bigint") % 2 == 0
     # New posts hold every post again; hot ones win.
@@ -191,3 +203,49 @@ def src11(spark, sf):
 )
 def src12(spark, sf):
     return readers.stored_rows(V.text_posts(spark, sf)).withColumn("text", F.md5("text"))
+
+
+# --- sinks: written, read back ------------------------------------------------
+
+
+@query("snk1", "SELECT id, ticker, created_utc, upvotes, num_comments FROM posts", "posts", stamps="created_utc")
+def snk1(spark, sf):
+    rows = V.posts(spark, sf).select("id", "ticker", "created_utc", "upvotes", "num_comments")
+    path = new_folder(spark, "posts-json")
+    writers.write_json(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query(
+    "snk2",
+    "SELECT ticker, count(*) AS days, max(date) AS last_date, max(close) AS high_close, CASE WHEN count(*) % 2 = 0 THEN 'even, \"days\"' END AS note FROM prices GROUP BY 1",
+    "prices",
+    dates="last_date",
+)
+def snk2(spark, sf):
+    days = F.count(F.lit(1))
+    table = V.prices(spark, sf).groupBy("ticker").agg(
+        days.alias("days"), F.max("date").alias("last_date"), F.max("close").alias("high_close"), F.when(days % 2 == 0, 'even, "days"').alias("note")
+    )
+    path = new_folder(spark, "overview-csv")
+    writers.write_overview(table, path)
+    return spark.read.schema(table.schema).option("header", True).csv(path)
+
+
+@query(
+    "snk3",
+    """
+    SELECT ticker AS symbol, count(*) AS mentions, CAST(m AS TIMESTAMP) AS ts
+    FROM posts, (VALUES ('2024-01-08 09:30:00'), ('2024-01-08 18:00:00'), ('2024-01-09 09:30:00')) AS v(m)
+    WHERE created_utc < CAST(m AS TIMESTAMP) GROUP BY 1, 3""",
+    "posts",
+    stamps="ts",
+)
+def snk3(spark, sf):
+    path = new_folder(spark, "history")
+    # The second scan is written twice; a repeated scan replaces itself.
+    for moment in (datetime(2024, 1, 8, 9, 30), datetime(2024, 1, 8, 18), datetime(2024, 1, 8, 18), datetime(2024, 1, 9, 9, 30)):
+        seen = V.posts(spark, sf).where(F.col("created_utc") < F.lit(moment).cast("timestamp"))
+        scan = seen.groupBy(F.col("ticker").alias("symbol")).agg(F.count(F.lit(1)).alias("mentions"))
+        writers.append_history(scan, path, moment)
+    return spark.read.parquet(path).select("symbol", "mentions", "ts")

@@ -119,14 +119,14 @@ def txt3(spark, sf):
     "txt4",
     """
     SELECT doc_id, md5(coalesce(nullif(source, 'web'), '') || ' ' || text) AS scanned,
-           md5(left(coalesce(nullif(source, 'web'), '') || chr(10) || text, 2000)) AS bucketed FROM documents""",
+           md5(coalesce(nullif(source, 'web'), '') || chr(10) || text) AS bucketed FROM documents""",
 )
 def txt4(spark, sf):
     rows = docs(spark, sf).withColumn("source", F.nullif("source", F.lit("web")))
     return rows.select(
         "doc_id",
         F.md5(X.combined_text("source", "text")).alias("scanned"),
-        F.md5(F.substring(X.combined_text("source", "text", "\n"), 1, 2000)).alias("bucketed"),
+        F.md5(X.combined_text("source", "text", "\n")).alias("bucketed"),
     )
 
 

@@ -14,8 +14,9 @@ from ..operators.tables import upsert
 
 
 def write_json(posts: DataFrame, path: str) -> None:
-    """Snapshot as JSON lines (SNK1)."""
-    posts.write.mode("overwrite").json(path)
+    """Snapshot as JSON lines (SNK1); times keep their microseconds."""
+    exact = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+    posts.write.mode("overwrite").option("timestampFormat", exact).json(path)
 
 
 def write_overview(overview: DataFrame, path: str) -> None:
