@@ -25,7 +25,7 @@ SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 BATCH_CHARS = 1 << 20
 RUN = 64
-KNOWN = 100_000
+KNOWN = 250_000
 
 
 @dataclass
@@ -245,15 +245,36 @@ def cut_segments(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes texts; segments seen before are kept, up to ``KNOWN`` of them."""
+    """Encodes texts; segments seen before are kept, up to ``KNOWN`` of them, the newer half beyond."""
 
     def __init__(self, model: Pieces):
         self.model = model
-        self._forget()
+        self.codes = _Codes()
+        self.used = 0
+        self.ids, self.lens, self.starts = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _forget(self) -> None:
-        self.codes = _Codes()
-        self.ids, self.lens, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Keep the newer half of the segments."""
+        half = len(self.codes) // 2
+        first, end = int(self.starts[half]), len(self.codes)
+        self.ids[: self.used - first] = self.ids[first : self.used].copy()
+        self.lens[: end - half] = self.lens[half:end].copy()
+        self.starts[: end - half] = self.starts[half:end] - first
+        self.used -= first
+        kept = list(islice(self.codes, half, None))
+        self.codes.clear()
+        self.codes.update(zip(kept, range(len(kept))))
+
+    def _add(self, known: int, ids: np.ndarray, lens: np.ndarray) -> None:
+        """Ids of the segments from number ``known`` on; the arrays double when they are full."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
+        while known + len(lens) > len(self.lens):
+            self.lens, self.starts = np.r_[self.lens, np.zeros_like(self.lens)], np.r_[self.starts, np.zeros_like(self.starts)]
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.lens[known : known + len(lens)] = lens
+        self.starts[known : known + len(lens)] = self.used + np.cumsum(lens) - lens
+        self.used += len(ids)
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each."""
@@ -261,12 +282,14 @@ class Encoder:
             self._forget()
         known, each, counts = len(self.codes), [], []
         for text in texts:
-            own = list(map(self.codes.__getitem__, cut_segments(text))) if text else []
-            each += own
-            counts.append(len(own))
-        ids, lens = merge_segments(list(islice(self.codes, known, None)), self.model)
-        self.ids, self.lens = np.r_[self.ids, ids], np.r_[self.lens, lens]
-        self.starts = np.cumsum(self.lens) - self.lens
+            if text:
+                own = cut_segments(text)
+                each.extend(map(self.codes.__getitem__, own))
+                counts.append(len(own))
+            else:
+                counts.append(0)
+        if len(self.codes) > known:
+            self._add(known, *merge_segments(list(islice(self.codes, known, None)), self.model))
         each = np.array(each, np.int64)
         long = self.lens[each]
         ends = np.cumsum(long)
@@ -275,6 +298,29 @@ class Encoder:
         return flat, np.diff(total)
 
 
+def _flat_pieces(model: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all pieces one after the other, where each starts, and how many it has."""
+    t = _tables(model)
+    if "flat" not in t:
+        shown = t["shown"]
+        lens = np.array([len(b) for b in shown], np.int64)
+        t["flat"] = np.frombuffer(b"".join(shown), np.uint8), np.cumsum(lens) - lens, lens
+    return t["flat"]
+
+
+def decode_flat(ids: np.ndarray, counts: np.ndarray, model: Pieces) -> list[str]:
+    """Texts of consecutive runs of ids, ``counts`` ids each; see :func:`decode_ids`."""
+    flat, starts, lens = _flat_pieces(model)
+    long = lens[ids]
+    ends = np.cumsum(long)
+    joined = flat[np.repeat(starts[ids] - (ends - long), long) + np.arange(int(long.sum()))].tobytes()
+    cuts = np.r_[0, ends][np.r_[0, np.cumsum(counts)]].tolist()
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        out.append(joined[a + 1 if joined[a : a + 1] == b" " and a < b else a : b].decode("utf-8", "replace"))
+    return out
+
+
 def decode_ids(ids: list[int], model: Pieces) -> str:
     """Pieces joined, bytes put together, the blank in front taken away."""
     shown = _tables(model)["shown"]
@@ -313,8 +359,15 @@ def decode(rows: DataFrame, model_file: str, ids: str = "ids", text: str = "deco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.columns[-1]
-            for a, b in batches_of(column.value_lengths().fill_null(0).to_pylist(), BATCH_CHARS):
-                said = [decode_ids(x or [], model.value) for x in column.slice(a, b - a).to_pylist()]
+            lengths = column.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            for a, b in batches_of(lengths.tolist(), BATCH_CHARS):
+                # A null id among others is none.
+                flat = column.slice(a, b - a).flatten()
+                counts = lengths[a:b]
+                if flat.null_count:
+                    said = [decode_ids([i for i in x or [] if i is not None], model.value) for x in column.slice(a, b - a).to_pylist()]
+                else:
+                    said = decode_flat(flat.to_numpy(), counts, model.value)
                 arrays = batch.slice(a, b - a).columns[:-1]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(said, pa.string())], names)
 

@@ -230,3 +230,30 @@ def test_toxicity_learns_and_keeps_held_out_labels_out(spark):
     nothing = toxicity.train(empty(spark), labels.limit(0))
     assert toxicity.score(empty(spark), nothing).count() == 0
     assert {round(r.score, 6) for r in toxicity.score(docs, nothing).collect()} == {0.5}
+
+
+def test_encoder_forgets_older_segments(monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "KNOWN", 50)
+    import sentencepiece
+
+    model = sentence_pieces.load_pieces(piece_model())
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    rng = random.Random(12)
+    encoder = sentence_pieces.Encoder(model)
+    for _ in range(30):
+        texts = ["".join(rng.choices(["alpha", " ", "b", "\n", "é", "\U0001f600", "  ", "Word", "x" * 20], k=rng.randint(0, 60))) for _ in range(20)]
+        flat, counts = encoder.texts(texts)
+        ends = counts.cumsum()
+        own = [flat[e - c : e].tolist() for e, c in zip(ends, counts)]
+        assert own == library.encode(texts)
+        assert sentence_pieces.decode_flat(flat, counts, model) == library.decode(own)
+        assert len(encoder.codes) < 2000
+
+
+def test_decode_of_odd_id_lists(spark):
+    rows = [(1, None), (2, []), (3, [None]), (4, [450, None, 450]), (5, [3 + 0xC3]), (6, [3 + 0xC3, 3 + 0xA9])]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    got = {r.doc_id: r.decoded for r in sentence_pieces.decode(df, piece_model()).collect()}
+    twice = {r.doc_id: r.decoded for r in sentence_pieces.decode(df.where("doc_id <> 3 and doc_id <> 4"), piece_model()).collect()}
+    assert got[1] == got[2] == got[3] == "" and got[5] == "�" and got[6] == "é" and len(got[4]) > 1
+    assert all(got[k] == v for k, v in twice.items())
