@@ -5,7 +5,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from symbolpulse.operators import rollups, storage
+from symbolpulse.operators import rollups
 from symbolpulse.plans import catalog, stream_queries
 from symbolpulse.sources import readers, writers
 from symbolpulse.streaming import streams, windows
@@ -80,16 +80,70 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(history).count() == 4
 
 
+UPSERT = "k string, v int, day string"
+
+
+def _upsert(spark, path, rows):
+    writers.upsert_partitions(spark.createDataFrame(rows, UPSERT), path, ["k"], "day")
+
+
+def _values(table):
+    return {(r.k, r.v, r.day) for r in table.collect()}
+
+
 def test_upsert_touches_only_its_days(spark, tmp_path):
     path = str(tmp_path / "t")
-    first = spark.createDataFrame([("a", 1, "d1"), ("b", 1, "d1"), ("c", 1, "d2")], "k string, v int, day string")
-    writers.upsert_partitions(first, path, ["k"], "day")
-    before = {f for f in spark.read.parquet(path).where("day = 'd2'").inputFiles() if "day=d2" in f}
+    _upsert(spark, path, [("a", 1, "d1"), ("b", 1, "d1"), ("c", 1, "d2")])
+    before = {f for f in writers.read_table(spark, path).where("day = 'd2'").inputFiles() if "day=d2" in f}
     for _ in range(2):
-        writers.upsert_partitions(spark.createDataFrame([("a", 2, "d1"), ("z", 2, "d1")], "k string, v int, day string"), path, ["k"], "day")
-    table = spark.read.parquet(path)
-    assert {(r.k, r.v) for r in table.collect()} == {("a", 2), ("b", 1), ("z", 2), ("c", 1)}
-    assert before <= set(table.inputFiles())
+        _upsert(spark, path, [("a", 2, "d1"), ("z", 2, "d1")])
+    table = writers.read_table(spark, path)
+    assert _values(table) == {("a", 2, "d1"), ("b", 1, "d1"), ("z", 2, "d1"), ("c", 1, "d2")}
+    assert before and before <= set(table.inputFiles())
+
+
+def test_readers_see_the_table_before_or_after_an_upsert(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    _upsert(spark, path, [("a", 1, "d1"), ("b", 1, "d2")])
+    old = writers.read_table(spark, path)
+    publish, seen = writers._publish, []
+
+    def late(*args):
+        # All files are written; the version is not out yet.
+        seen.append(_values(writers.read_table(spark, path)))
+        publish(*args)
+
+    monkeypatch.setattr(writers, "_publish", late)
+    _upsert(spark, path, [("a", 2, "d1"), ("c", 2, "d3")])
+    assert seen == [{("a", 1, "d1"), ("b", 1, "d2")}]
+    # A reader that began before goes on with its version.
+    assert _values(old) == {("a", 1, "d1"), ("b", 1, "d2")}
+    now = {("a", 2, "d1"), ("b", 1, "d2"), ("c", 2, "d3")}
+    assert _values(writers.read_table(spark, path)) == now
+
+    def stopped(*args):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(writers, "_publish", stopped)
+    with pytest.raises(RuntimeError):
+        _upsert(spark, path, [("a", 3, "d1")])
+    assert _values(writers.read_table(spark, path)) == now
+
+    def second(spark_, path_, number, folders):
+        publish(spark_, path_, number, folders)
+        publish(spark_, path_, number, folders)
+
+    monkeypatch.setattr(writers, "_publish", second)
+    with pytest.raises(FileExistsError):
+        _upsert(spark, path, [("d", 4, "d4")])
+    monkeypatch.setattr(writers, "_publish", publish)
+    now |= {("d", 4, "d4")}
+    assert writers.vacuum(spark, path, keep=1) == 2
+    assert _values(writers.read_table(spark, path)) == now
+    _upsert(spark, path, [("d", 5, "d4")])
+    assert _values(writers.read_table(spark, path)) == now - {("d", 4, "d4")} | {("d", 5, "d4")}
+    with pytest.raises(FileNotFoundError):
+        writers.read_table(spark, str(tmp_path / "none"))
 
 
 KIND = "id string, ticker string, created_utc timestamp, upvotes int, sentiment_dict double, sentiment_weighted double"
@@ -196,13 +250,3 @@ def test_alerts_fire_at_any_crossing(spark, tmp_path):
         fired = str(tmp_path / f"fired{len(cut)}")
         streams.run_available(ticks, streams.alert_sink(rules, fired), str(tmp_path / f"cp{len(cut)}"), "append")
         assert sorted(r.id for r in spark.read.parquet(fired).collect()) == [1, 2]
-
-
-def test_upsert_leaves_no_copy(spark, tmp_path):
-    shared = storage.shared_dir(spark).removeprefix("file:")
-    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
-    for v in (1, 2):
-        rows = spark.createDataFrame([("a", v, "d1")], "k string, v int, day string")
-        writers.upsert_partitions(rows, str(tmp_path / "t"), ["k"], "day")
-    assert spark.read.parquet(str(tmp_path / "t")).first().v == 2
-    assert (set(os.listdir(shared)) if os.path.isdir(shared) else set()) == before
