@@ -11,13 +11,14 @@ the rounds leave apart is compared by an exact prefix-filter join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.storage import stored
 from .common import batches_of, join_counted, map_texts
@@ -105,19 +106,22 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
-def _map_sets(docs: DataFrame, width: int, shape: str, fill) -> DataFrame:
-    """``doc_id`` and what ``fill`` makes of the shingle sets of a batch."""
+def _map_sets(docs: DataFrame, width: int, shape: str, fill, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, the columns ``keep`` and what ``fill`` makes of the shingle sets of a batch."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
+    passed = rows.drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            own = batch.columns[:-1]
             for a, b in batches_of([len(t or "") for t in texts], BATCH_BYTES):
                 sets = shingles_of(texts[a:b], width, known)
                 names, columns = fill(sets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in own), *columns], [*batch.schema.names[:-1], *names])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, f"doc_id long, {shape}")
+    return map_texts(rows, run, StructType(passed.schema.fields + StructType.fromDDL(shape).fields))
 
 
 def _lists(sets, kind) -> pa.Array:
@@ -126,8 +130,13 @@ def _lists(sets, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64), kind))
 
 
-def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n, set_id, keys``: size and identity of the shingle set, its bucket keys."""
+def _names(sets: list[np.ndarray]) -> pa.Array:
+    """One name for equal sets."""
+    return pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+
+
+def sketches(docs: DataFrame, width: int, bands: int, rows: int, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, ``keep``, ``n, set_id, keys``: size and identity of the shingle set, its bucket keys."""
     bins = bands * rows
     probes = _probes(bins)
 
@@ -138,19 +147,20 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             for i, k in zip(full, band_keys(signatures([sets[i] for i in full], bins, probes), rows), strict=True):
                 keys[i] = k
         sizes = pa.array([len(s) for s in sets], pa.int64())
-        names = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-        return ["n", "set_id", "keys"], [sizes, names, _lists(keys, pa.int64())]
+        return ["n", "set_id", "keys"], [sizes, _names(sets), _lists(keys, pa.int64())]
 
-    return _map_sets(docs, width, "n long, set_id binary, keys array<long>", fill)
+    return _map_sets(docs, width, "n long, set_id binary, keys array<long>", fill, keep)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, shingles``."""
-    return _map_sets(docs, width, "shingles array<long>", lambda sets: (["shingles"], [_lists(sets, pa.int64())]))
+    """``doc_id, node, shingles``; ``node`` is the ``set_id`` of the sketch."""
+    return _map_sets(
+        docs, width, "node binary, shingles array<long>", lambda sets: (["node", "shingles"], [_names(sets), _lists(sets, pa.int64())])
+    )
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (``a, b``) whose sets share ``percent`` of their union or more.
+    """Pairs (``a, b``) of nodes whose sets share ``percent`` of their union or more.
 
     Centers with many members are copied, so that a thousand members at most meet a copy.
     """
@@ -158,9 +168,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     kept = pairs.columns
     spread = join_counted(pairs, counts, ["b"]).withColumn("salt", F.pmod(F.hash("a"), F.col("copies")))
     centers = counts.select("b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")).join(
-        sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_sb")), "b"
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("_sb")), "b"
     )
-    members = spread.select(*kept, "salt").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_sa")), "a")
+    members = spread.select(*kept, "salt").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_sa")), "a")
     both = members.join(centers, ["b", "salt"])
     shared = F.size(F.array_intersect("_sa", "_sb"))
     union = F.size("_sa") + F.size("_sb") - shared
@@ -168,104 +178,123 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4
+    docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id, text``).
+    """``doc_id``, ``keep``, ``n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id, text``).
 
     Words are lower-cased (A-Z) and parted by the six ASCII blanks.  Documents whose sets share
     ``percent`` of their union are linked; ``component_id`` is the smallest doc_id reachable
     and ``kept`` marks that document.  Null texts and texts without words have no shingles and
     are linked with nothing.  Rows that repeat a doc_id with the same text give equal rows, of
     which all are marked kept or none; with other texts each row belongs to the group of its
-    own text.  A null doc_id is linked with nothing and its component is null.
+    own text, as sets are linked, not ids.  A null doc_id is linked with nothing and its component
+    is null.  ``keep`` names further columns of ``docs`` to hand on, called otherwise than the
+    columns of the sketch (``n, set_id, keys``) and of the result; columns left out may have any name.
 
     Two texts of that similarity share no bucket with a probability below 1e-7 at 32 bands of 4.
     """
-    sketch = stored(sketches(docs, width, bands, rows), "sketches")
+    keep = list(keep)
+    sketch = stored(sketches(docs, width, bands, rows, keep), "sketches")
     sized = sketch.where("n > 0 and doc_id is not null")
     classes = stored(sized.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")), "set-classes")
     reps = classes.select("set_id", F.col("rep").alias("doc_id"))
-    keyed = sized.join(reps, ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id"])
-    entries = keyed.select(F.explode("keys").alias("key"), "doc_id", "n")
+    keyed = sized.join(reps, ["set_id", "doc_id"], "left_semi").select("set_id", "n", "keys").dropDuplicates(["set_id"])
+    entries = keyed.select(F.explode("keys").alias("key"), F.col("set_id").alias("node"), "n")
     full = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("size", F.col("m"))
-    members = stored(join_counted(entries, stored(full, "buckets"), ["key"], "m"), "bucket-members")
-    found = _linked(docs, members, width, percent)
-    rep_of = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "set_id", F.coalesce("component", "rep").alias("component_id"), "m"
-    )
-    known = stored(rep_of, "set-components")
-    joined = join_counted(sketch.select("doc_id", "n", "set_id"), known, ["set_id"], "m", "left")
+    members = join_counted(entries, stored(full, "buckets"), ["key"], "m")
+    found = _linked(docs, classes, members, width, percent)
+    named = classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
+    named = stored(named.withColumn("comp", F.coalesce("comp", "set_id")), "set-components")
+    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("sets"))
+    known = join_counted(named, stored(least, "components"), ["comp"], "sets").select("set_id", "component_id", "m")
+    joined = join_counted(sketch.select("doc_id", *keep, "n", "set_id"), stored(known, "set-components"), ["set_id"], "m", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
-    )
+        "doc_id", *keep, F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+    )
 
 
-def _relabelled(rows: DataFrame, column: str, moved: DataFrame) -> DataFrame:
-    """``rows`` with component names replaced by those of ``moved`` (``node, component``)."""
-    names = rows.columns
-    counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("_m"))
-    keyed = stored(moved.withColumnRenamed("node", column).join(counts, column), "moved")
-    joined = join_counted(rows, keyed, [column], "_m", "left")
-    return joined.withColumn(column, F.coalesce("component", column)).select(*names)
+def _relabelled(nodes: DataFrame, moved: DataFrame) -> DataFrame:
+    """``nodes`` with the names in ``comp`` replaced by those of ``moved`` (``node, component``)."""
+    names = nodes.columns
+    counts = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("_m"))
+    keyed = stored(moved.withColumnRenamed("node", "comp").join(counts, "comp"), "moved")
+    joined = join_counted(nodes, keyed, ["comp"], "_m", "left")
+    return stored(joined.withColumn("comp", F.coalesce("component", "comp")).select(*names), "nodes")
 
 
-def _linked(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """``node, component`` of the bucket members (``key, doc_id, n, size`` of the bucket).
+def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """``node, comp`` of the bucket members (``key, node, n, size`` of the bucket).
 
     A round compares the members of each bucket with one center: the most central open member,
     the one whose buckets hold the most members.  Copies with edits of their own are nearest to
     such a center, so a member that it does not hold is rarely held by another.  Members that
-    stay apart from it are open and give the next center, until none is open or, from the third
-    round on, a round links nothing.  Pairs that met no common center then go to
-    :func:`_finished`, so when the rounds end decides the work, not the result.
+    stay apart from it are open and give the next center.  Components are kept in one row for each
+    node, and a bucket goes for good when all its members are in the component of its center,
+    so a round touches only buckets that hold several components.  Rounds end when no member is
+    open or, from the third on, when one links nothing; what the buckets then still hold
+    goes to :func:`_finished`, so when the rounds end decides the work, not the result.
     """
-    ids = members.groupBy("doc_id").agg(F.sum("size").alias("deg"))
-    texts = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = stored(full_sets(texts, width).dropDuplicates(["doc_id"]), "full-sets")
-    rows = members.join(ids, "doc_id").withColumns({"comp": F.col("doc_id"), "open": F.lit(True)})
-    rows = stored(rows.select("key", "doc_id", "n", "size", "deg", "comp", "open"), "bucket-members")
-    turn, idle = 1, False
+    whole = Window.partitionBy("node")  # a node has one row for each band
+    rows = members.withColumn("deg", F.sum("size").over(whole)).withColumns({"comp": F.col("node"), "open": F.lit(True)})
+    rows = stored(rows.select("key", "node", "n", "size", "deg", "comp", "open"), "bucket-members")
+    nodes = stored(rows.groupBy("node").agg(F.max("n").alias("n"), F.min("comp").alias("comp")), "nodes")
+    sources = classes.join(nodes.select(F.col("node").alias("set_id")), "set_id", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.join(sources.hint("shuffle_hash"), "doc_id", "left_semi")
+    sets = full_sets(texts, width).select("node", "shingles").join(nodes.select("node").hint("shuffle_hash"), "node", "left_semi")
+    sets = stored(sets.dropDuplicates(["node"]), "full-sets")
+    turn = 1
     while True:
-        center = F.max(F.struct("deg", (-F.col("doc_id")).alias("neg"), "n", "comp"))
+        center = F.max(F.struct("deg", "node", "n", "comp"))
         first = rows.where("open").groupBy("key").agg(center.alias("center"), F.first("size").alias("m"))
-        centers = stored(first.select("key", "m", "center.n", "center.comp", (-F.col("center.neg")).alias("doc_id")), "stars")
-        at = centers.select("key", "m", F.col("doc_id").alias("_c"), F.col("comp").alias("_comp"), F.col("n").alias("_n"))
-        stars = join_counted(rows, at, ["key"], "m")
+        at = first.select("key", "m", F.col("center.node").alias("_c"), F.col("center.comp").alias("_comp"), F.col("center.n").alias("_n"))
+        at = stored(at, "stars")
         near = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
-        pairs = stars.where(near & (F.col("comp") != F.col("_comp"))).select(
-            F.col("doc_id").alias("a"), F.col("_c").alias("b"), F.col("comp").alias("ca"), F.col("_comp").alias("cb")
+        pairs = join_counted(rows, at, ["key"], "m").where(near & (F.col("comp") != F.col("_comp"))).select(
+            F.col("node").alias("a"), F.col("_c").alias("b"), F.col("comp").alias("ca"), F.col("_comp").alias("cb")
         )
         held = stored(confirmed(stored(pairs.distinct(), "candidates"), sets, percent), "confirmed")
-        now = rows
-        if held.isEmpty():
-            idle = True
-        else:
-            idle = False
+        idle = held.isEmpty()
+        if not idle:
             moved = stored(components(held.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "moved")
-            now, at = _relabelled(now, "comp", moved), stored(_relabelled(at, "_comp", moved), "stars")
-        judged = join_counted(now, at.drop("_n"), ["key"], "m", "left")
-        apart = F.col("open") & (F.col("doc_id") != F.col("_c")) & (F.col("comp") != F.col("_comp"))
-        rows = stored(judged.withColumn("open", F.coalesce(apart, F.lit(False))).drop("_c", "_comp"), "bucket-members")
+            nodes = _relabelled(nodes, moved)
+        rows = stored(_split_buckets(rows, at, held, nodes), "bucket-members")
         turn += 1
         if turn > 3 and idle or rows.where("open").isEmpty():
-            return _finished(rows, sets, percent)
+            return _finished(rows, nodes, sets, percent)
 
 
-def _finished(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``node, component`` after the links that the rounds of stars did not compare.
+def _split_buckets(rows: DataFrame, at: DataFrame, held: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, with components as ``nodes`` has them.
 
-    Such a pair shares a bucket that still holds several components.  The members of these
-    buckets meet by a prefix filter, which loses no pair: with shingles in one order, rarest first,
+    Members that the center holds need no second look; the others are apart if their component is
+    not the center's.  A bucket without a center was split before and stays.
+    """
+    comps = nodes.select("node", "comp")
+    centers = at.select("key", "m", "_c").join(comps.select(F.col("node").alias("_c"), F.col("comp").alias("_comp")), "_c")
+    plain = rows.drop("comp")
+    starred = join_counted(plain, stored(centers, "stars"), ["key"], "m", "left")
+    others = starred.where("_c is null or node <> _c")
+    loose = others.join(held.select(F.col("a").alias("node"), F.col("b").alias("_c")), ["node", "_c"], "left_anti")
+    apart = loose.join(comps, "node").where("_c is null or comp <> _comp")
+    split = apart.groupBy("key").agg(F.first("size").alias("m"), F.first("_c").alias("_c"), F.first("_comp").alias("_comp"))
+    judged = join_counted(plain, stored(split, "split"), ["key"], "m").join(comps, "node")
+    still = F.col("open") & (F.col("node") != F.col("_c")) & (F.col("comp") != F.col("_comp"))
+    return judged.withColumn("open", F.coalesce(still, F.lit(False))).select("key", "node", "n", "size", "deg", "comp", "open")
+
+
+def _finished(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``node, comp`` after the links that the rounds of stars did not compare.
+
+    Such a pair shares a bucket that still holds several components, and ``rows`` are the members
+    of these buckets.  They meet by a prefix filter, which loses no pair: with shingles in one order, rarest first,
     two sets that share ``percent`` of their union share a shingle in the first
     n - ceil(percent * n / 100) + 1 of each, and behind the first shared one enough must be
     left on both sides.
     """
-    nodes = stored(rows.select("doc_id", "n", "comp").distinct(), "nodes")
-    split = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    apart = rows.join(split.hint("shuffle_hash"), "key", "left_semi").select("doc_id").distinct()
-    left = stored(nodes.join(apart.hint("shuffle_hash"), "doc_id", "left_semi"), "apart")
-    named = nodes.select(F.col("doc_id").alias("node"), F.col("comp").alias("component"))
+    named = nodes.select("node", "comp")
+    left = stored(nodes.join(rows.select("node").distinct().hint("shuffle_hash"), "node", "left_semi"), "apart")
     if left.isEmpty():
         return named
     pairs = _prefix_pairs(left, sets, percent)
@@ -273,38 +302,38 @@ def _finished(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     if held.isEmpty():
         return named
     moved = stored(components(held.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "moved")
-    return _relabelled(nodes, "comp", moved).select(F.col("doc_id").alias("node"), F.col("comp").alias("component"))
+    return _relabelled(nodes, moved).select("node", "comp")
 
 
 def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs ``a, b, ca, cb`` of ``left`` (``doc_id, n, comp``) that a prefix filter lets through.
+    """Distinct pairs ``a, b, ca, cb`` of ``left`` (``node, n, comp``) that a prefix filter lets through.
 
     Only members outside the largest component of a shingle look for partners, so a large
     group is not compared with itself; shingles with many members are salted.
     """
-    shingles = left.join(sets, "doc_id").select("doc_id", "n", "comp", F.explode("shingles").alias("shingle"))
+    shingles = left.join(sets, "node").select("node", "n", "comp", F.explode("shingles").alias("shingle"))
     shingles = stored(shingles, "shingles")
     counts = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("df", F.col("m"))
     common = join_counted(shingles, stored(counts, "shingle-counts"), ["shingle"], "m")
-    ordered = common.groupBy("doc_id", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))
+    ordered = common.groupBy("node", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))
     # Shingles of one set only come first in the order: they take places and meet nobody.
     alone = F.col("n") - F.size("own")
     first = F.expr(f"n - (n * {percent} + 99) div 100 + 1") - alone
     prefix = ordered.withColumns({"alone": alone, "first": first.cast("int")}).where("first > 0")
-    entries = prefix.select("doc_id", "n", "comp", "alone", F.posexplode(F.slice("own", F.lit(1), F.col("first"))).alias("i", "at"))
+    entries = prefix.select("node", "n", "comp", "alone", F.posexplode(F.slice("own", F.lit(1), F.col("first"))).alias("i", "at"))
     # ``rest``: the shingles of the set from this one on.
-    entries = stored(entries.select("doc_id", "n", "comp", F.col("at.shingle").alias("shingle"), (F.col("n") - F.col("alone") - F.col("i")).alias("rest")), "prefixes")
+    entries = stored(entries.select("node", "n", "comp", F.col("at.shingle").alias("shingle"), (F.col("n") - F.col("alone") - F.col("i")).alias("rest")), "prefixes")
     groups = entries.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
     tops = groups.groupBy("shingle").agg(F.max(F.struct("k", "comp"))["comp"].alias("top"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("groups"))
     tops = tops.where("groups > 1").select("shingle", "top", "m", F.expr("cast(m div 1000 + 1 as int)").alias("copies"))
     met = stored(join_counted(entries, stored(tops, "tops"), ["shingle"], "m"), "met")
     probes = met.where("comp <> top").select(
-        "shingle", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("rest").alias("ra"),
+        "shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("rest").alias("ra"),
         F.col("top"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"),
     )
     held = met.select(
-        "shingle", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("rest").alias("rb"),
-        F.pmod(F.hash("doc_id"), F.col("copies")).alias("salt"),
+        "shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("rest").alias("rb"),
+        F.pmod(F.hash("node"), F.col("copies")).alias("salt"),
     )
     both = probes.join(held, ["shingle", "salt"]).where(
         (F.col("ca") != F.col("cb"))

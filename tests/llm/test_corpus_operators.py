@@ -86,6 +86,26 @@ def test_near_duplicates_of_odd_tables(spark):
     assert got == [(-1, 2, -1, True), (3, 2, 3, True), (7, 2, 3, False), (7, 2, 3, False), (9, 0, 9, True), (9, 0, 9, True)]
 
 
+def test_near_duplicates_link_sets_not_ids(spark):
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    a, b, c = ([word() for _ in range(60)] for _ in range(3))
+    text = " ".join
+    schema = "doc_id int, text string, n int, node string"
+    rows = spark.createDataFrame([(1, text(a), 1, "x"), (5, text([*a, "z"]), 2, "x"), (5, text(c), 3, None)], schema)
+    got = sorted((r.n, r.doc_id, r.n_shingles, r.component_id, r.kept) for r in _kept(rows))
+    assert got == [(1, 1, 56, 1, True), (2, 5, 57, 1, False), (3, 5, 56, 5, True)]
+    rows = spark.createDataFrame([(1, text(a), 1, ""), (5, text([*a, "z"]), 2, ""), (5, text(b), 3, ""), (3, text([*b, "q"]), 4, "")], schema)
+    got = sorted((r.n, r.doc_id, r.component_id, r.kept) for r in _kept(rows))
+    assert got == [(1, 1, 1, True), (2, 5, 1, False), (3, 5, 3, False), (4, 3, 3, True)]
+
+
+def _kept(rows):
+    """Near duplicates with the column ``n`` of the rows handed on under a free name."""
+    found = minhash_dedup.near_duplicates(rows.withColumn("own", rows["n"]), keep=["own"])
+    return found.withColumnRenamed("own", "n").collect()
+
+
 def test_near_duplicates_behind_a_template(spark):
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(10**9)}"
