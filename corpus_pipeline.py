@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolpulse.llm import line_dedup, minhash_dedup, sentence_pieces, source_mix, toxicity
-from symbolpulse.llm.common import table
+from symbolpulse.llm.common import spare, table
 from symbolpulse.llm.queries import piece_model
 from symbolpulse.operators.storage import stored
 
@@ -32,10 +32,15 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
-    found = minhash_dedup.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates stays, the one with the smallest doc_id.
+
+    A row goes by its id and text, so another text under the same id keeps its own verdict.
+    """
+    address = spare(docs, "_address")
+    named = docs.withColumn(address, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    found = minhash_dedup.near_duplicates(named.select("doc_id", "text", address), keep=[address])
+    gone = found.where("not kept").select("doc_id", address).distinct()
+    return named.join(gone.hint("shuffle_hash"), ["doc_id", address], "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
