@@ -42,13 +42,13 @@ def _pivots(classes: DataFrame, most: int) -> dict[int, np.ndarray]:
     out = {}
     for dims, n in classes.groupBy("dims").count().collect():
         wanted = min(most, max(1, math.ceil(math.sqrt(n) / 12)))
-        rows = classes.where(F.col("dims") == dims).orderBy(F.xxhash64("rep"), "rep").select("embedding").limit(wanted).collect()
+        rows = classes.where(F.col("dims") == dims).orderBy(F.xxhash64("same"), "same").select("embedding").limit(wanted).collect()
         out[dims] = unit([r["embedding"] for r in rows])
     return out
 
 
 def _cells(classes: DataFrame, pivots: dict[int, np.ndarray], r: float) -> DataFrame:
-    """``dims, cell, home, rep, n, embedding``: each vector in its cell and where it may be needed."""
+    """``dims, cell, home, same, n, embedding``: each vector in its cell and where it may be needed."""
     sent = classes.sparkSession.sparkContext.broadcast(pivots)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,8 +59,8 @@ def _cells(classes: DataFrame, pivots: dict[int, np.ndarray], r: float) -> DataF
                     rows = part.iloc[at : at + 2000]
                     yield _placed(rows, p, r)
 
-    return classes.select("dims", "rep", "n", "embedding").mapInPandas(
-        place, "dims int, cell int, home boolean, rep long, n long, embedding array<double>"
+    return classes.select("dims", "same", "n", "embedding").mapInPandas(
+        place, "dims int, cell int, home boolean, same string, n long, embedding array<double>"
     )
 
 
@@ -77,9 +77,9 @@ def _placed(rows: pd.DataFrame, p: np.ndarray, r: float) -> pd.DataFrame:
     near &= np.arange(len(p)) < home[:, None]
     i, cell = np.nonzero(near)
     i, cell = np.r_[np.arange(len(rows)), i], np.r_[home, cell]
-    out = rows.iloc[i][["dims", "rep", "n", "embedding"]].copy()
+    out = rows.iloc[i][["dims", "same", "n", "embedding"]].copy()
     out["cell"], out["home"] = cell, np.arange(len(i)) < len(rows)
-    return out[["dims", "cell", "home", "rep", "n", "embedding"]]
+    return out[["dims", "cell", "home", "same", "n", "embedding"]]
 
 
 def _tasks(cells: DataFrame, block: int) -> DataFrame:
@@ -88,7 +88,7 @@ def _tasks(cells: DataFrame, block: int) -> DataFrame:
         F.expr(f"cast(ceil(count_if(home) / {block}) as int)").alias("own"), F.expr(f"cast(ceil(count_if(not home) / {block}) as int)").alias("guests")
     )
     sized = cells.join(F.broadcast(stored(counts, "cells")), ["dims", "cell"])  # one row for each pivot
-    mixed = F.xxhash64("rep")
+    mixed = F.xxhash64("same")
     block_of = F.when(F.col("home"), F.pmod(mixed, F.col("own"))).otherwise(F.pmod(mixed, F.col("guests"))).cast("int")
     b = F.col("b")
 
@@ -100,15 +100,15 @@ def _tasks(cells: DataFrame, block: int) -> DataFrame:
     hosts = F.transform(up_to("guests"), lambda x: task("guest", b, x, F.lit(0)))
     visits = F.transform(up_to("own"), lambda x: task("guest", x, b, F.lit(1)))
     tasks = F.when(F.col("home"), F.concat(among, hosts)).otherwise(visits)
-    return sized.withColumn("b", block_of).withColumn("t", F.explode(tasks)).select("dims", "cell", "t.*", "rep", "n", "embedding")
+    return sized.withColumn("b", block_of).withColumn("t", F.explode(tasks)).select("dims", "cell", "t.*", "same", "n", "embedding")
 
 
 def _join_block(frame: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Linked rows of one block pair: linked vectors on the other side, smallest id reachable here."""
+    """Linked rows of one block pair: linked vectors on the other side, one vector reachable here (``root``)."""
     same = frame["kind"].iloc[0] == "own" and frame["i"].iloc[0] == frame["j"].iloc[0]
     left = frame if same else frame[frame["side"] == 0]
     right = frame if same else frame[frame["side"] == 1]
-    empty = pd.DataFrame({"rep": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
+    empty = pd.DataFrame({"same": np.zeros(0, str), "links": np.zeros(0, np.int64), "root": np.zeros(0, str)})
     if not len(left) or not len(right):
         return empty
     x, y = unit(left["embedding"]), unit(right["embedding"])
@@ -121,22 +121,22 @@ def _join_block(frame: pd.DataFrame, least: float) -> pd.DataFrame:
         i, j = i[i != j], j[i != j]
     if not len(i):
         return empty
-    a, b = left["rep"].to_numpy(np.int64), right["rep"].to_numpy(np.int64)
-    root_a, root_b = a.copy(), b.copy()
+    # Places in the pair of blocks stand for vectors until the end.
+    names = left["same"].to_numpy() if same else np.r_[left["same"].to_numpy(), right["same"].to_numpy()]
+    root_a = np.arange(len(left))
+    root_b = root_a if same else np.arange(len(left), len(names))
     while True:
         before = root_a.sum() + root_b.sum()
         low = np.minimum(root_a[i], root_b[j])
         np.minimum.at(root_a, i, low)
         np.minimum.at(root_b, j, low)
-        if same:
-            root_a = root_b = np.minimum(root_a, root_b)
         if root_a.sum() + root_b.sum() == before:
             break
-    links_a = np.bincount(i, right["n"].to_numpy(float)[j], len(a)).astype(np.int64)
-    out = [pd.DataFrame({"rep": a, "links": links_a, "root": root_a})[links_a > 0]]
+    links_a = np.bincount(i, right["n"].to_numpy(float)[j], len(left)).astype(np.int64)
+    out = [pd.DataFrame({"same": left["same"].to_numpy(), "links": links_a, "root": names[root_a]})[links_a > 0]]
     if not same:
-        links_b = np.bincount(j, left["n"].to_numpy(float)[i], len(b)).astype(np.int64)
-        out.append(pd.DataFrame({"rep": b, "links": links_b, "root": root_b})[links_b > 0])
+        links_b = np.bincount(j, left["n"].to_numpy(float)[i], len(right)).astype(np.int64)
+        out.append(pd.DataFrame({"same": right["same"].to_numpy(), "links": links_b, "root": names[root_b]})[links_b > 0])
     return pd.concat(out)
 
 
@@ -147,7 +147,8 @@ def near_embeddings(vectors: DataFrame, least: float = 0.95, most_pivots: int =
     rows linked directly, ``component_id`` is the smallest vec_id reachable, ``kept`` marks that
     row.  Null and zero vectors, vectors with a null or non-finite component, and rows without
     a vec_id are linked with nothing; vectors of different lengths are never linked.  Equal
-    vectors are joined once; rows that repeat a vec_id count as rows of their own.
+    vectors are joined once; rows that repeat a vec_id count as rows of their own, as vectors are
+    linked, not ids.  Only these two columns are read, so others may have any name.
     """
     r = math.sqrt(2 - 2 * least)
     rows = stored(
@@ -165,16 +166,16 @@ def near_embeddings(vectors: DataFrame, least: float = 0.95, most_pivots: int =
     )
     cells = stored(_cells(classes, _pivots(classes, most_pivots), r), "cells")
     found = _tasks(cells, block).groupBy("dims", "cell", "kind", "i", "j").applyInPandas(
-        lambda frame: _join_block(frame, least), "rep long, links long, root long"
+        lambda frame: _join_block(frame, least), "same string, links long, root string"
     )
     found = stored(found, "vector-links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    reach = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = (
-        classes.select("same", "rep", "n")
-        .join(links, "rep", "left")
-        .join(reach.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("same", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    links = found.groupBy("same").agg(F.sum("links").alias("links"))
+    reach = components(found.select(F.col("same").alias("a"), F.col("root").alias("b")))
+    named = classes.select("same", "rep", "n").join(links, "same", "left").join(reach.withColumnRenamed("node", "same"), "same", "left")
+    named = stored(named.withColumn("component", F.coalesce("component", "same")), "named")
+    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    known = join_counted(named, stored(smallest, "components"), ["component"], "m").select(
+        "same", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"
     )
     joined = join_counted(rows, stored(known, "vector-components"), ["same"], how="left")
     component = F.coalesce("component_id", "vec_id")

@@ -100,6 +100,21 @@ def test_near_duplicates_link_sets_not_ids(spark):
     assert got == [(1, 1, 1, True), (2, 5, 1, False), (3, 5, 3, False), (4, 3, 3, True)]
 
 
+def test_pipeline_drops_rows_not_ids(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(60)) for c in "ac"]
+    rows = [(1, texts[0]), (5, texts[0] + " z"), (5, texts[1]), (5, None), (None, texts[0])]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id int, text string, _address int")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left))) == sorted(map(str, [rows[0], *rows[2:]]))
+
+
+def test_embeddings_link_vectors_not_ids(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (3, [0.0, 1.0, 0.01]), (1, [1.0, 0.01, 0.0])]
+    table = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id bigint, embedding array<double>, same string")
+    got = sorted(tuple(r) for r in embedding_join.near_embeddings(table).collect())
+    assert got == [(1, 1, 1, True), (3, 1, 3, True), (5, 1, 1, False), (5, 1, 3, False)]
+
+
 def _kept(rows):
     """Near duplicates with the column ``n`` of the rows handed on under a free name."""
     found = minhash_dedup.near_duplicates(rows.withColumn("own", rows["n"]), keep=["own"])
