@@ -176,6 +176,51 @@ def src7(spark, sf):
     return readers.alias_rows(rows)
 
 
+_FILE = "lpad(CAST(p_partkey AS VARCHAR), 10, '0')"
+_SUFFIX = "['', 'st', 't', 'e'][1 + p_partkey % 4]"
+
+
+def _part_files(spark, sf, value):
+    """One JSON file for each part."""
+    return V.load(spark, sf, "part").select(F.lpad(F.col("p_partkey").cast("string"), 10, "0").alias("file"), value.alias("value"))
+
+
+def _part_word(n: int):
+    suffix = F.element_at(F.array(F.lit(""), F.lit("st"), F.lit("t"), F.lit("e")), (1 + F.col("p_partkey") % 4).cast("int"))
+    return F.concat(F.split_part("p_name", F.lit(" "), F.lit(n)), suffix)
+
+
+@query(
+    "src8",
+    f"""
+    WITH w AS (SELECT {_FILE} AS file, 0 AS pos, split_part(p_name, ' ', 1) || {_SUFFIX} AS w, p_size AS score FROM part
+               UNION ALL SELECT {_FILE}, 1, split_part(p_name, ' ', 2) || {_SUFFIX}, -p_size FROM part),
+    n AS (SELECT file, pos, score, CASE WHEN length(w) <= 4 OR w IN ('gear', 'widgete', 'ringst') THEN w
+              WHEN w LIKE '%st' THEN left(w, length(w) - 2) || 'en' WHEN w LIKE '%t' THEN left(w, length(w) - 1) || 'en'
+              WHEN w LIKE '%e' THEN w || 'n' ELSE w END AS word FROM w)
+    SELECT word, CAST(arg_min(score, row(file, pos)) AS INTEGER) AS score FROM n WHERE word NOT IN ('gear', 'widgete') GROUP BY 1
+    UNION ALL SELECT 'gear', 9 UNION ALL SELECT 'widgete', 3""",
+)
+def src8(spark, sf):
+    value = F.to_json(F.create_map(F.upper(_part_word(1)), F.col("p_size").cast("int"), _part_word(2), -F.col("p_size").cast("int")))
+    return readers.lexicon_rows(_part_files(spark, sf, value), {"gear": 9, "widgete": 3}, ["ringst"])
+
+
+@query(
+    "src9",
+    f"""
+    SELECT 'intensity' AS kind, lower(p_brand) AS word, arg_max(p_size / 4, p_partkey) AS weight FROM part GROUP BY 2
+    UNION ALL SELECT 'intensity', w, x FROM (VALUES ('mega', 2), ('brand#1', 99)) AS given(w, x) WHERE w NOT IN (SELECT lower(p_brand) FROM part)
+    UNION ALL (SELECT DISTINCT 'marker', split_part(p_name, ' ', 1) || {_SUFFIX}, CAST(NULL AS DOUBLE) FROM part
+               UNION SELECT 'marker', unnest(['nie', 'ohne']), NULL)""",
+)
+def src9(spark, sf):
+    value = F.to_json(
+        F.struct(F.create_map("p_brand", F.col("p_size") / 4).alias("intensities"), F.array(F.upper(_part_word(1))).alias("markers"))
+    )
+    return readers.marker_rows(_part_files(spark, sf, value), {"mega": 2.0, "brand#1": 99.0}, ["nie", "ohne"])
+
+
 @query(
     "src10",
     """

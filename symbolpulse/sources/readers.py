@@ -6,6 +6,7 @@ does to the rows after reading is a function of its own (``*_rows``), from DataF
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import normal_word
+from ..functions.text import normal_form
 from ..operators.tables import first_per_key
 
 BARS = ["open", "high", "low", "close"]
@@ -213,6 +215,41 @@ def lexicon_json(spark: SparkSession, path: str, base: dict[str, int] | None = N
     return merged
 
 
+def lexicon_rows(text: DataFrame, base: dict[str, int] | None = None, markers: Iterable[str] = ()) -> DataFrame:
+    """``word, score`` of JSON objects ``{word: score}`` (``file, value``) added to ``base`` (SRC8).
+
+    Words are brought to their normal form, but for those of ``base`` and ``markers``.  The first
+    definition wins: ``base``, then files by name, then words as they stand.  Null scores are skipped.
+    For lexicons too large to travel in the plan; their rows join tokens as any table does.
+    """
+    base = base or {}
+    rows = text.select("file", F.posexplode(F.map_entries(F.from_json("value", "map<string, int>"))).alias("at", "entry"))
+    word = normal_form(F.lower("entry.key"), {*base, *markers})
+    rows = rows.select(word.alias("word"), F.col("entry.value").alias("score"), F.struct("file", "at").alias("place"))
+    added = rows.where(F.col("score").isNotNull() & ~F.col("word").isin(*base)).groupBy("word").agg(F.min_by("score", "place").alias("score"))
+    return added.unionByName(text.sparkSession.createDataFrame(list(base.items()), "word string, score int"))
+
+
+def marker_rows(text: DataFrame, intensities: dict[str, float] | None = None, markers: Iterable[str] = ()) -> DataFrame:
+    """``kind, word, weight`` of marker files ``{"intensities": {word: weight}, "markers": [word]}`` (SRC9).
+
+    ``text`` has ``file, value``.  Intensities override the given ones, the last file by name wins, and
+    a word that one file repeats takes its last weight; markers extend the given ones and have no weight.
+    """
+    spark = text.sparkSession
+    parsed = text.select("file", F.from_json("value", "intensities map<string, double>, markers array<string>").alias("c"))
+    given = spark.createDataFrame(list((intensities or {}).items()), "word string, weight double")
+    given = given.select("word", "weight", F.struct(F.lit(None).cast("string").alias("file"), F.lit(-1).alias("at")).alias("place"))
+    own = parsed.select("file", F.posexplode(F.map_entries("c.intensities")).alias("at", "entry"))
+    own = own.select(F.lower("entry.key").alias("word"), F.col("entry.value").alias("weight"), F.struct("file", "at").alias("place"))
+    weights = own.where("weight is not null").unionByName(given).groupBy("word").agg(F.max_by("weight", "place").alias("weight"))
+    named = parsed.select(F.explode("c.markers").alias("word")).where("word is not null")
+    named = named.unionByName(spark.createDataFrame([(m,) for m in markers], "word string")).select(F.lower("word").alias("word")).distinct()
+    return weights.select(F.lit("intensity").alias("kind"), "word", "weight").unionByName(
+        named.select(F.lit("marker").alias("kind"), "word", F.lit(None).cast("double").alias("weight"))
+    )
+
+
 def labelled_texts(spark: SparkSession, *paths: str) -> DataFrame:
     """Rows labelled positive or negative of CSV files (SRC10)."""
     raw = spark.read.schema("text string, label string").option("header", True).option("multiLine", True).csv(list(paths))

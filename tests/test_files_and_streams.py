@@ -68,6 +68,24 @@ def test_dictionaries_and_labels(spark, tmp_path):
         readers.security_master(spark, bad)
 
 
+def test_lexicons_and_markers_as_rows(spark):
+    files = spark.createDataFrame(
+        [("b", '{"Kaufst": 3, "neu": 1, "none": null}'), ("a", '{"kauft": 2, "Buy": 9, "heute": 4}'), ("c", None), ("d", "not json")], "file string, value string"
+    )
+    got = {tuple(r) for r in readers.lexicon_rows(files, {"buy": 1}, ["heute"]).collect()}
+    assert got == {("buy", 1), ("kaufen", 2), ("neu", 1), ("heute", 4)}
+    assert readers.lexicon_rows(files.limit(0)).count() == 0
+    configs = spark.createDataFrame(
+        [("b", '{"intensities": {"Mega": 5}, "markers": ["Nie", null]}'), ("a", '{"intensities": {"mega": 4, "super": 3}}'), ("c", "{}"), ("d", None)],
+        "file string, value string",
+    )
+    got = {tuple(r) for r in readers.marker_rows(configs, {"mega": 2.0, "strong": 2.0}, ["no", "nie"]).collect()}
+    assert got == {
+        ("intensity", "mega", 5.0), ("intensity", "super", 3.0), ("intensity", "strong", 2.0), ("marker", "nie", None), ("marker", "no", None)
+    }
+    assert readers.marker_rows(configs.limit(0)).count() == 0
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("B", 1.0), ("A", 2.0)], "ticker string, price double")
     writers.write_overview(rows, str(tmp_path / "csv"))
