@@ -58,9 +58,14 @@ def with_eur(prices: DataFrame, fx: DataFrame, pair: str = "EURUSD") -> DataFram
 
 
 def latest_rows(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Whole row with the greatest ``order`` per key, by partial aggregation (RNK1)."""
+    """Whole row with the greatest ``order`` per key, by partial aggregation (RNK1).
+
+    Of rows with the same ``order`` the one with the greatest other columns counts, in the order
+    they stand in, so the result does not hang on how rows are dealt to tasks.
+    """
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
+    place = F.when(F.col(order).isNotNull(), F.struct(order, *[c for c in rest if c != order]))
+    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), place).alias("_row"))
     return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 

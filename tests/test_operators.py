@@ -417,3 +417,14 @@ def test_recursive_means_equal_pandas(spark, monkeypatch, block_days):
             want = days["close"].astype(float).ewm(span=span, adjust=False).mean()
             np.testing.assert_allclose(days[name].astype(float), want, rtol=1e-11, atol=1e-11)
     assert features.with_macd(df.where("false")).count() == 0
+
+
+def test_latest_rows_settle_equal_times(spark):
+    at, rows = datetime(2024, 1, 2), []
+    for signal, confidence in (("buy", 0.4), ("sell", 0.1), ("sell", None), ("hold", 0.9)):
+        rows.append(("X", at, signal, confidence))
+    rows += [("X", at - timedelta(days=1), "zero", 1.0), ("X", None, "zero", 1.0), ("Y", None, "buy", 1.0)]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        made = spark.createDataFrame(order, "ticker string, as_of timestamp, signal string, confidence double").coalesce(1)
+        got = by(prices.latest_rows(made, ["ticker"], "as_of"), "ticker", "as_of", "signal", "confidence")
+        assert got == {"X": (at, "sell", 0.1), "Y": (None, None, None)}
