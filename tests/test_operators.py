@@ -428,3 +428,12 @@ def test_latest_rows_settle_equal_times(spark):
         made = spark.createDataFrame(order, "ticker string, as_of timestamp, signal string, confidence double").coalesce(1)
         got = by(prices.latest_rows(made, ["ticker"], "as_of"), "ticker", "as_of", "signal", "confidence")
         assert got == {"X": (at, "sell", 0.1), "Y": (None, None, None)}
+
+
+def test_names_that_begin_alike_meet_only_texts_they_stand_in(spark):
+    names = spark.createDataFrame([(f"S{i}", f"the w{i}") for i in range(800)], "symbol string, alias string")
+    posts = spark.createDataFrame([(i, "the other, the w7 the  w8 w9") for i in range(20)], "id int, text string")
+    prepared = mentions._Names(mentions.alias_patterns(names, "bucket"))
+    places = mentions._candidates(posts, prepared, "bucket", ["id"]).select("id", F.explode_outer(mentions._places(prepared)).alias("p"))
+    assert places.where("p IS NOT NULL").count() == 20
+    assert {r.symbol for r in mentions.alias_matches(posts, names, "bucket", ["id"]).collect()} == {"S7"}
