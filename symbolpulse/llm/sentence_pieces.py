@@ -23,7 +23,8 @@ from .common import batches_of, map_texts, spare
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
-BATCH_CHARS = 1 << 20
+# Texts that are encoded at once; a task holds some hundred bytes for each of these characters.
+BATCH_CHARS = 1 << 18
 RUN = 64
 KNOWN = 250_000
 
@@ -328,11 +329,13 @@ def decode_ids(ids: list[int], model: Pieces) -> str:
     return (joined[1:] if joined[:1] == b" " else joined).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the column ``ids`` (array of int) of each whole text.
 
     A null or empty text has no ids.  Other columns stay as they are; one named like
-    ``ids`` is replaced.  Rows are independent: repeated rows give repeated results.
+    ``ids`` is replaced.  Rows are independent: repeated rows give repeated results.  ``decoded`` names a column for
+    the text that the ids decode to, as :func:`decode` gives it, from the same Python process: a second one for each
+    core would hold the model once more.
     """
     model = docs.sparkSession.sparkContext.broadcast(load_pieces(model_file))
 
@@ -343,12 +346,16 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids
             for a, b in batches_of([len(t) for t in own], BATCH_CHARS):
                 flat, counts = encoder.texts(own[a:b])
                 offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
-                arrays = batch.slice(a, b - a).columns[:-1]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(offsets, pa.array(flat))], names)
-
-    kept = docs.drop(ids)
-    names = [*kept.columns, ids]
-    shape = kept.withColumn(ids, F.array().cast("array<int>")).schema
+                arrays = [*batch.slice(a, b - a).columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(flat))]
+                if decoded:
+                    arrays.append(pa.array(decode_flat(flat, counts, model.value), pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    made = [ids, decoded] if decoded else [ids]
+    kept = docs.drop(*made)
+    names = [*kept.columns, *made]
+    shape = kept.withColumn(ids, F.array().cast("array<int>"))
+    shape = (shape.withColumn(decoded, F.lit("")) if decoded else shape).schema
     return map_texts(docs.select(*kept.columns, F.col(text).alias(spare(docs, "_text"))), run, shape)
 
 

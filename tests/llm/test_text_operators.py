@@ -257,3 +257,12 @@ def test_decode_of_odd_id_lists(spark):
     twice = {r.doc_id: r.decoded for r in sentence_pieces.decode(df.where("doc_id <> 3 and doc_id <> 4"), piece_model()).collect()}
     assert got[1] == got[2] == got[3] == "" and got[5] == "�" and got[6] == "é" and len(got[4]) > 1
     assert all(got[k] == v for k, v in twice.items())
+
+
+def test_ids_and_their_text_from_one_process(spark):
+    texts = [None, "", "two  words\n", "é\U0001f600 " * 50, "x" * 300_000, "tail"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    both = sentence_pieces.encode(df, piece_model(), decoded="said")
+    apart = sentence_pieces.decode(sentence_pieces.encode(df, piece_model()), piece_model(), text="said")
+    assert {r.doc_id: r for r in both.collect()} == {r.doc_id: r for r in apart.select(*both.columns).collect()}
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
