@@ -5,8 +5,8 @@ shingle picks a bin and a value; the least value of a bin is the signature, and
 borrow by optimal densification: each probes its own pseudorandom sequence of bins.  Bands
 of the signature form buckets; in a bucket all members are compared with one center, so a
 bucket of n members has n - 1 candidates.  Candidates are confirmed on the full sets.
-Members that a center does not hold are compared with further centers, round by round; what
-the rounds leave apart is compared by an exact prefix-filter join.
+Buckets of three or more whose center does not hold all members are compared further by an
+exact prefix-filter join.
 """
 
 from __future__ import annotations
@@ -227,74 +227,47 @@ def _relabelled(nodes: DataFrame, moved: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """``node, comp`` of the bucket members (``key, node, n, size`` of the bucket).
 
-    A round compares the members of each bucket with one center: the most central open member,
-    the one whose buckets hold the most members.  Copies with edits of their own are nearest to
-    such a center, so a member that it does not hold is rarely held by another.  Members that
-    stay apart from it are open and give the next center.  Components are kept in one row for each
-    node, and a bucket goes for good when all its members are in the component of its center,
-    so a round touches only buckets that hold several components.  Rounds end when no member is
-    open or, from the third on, when one links nothing; what the buckets then still hold
-    goes to :func:`_finished`, so when the rounds end decides the work, not the result.
+    The members of each bucket are compared once with its most central one, the one whose buckets
+    hold the most members.  Copies with edits of their own are nearest to such a center, so a member
+    that it does not hold is rarely held by another.  A bucket of two is settled by that; members
+    of larger buckets that then still hold several components go to :func:`_finished`.
     """
     whole = Window.partitionBy("node")  # a node has one row for each band
-    rows = members.withColumn("deg", F.sum("size").over(whole)).withColumns({"comp": F.col("node"), "open": F.lit(True)})
-    rows = stored(rows.select("key", "node", "n", "size", "deg", "comp", "open"), "bucket-members")
-    nodes = stored(rows.groupBy("node").agg(F.max("n").alias("n"), F.min("comp").alias("comp")), "nodes")
+    rows = stored(members.withColumn("deg", F.sum("size").over(whole)).select("key", "node", "n", "size", "deg"), "bucket-members")
+    nodes = stored(rows.groupBy("node").agg(F.max("n").alias("n")).withColumn("comp", F.col("node")), "nodes")
     sources = classes.join(nodes.select(F.col("node").alias("set_id")), "set_id", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.join(sources.hint("shuffle_hash"), "doc_id", "left_semi")
     sets = full_sets(texts, width).select("node", "shingles").join(nodes.select("node").hint("shuffle_hash"), "node", "left_semi")
     sets = stored(sets.dropDuplicates(["node"]), "full-sets")
-    turn = 1
-    while True:
-        center = F.max(F.struct("deg", "node", "n", "comp"))
-        first = rows.where("open").groupBy("key").agg(center.alias("center"), F.first("size").alias("m"))
-        at = first.select("key", "m", F.col("center.node").alias("_c"), F.col("center.comp").alias("_comp"), F.col("center.n").alias("_n"))
-        at = stored(at, "stars")
-        near = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
-        pairs = join_counted(rows, at, ["key"], "m").where(near & (F.col("comp") != F.col("_comp"))).select(
-            F.col("node").alias("a"), F.col("_c").alias("b"), F.col("comp").alias("ca"), F.col("_comp").alias("cb")
-        )
-        held = stored(confirmed(stored(pairs.distinct(), "candidates"), sets, percent), "confirmed")
-        idle = held.isEmpty()
-        if not idle:
-            moved = stored(components(held.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "moved")
-            nodes = _relabelled(nodes, moved)
-        rows = stored(_split_buckets(rows, at, held, nodes), "bucket-members")
-        turn += 1
-        if turn > 3 and idle or rows.where("open").isEmpty():
-            return _finished(rows, nodes, sets, percent)
+    first = rows.groupBy("key").agg(F.max(F.struct("deg", "node", "n")).alias("center"), F.first("size").alias("m"))
+    at = stored(first.select("key", "m", F.col("center.node").alias("_c"), F.col("center.n").alias("_n")), "stars")
+    near = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
+    pairs = join_counted(rows, at, ["key"], "m").where(near & (F.col("node") != F.col("_c"))).select(F.col("node").alias("a"), F.col("_c").alias("b"))
+    held = stored(confirmed(stored(pairs.distinct(), "candidates"), sets, percent), "confirmed")
+    if not held.isEmpty():
+        nodes = _relabelled(nodes, stored(components(held), "moved"))
+    return _finished(_undecided(rows, nodes), nodes, sets, percent)
 
 
-def _split_buckets(rows: DataFrame, at: DataFrame, held: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several components, with components as ``nodes`` has them.
+def _undecided(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members (``node``) of the buckets of three or more that hold several components of ``nodes``."""
+    large = rows.where("size > 2").select("key", "node").join(nodes.select("node", "comp"), "node")
+    split = large.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m"))
+    split = stored(split.where("low <> high").select("key", "m"), "split")
+    return join_counted(rows.select("key", "node"), split, ["key"], "m").select("node").distinct()
 
-    Members that the center holds need no second look; the others are apart if their component is
-    not the center's.  A bucket without a center was split before and stays.
-    """
-    comps = nodes.select("node", "comp")
-    centers = at.select("key", "m", "_c").join(comps.select(F.col("node").alias("_c"), F.col("comp").alias("_comp")), "_c")
-    plain = rows.drop("comp")
-    starred = join_counted(plain, stored(centers, "stars"), ["key"], "m", "left")
-    others = starred.where("_c is null or node <> _c")
-    loose = others.join(held.select(F.col("a").alias("node"), F.col("b").alias("_c")), ["node", "_c"], "left_anti")
-    apart = loose.join(comps, "node").where("_c is null or comp <> _comp")
-    split = apart.groupBy("key").agg(F.first("size").alias("m"), F.first("_c").alias("_c"), F.first("_comp").alias("_comp"))
-    judged = join_counted(plain, stored(split, "split"), ["key"], "m").join(comps, "node")
-    still = F.col("open") & (F.col("node") != F.col("_c")) & (F.col("comp") != F.col("_comp"))
-    return judged.withColumn("open", F.coalesce(still, F.lit(False))).select("key", "node", "n", "size", "deg", "comp", "open")
-
-
-def _finished(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``node, comp`` after the links that the rounds of stars did not compare.
-
-    Such a pair shares a bucket that still holds several components, and ``rows`` are the members
+
+def _finished(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``node, comp`` after the links that the stars did not compare.
+
+    Such a pair shares a bucket that still holds several components, and ``members`` are those
     of these buckets.  They meet by a prefix filter, which loses no pair: with shingles in one order, rarest first,
     two sets that share ``percent`` of their union share a shingle in the first
     n - ceil(percent * n / 100) + 1 of each, and behind the first shared one enough must be
     left on both sides.
     """
     named = nodes.select("node", "comp")
-    left = stored(nodes.join(rows.select("node").distinct().hint("shuffle_hash"), "node", "left_semi"), "apart")
+    left = stored(nodes.join(members.hint("shuffle_hash"), "node", "left_semi"), "apart")
     if left.isEmpty():
         return named
     pairs = _prefix_pairs(left, sets, percent)

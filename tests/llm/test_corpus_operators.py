@@ -144,6 +144,23 @@ def test_near_duplicates_behind_a_template(spark):
     assert {r.doc_id: r.component_id for r in rows} == {i: i - 1 if (i - 1, i) in near else i for i in range(len(pages))}
 
 
+def test_near_duplicates_compare_a_bucket_once(spark, monkeypatch):
+    """A template's bucket is read once, however many of its pages link with nothing, and its hidden pairs are found."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    template = [word() for _ in range(300)]
+    pages = [template + [word() for _ in range(50)] for _ in range(30)]
+    for _ in range(5):
+        own = [word() for _ in range(45)]
+        pages += [template + own + [word() for _ in range(5)] for _ in range(2)]
+    written = []
+    monkeypatch.setattr(minhash_dedup, "stored", lambda df, name, plain=minhash_dedup.stored: (written.append(name), plain(df, name))[1])
+    docs = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(pages)], "doc_id bigint, text string")
+    found = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs, percent=90).collect()}
+    assert found == {i: i - 1 if i > 30 and i % 2 else i for i in range(40)}
+    assert written.count("bucket-members") == written.count("stars") == 1
+
+
 def _passages(texts, least):
     holders = collections.defaultdict(set)
     for i, t in enumerate(texts):
