@@ -146,36 +146,17 @@ def neighbours(rows: DataFrame) -> DataFrame:
     order = ["head", "whole", "doc_id"]
     sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     found = stored(sorted_.select("doc_id", "low", "high", "head", "whole").mapInArrow(_compare, NEIGHBOURS), "neighbours")
-    pieces = found.where("cut")
-    # A partition has two ends, so these are two groups for each partition at most.
-    heads = pieces.groupBy("head").agg(
-        F.min("head_first"), F.max("head_last"), (F.max("contested") | (F.min("whole") != F.max("whole"))).cast("long")
-    )
-    wholes = pieces.where("whole_cut").groupBy("whole", "head").agg(F.min("whole_first"), F.max("whole_last"))
-    mended = _mended(pieces, [tuple(r) for r in heads.collect()], [tuple(r) for r in wholes.collect()])
-    return found.where("not cut").unionByName(mended).drop("cut", "whole_cut").where("head_first <> head_last")
-
-
-def _mended(pieces: DataFrame, heads: list[tuple], wholes: list[tuple]) -> DataFrame:
-    """Rows of cut groups with what is known of the whole group."""
-    head_table = np.array(sorted(heads), np.int64).reshape(-1, 4)
-    whole_table = {(w, h): (first, last) for w, h, first, last in wholes}
-    names = pieces.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = dict(zip(names, batch.columns, strict=True))
-            at = np.searchsorted(head_table[:, 0], columns["head"].to_numpy())
-            first, last = (columns[c].to_numpy().copy() for c in ("whole_first", "whole_last"))
-            ends = zip(columns["whole"].to_pylist(), columns["head"].to_pylist(), columns["whole_cut"].to_pylist(), strict=True)
-            for i, (whole, head, cut) in enumerate(ends):
-                if cut:
-                    first[i], last[i] = whole_table[whole, head]
-            columns |= {"head_first": pa.array(head_table[at, 1]), "head_last": pa.array(head_table[at, 2])}
-            columns |= {"contested": pa.array(head_table[at, 3] > 0), "whole_first": pa.array(first), "whole_last": pa.array(last)}
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
-
-    return pieces.mapInArrow(run, pieces.schema)
+    # A partition has two ends, so these are two groups for each partition at most; that bound allows their broadcast.
+    heads = found.where("cut").groupBy("head").agg(
+        F.min("head_first").alias("_first"), F.max("head_last").alias("_last"),
+        (F.max("contested") | (F.min("whole") != F.max("whole"))).alias("_contested"),
+    )
+    wholes = found.where("whole_cut").groupBy("head", "whole").agg(F.min("whole_first").alias("_from"), F.max("whole_last").alias("_to"))
+    # All rows of a cut group are marked, so the others find no partner and keep what they know.
+    told = found.join(F.broadcast(heads), ["head"], "left").join(F.broadcast(wholes), ["head", "whole"], "left")
+    mended = {"head_first": "_first", "head_last": "_last", "contested": "_contested", "whole_first": "_from", "whole_last": "_to"}
+    known = [F.coalesce(mended[c], c).alias(c) if c in mended else F.col(c) for c in found.columns if c not in ("cut", "whole_cut")]
+    return told.select(*known).where("head_first <> head_last")
 
 
 def _windows(docs: DataFrame, stretches: DataFrame, least: int) -> DataFrame:

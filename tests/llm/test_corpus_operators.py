@@ -161,6 +161,28 @@ def test_near_duplicates_compare_a_bucket_once(spark, monkeypatch):
     assert written.count("bucket-members") == written.count("stars") == 1
 
 
+def test_neighbours_of_a_group_over_many_partitions(spark):
+    """Groups that partition bounds cut know their whole extent, by a join that keeps every row once."""
+    rows = [(i, 0, 5, 7, 40 + (i > 250)) for i in range(300)] + [(i, 9, 9, 1000 + i // 2, i // 2) for i in range(300)] + [(5, 50, 50, 1, 1), (5, 60, 60, 1, 1)]
+    table = spark.createDataFrame(rows, "doc_id bigint, low int, high int, head bigint, whole bigint")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = suffix_dedup.neighbours(table)
+        got = sorted(tuple(r) for r in found.drop("contested").collect())
+        contested = {(r.head, r.contested) for r in found.collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    large = [(i, 0, 5, 7, 41, 0, 299, 251, 299) if i > 250 else (i, 0, 5, 7, 40, 0, 299, 0, 250) for i in range(300)]
+    small = [(i, 9, 9, 1000 + i // 2, i // 2, *[i // 2 * 2, i // 2 * 2 + 1] * 2) for i in range(300)]
+    assert got == sorted(large + small)
+    assert contested == {(7, True)} | {(1000 + i, False) for i in range(150)}
+    assert "MapInArrow" not in plan
+
+
 def _passages(texts, least):
     holders = collections.defaultdict(set)
     for i, t in enumerate(texts):
