@@ -437,3 +437,29 @@ def test_names_that_begin_alike_meet_only_texts_they_stand_in(spark):
     places = mentions._candidates(posts, prepared, "bucket", ["id"]).select("id", F.explode_outer(mentions._places(prepared)).alias("p"))
     assert places.where("p IS NOT NULL").count() == 20
     assert {r.symbol for r in mentions.alias_matches(posts, names, "bucket", ["id"]).collect()} == {"S7"}
+
+
+def test_posts_and_their_tags_are_not_shuffled_word_by_word(spark):
+    at = datetime(2024, 1, 1)
+    rows = [(str(i), at + timedelta(hours=i), t) for i, t in enumerate(MIXED)]
+    names = spark.createDataFrame(NAMED, "symbol string, alias string")
+    posts = spark.createDataFrame(rows, "id string, created_utc timestamp, text string")
+    tags = spark.createDataFrame([("ZED", at)], "symbol string, tagged_at timestamp")
+    found = mentions.tag_words(posts, tags, ["id"])
+    assert sorted(map(tuple, found.collect())) == [("4", "ZED", at)]
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    once = {tuple(r) for r in mentions.symbol_mentions(posts, names).collect()}
+    # A post that comes twice counts once, also with other texts.
+    other = spark.createDataFrame([("3", at + timedelta(hours=3), "$zed zed"), ("4", at + timedelta(hours=4), "again zed")], posts.schema)
+    twice = mentions.symbol_mentions(posts.unionByName(posts).unionByName(other), names).collect()
+    assert len(twice) == len(once) and {tuple(r) for r in twice} == once
+
+
+def test_large_tag_tables_meet_words_by_a_shuffle(spark, monkeypatch):
+    at = datetime(2024, 1, 1)
+    posts = spark.createDataFrame([(str(i), f"w{i % 7} Tag{i} tag{i} #tag{i + 1}") for i in range(50)], "id string, text string")
+    tags = spark.createDataFrame([(f"TAG{i}", at) for i in range(50)], "symbol string, tagged_at timestamp")
+    few = sorted(map(tuple, mentions.tag_words(posts, tags, ["id"]).collect()))
+    monkeypatch.setattr(mentions, "TAG_BYTES", 0)
+    assert few == sorted((str(i), f"TAG{i}", at) for i in range(50))
+    assert sorted(map(tuple, mentions.tag_words(posts, tags, ["id"]).collect())) == few
