@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symbolpulse import schemas
+from symbolpulse.plans import catalog
 from symbolpulse.operators import evaluation, features, lists, mentions, prices, ranks, rollups, scoring, tables, training, trends
 
 POSTS = "id string, created_utc timestamp, text string"
@@ -463,3 +464,15 @@ def test_large_tag_tables_meet_words_by_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(mentions, "TAG_BYTES", 0)
     assert few == sorted((str(i), f"TAG{i}", at) for i in range(50))
     assert sorted(map(tuple, mentions.tag_words(posts, tags, ["id"]).collect())) == few
+
+
+def test_words_get_their_normal_form_once(spark, tmp_path):
+    texts = ["$abc, x.y;\nZed the abc", "#Brk.b! brk-b 12 \tq.\n", None, ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows.withColumns({c: F.lit(c) for c in ("source", "lang")}).write.parquet(str(tmp_path / "documents.parquet"))
+    strict, loose = (catalog.QUERIES[name](spark, str(tmp_path)) for name in ("sym4", "sym5"))
+    assert by(strict, "symbol", "n") == {"ABC": 2, "BRK.B": 1, "Q": 1}
+    assert by(loose, "symbol", "n") == {"ABC": 2, "BRK.B": 1, "BRK-B": 1, "Q": 1}
+    for got in (strict, loose):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Filter" in line and "upper" in line]
