@@ -476,3 +476,61 @@ def test_words_get_their_normal_form_once(spark, tmp_path):
     for got in (strict, loose):
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert not [line for line in plan.splitlines() if "Filter" in line and "upper" in line]
+
+
+def _ticker_rows(spark):
+    rng, rows = random.Random(9), []
+    for ticker, n in (("A", 1), ("B", 90), (None, 6), ("C", 30), ("D", 4)):
+        for i in range(n):
+            odd = rng.choice([None, 0.0, float("nan")]) if ticker == "C" else rng.choice([None, 5.0, 5.0])
+            values = [odd if rng.random() < 0.2 else rng.uniform(-5, 100) for _ in range(3)]
+            rows.append((ticker, date(2024, 1, 1) + timedelta(days=2 * i), *values))
+    return spark.createDataFrame(rows, "ticker string, date date, close double, sentiment double, volume double").repartition(4)
+
+
+def _windows():
+    """The features as sliding windows."""
+    back = lambda n: prices.by_day().rowsBetween(-n, -1)
+    over = lambda agg, c, n, least: F.when(F.count(c).over(back(n)) >= least, agg(c).over(back(n)))
+    pair = F.when(F.col("_ret").isNotNull(), F.col("sentiment"))
+    spread = F.stddev_pop("_ret").over(back(7)) * F.stddev_pop(pair).over(back(7))
+    varies = [F.max(c).over(back(7)) > F.min(c).over(back(7)) for c in (F.col("_ret"), pair)]
+    corr = F.try_divide(F.covar_pop("_ret", "sentiment").over(back(7)), spread)
+    close = lambda k: F.lag("close", k).over(prices.by_day())
+    gain, loss = over(F.avg, "_gain", 14, 3), over(F.avg, "_loss", 14, 3)
+    return {
+        "volume_lag2": F.lag("volume", 2).over(prices.by_day()),
+        "close_ma3": over(F.avg, "close", 3, 1),
+        "close_std7": over(F.stddev_samp, "close", 7, 3),
+        "sentiment_std3": over(F.stddev_samp, "sentiment", 3, 2),
+        "sentiment_momentum7": over(F.sum, "_dsent", 7, 1),
+        "return_10d": F.try_divide(close(1), close(11)) - 1,
+        "price_sentiment_corr7": F.when((F.count("_ret").over(back(7)) >= 3) & varies[0] & varies[1], corr),
+        "rsi": 100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(gain, loss)),
+        "bb_lower": over(F.avg, "close", 20, 5) - 2 * over(F.stddev_samp, "close", 20, 5),
+    }
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_features_equal_windows(spark, batch):
+    stepped, windows = features.stepped_frame(_ticker_rows(spark)), _windows()
+    groups = features.feature_groups(stepped)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        key = lambda r: (str(r.ticker), r.date)
+        got = sorted(features.feature_rows(stepped, {n: groups[n] for n in windows}).collect(), key=key)
+        want = sorted(stepped.select("ticker", "date", *[w.alias(n) for n, w in windows.items()]).collect(), key=key)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert len(got) == len(want) == 136 and [key(r) for r in got] == [key(r) for r in want]
+    for a, b in zip(got, want):
+        for name in windows:
+            assert (a[name] is None) == (b[name] is None), (a, b, name)
+            if b[name] is not None:
+                assert a[name] == pytest.approx(b[name], rel=1e-12, abs=1e-12, nan_ok=True), (a, b, name)
+
+
+def test_feature_frame_adds_up_no_sliding_windows(spark):
+    wide = features.feature_frame(_ticker_rows(spark))
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "RowFrame, -7" not in plan and "RowFrame, -3" not in plan and plan.count("Exchange hashpartitioning(ticker") == 1
