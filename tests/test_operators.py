@@ -534,3 +534,23 @@ def test_feature_frame_adds_up_no_sliding_windows(spark):
     wide = features.feature_frame(_ticker_rows(spark))
     plan = wide._jdf.queryExecution().executedPlan().toString()
     assert "RowFrame, -7" not in plan and "RowFrame, -3" not in plan and plan.count("Exchange hashpartitioning(ticker") == 1
+
+
+def test_bucket_posts_score_a_post_once(spark):
+    at, calls = datetime(2024, 1, 1), spark.sparkContext.accumulator(0)
+
+    def score(text):
+        @F.pandas_udf("double")
+        def length(texts: pd.Series) -> pd.Series:
+            calls.add(len(texts))
+            return texts.str.len().astype(float)
+
+        return length(text)
+
+    rows = [("1", at, "t", "aa bb cc", 1, 1), ("1", at, "t", "aa again", 1, 1), ("2", at, "t", "cc", 1, 1), ("3", at, "t", "none", 1, 1)]
+    posts = spark.createDataFrame(rows, "id string, created_utc timestamp, title string, text string, upvotes int, num_comments int")
+    names = spark.createDataFrame([(n.upper(), n) for n in ("aa", "bb", "cc")], "ticker string, alias string")
+    got = mentions.bucket_posts(posts, names.select("ticker"), names, score=score)
+    assert got.columns == ["ticker", "id", "created_utc", "text", "upvotes", "num_comments", "sentiment"]
+    want = [(s, "1", n) for s in ("AA", "BB", "CC") for n in (10.0, 10.0)] + [("CC", "2", 4.0)]
+    assert sorted((r.ticker, r.id, r.sentiment) for r in got.collect()) == want and calls.value == 3
