@@ -554,3 +554,20 @@ def test_bucket_posts_score_a_post_once(spark):
     assert got.columns == ["ticker", "id", "created_utc", "text", "upvotes", "num_comments", "sentiment"]
     want = [(s, "1", n) for s in ("AA", "BB", "CC") for n in (10.0, 10.0)] + [("CC", "2", 4.0)]
     assert sorted((r.ticker, r.id, r.sentiment) for r in got.collect()) == want and calls.value == 3
+
+
+def test_market_frame_is_joined_where_trades_were_dealt_to(spark, tmp_path):
+    from symbolpulse.plans import feature_queries, views
+
+    day = datetime(2024, 1, 1)
+    rows = [(i, 1, s, i, 2.0, 100.0 + i, 0.01 * i, d) for i, (s, d) in enumerate([(1, day), (1, day), (2, day), (1, day + timedelta(days=1)), (None, day), (2, None)])]
+    kind = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_shipdate timestamp"
+    spark.createDataFrame([*rows, rows[0]], kind).write.parquet(f"{tmp_path}/lineitem.parquet")
+    key = lambda r: str(tuple(r))
+    for view in (views.prices, views.market_daily):
+        assert sorted(view(spark, str(tmp_path), dealt=True).collect(), key=key) == sorted(view(spark, str(tmp_path)).collect(), key=key)
+    frame = feature_queries.frame(spark, str(tmp_path))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("REPARTITION_BY_COL") == 2
+    got = {(r.ticker, str(r.date)): (r.open, r.close, r.volume, r.sentiment) for r in frame.collect()}
+    assert got[("S1", "2024-01-01")] == (100.0, 101.0, 6, pytest.approx(-0.933333)) and len(got) == 5
