@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 from ..operators import lists, overview, prices, rollups, scoring, tables, trends
+from ..operators.storage import stored
 from . import views as V
 from .price_queries import AHEAD, MARKET_ENRICHED, WEEKLY, market_enriched
 from .registry import query
@@ -556,6 +557,10 @@ def ovw1(spark, sf):
 )
 def ovw2(spark, sf):
     symbols, price, fx, signal, daily, hourly, trend, rows = _sides(spark, sf)
+    # Five sides read the closes and three the daily sentiment, all by ticker: both are made once.
+    price = tables.gathered(stored(price.select("date", "ticker", "close"), "closes"), ["ticker"], ["date", "close"])
+    mood = ["date", "sentiment_dict", "sentiment_weighted", "posts"]
+    daily = tables.gathered(stored(daily, "moods"), ["ticker"], mood)
     names = V.watchlist(spark, sf).select(F.col("symbol").alias("ticker"), F.col("note").alias("alias"))
     state = V.load(spark, sf, "supplier").select(
         F.concat(F.lit("S"), F.col("s_suppkey")).alias("ticker"),

@@ -1,5 +1,6 @@
 """Small cases with known results, and brute-force twins of the scaled operators."""
 
+import os
 import random
 import re
 import statistics
@@ -571,3 +572,26 @@ def test_market_frame_is_joined_where_trades_were_dealt_to(spark, tmp_path):
     assert plan.count("Exchange hashpartitioning") == 2 and plan.count("REPARTITION_BY_COL") == 2
     got = {(r.ticker, str(r.date)): (r.open, r.close, r.volume, r.sentiment) for r in frame.collect()}
     assert got[("S1", "2024-01-01")] == (100.0, 101.0, 6, pytest.approx(-0.933333)) and len(got) == 5
+
+
+def test_gathered_rows_share_one_shuffle(spark):
+    day = date(2024, 1, 1)
+    rows = [("A", day, 1.5, 2, True), ("A", day, 1.5, 2, True), ("A", None, None, None, None), ("B", day, -0.0, 2**40, False), (None, day, 3.0, 1, None)]
+    df = spark.createDataFrame(rows, "ticker string, date date, close double, posts long, flag boolean")
+    got = tables.gathered(df, ["ticker"], ["date", "close", "posts", "flag"])
+    assert got.dtypes == df.dtypes and sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
+    last = got.where("flag").groupBy("ticker").agg(F.max("close").alias("last"))
+    move = got.select("ticker", (F.col("close") - F.lag("close").over(prices.by_day())).alias("move"))
+    plan = last.join(move.hint("merge"), "ticker")
+    assert len(plan.collect()) == 3
+    text = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert sum("Exchange hashpartitioning" in line and "Reused" not in line for line in text.splitlines()) == 1
+
+
+def test_overview_makes_bars_once(spark, tmp_path):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    plan = catalog.QUERIES["ovw2"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    # The line items of the posts and trends are left, not those of the bars.
+    assert plan.count("l_extendedprice") == 0 and "closes-" in plan
