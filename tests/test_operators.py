@@ -595,3 +595,21 @@ def test_overview_makes_bars_once(spark, tmp_path):
     plan = catalog.QUERIES["ovw2"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     # The line items of the posts and trends are left, not those of the bars.
     assert plan.count("l_extendedprice") == 0 and "closes-" in plan
+
+
+def test_many_names_meet_texts_in_one_shuffle(spark, monkeypatch):
+    texts = ["the red fox and the red fox", "a red  fox, the red fox", "the red", "red fox the", "(the red) fox", None, "", "Fox"]
+    posts = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)], "id int, text string")
+
+    def found(names, small):
+        monkeypatch.setattr(mentions, "BROADCAST_BYTES", 1 << 20 if small else 0)
+        table = spark.createDataFrame([(n.upper(), n) for n in names], "symbol string, alias string")
+        return {rule: mentions.alias_matches(posts, table, rule, ["id"]) for rule in ("bucket", "trend")}
+
+    bare = ["the red", "red fox", "the red fox", "fox"]
+    for names in (bare, [*bare, "(the red)", "fox,"]):
+        for rule, hits in found(names, True).items():
+            want = sorted(map(tuple, hits.collect()))
+            assert len(want) > 4 and want == sorted(map(tuple, found(names, False)[rule].collect()))
+    plan = found(bare, False)["bucket"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 3  # names, places, hits
