@@ -59,8 +59,9 @@ def _cells(classes: DataFrame, pivots: dict[int, np.ndarray], r: float) -> DataF
                     rows = part.iloc[at : at + 2000]
                     yield _placed(rows, p, r)
 
+    kind = classes.schema["embedding"].dataType.simpleString()
     return classes.select("dims", "same", "n", "embedding").mapInPandas(
-        place, "dims int, cell int, home boolean, same string, n long, embedding array<double>"
+        place, f"dims int, cell int, home boolean, same string, n long, embedding {kind}"
     )
 
 
@@ -151,11 +152,14 @@ def near_embeddings(vectors: DataFrame, least: float = 0.95, most_pivots: int =
     linked, not ids.  Only these two columns are read, so others may have any name.
     """
     r = math.sqrt(2 - 2 * least)
+    # Copies of a vector go to many pairs of blocks; floats travel as floats and become doubles where they are compared.
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
     rows = stored(
         vectors.select(
             F.col("vec_id").cast("long").alias("vec_id"),
-            F.when(linkable(F.col("embedding")) & F.col("vec_id").isNotNull(), F.col("embedding").cast("array<double>")).alias("embedding"),
-        ).withColumn("same", F.md5(F.col("embedding").cast("string"))),
+            F.when(linkable(F.col("embedding")) & F.col("vec_id").isNotNull(), F.col("embedding").cast(kind)).alias("embedding"),
+        ).withColumn("same", F.md5(F.col("embedding").cast("array<double>").cast("string"))),
         "vectors",
     )
     good = rows.where("embedding is not null")

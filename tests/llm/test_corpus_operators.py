@@ -335,3 +335,22 @@ def test_pipeline(spark):
     tokens = run(corpus_pipeline.tokenize, mixed)
     assert {r.doc_id: r.decoded for r in tokens.collect()} == {r.doc_id: r.text for r in mixed.collect()}
     assert tokens.where("n_tokens <> size(ids)").count() == 0
+
+
+def test_embeddings_of_floats_travel_as_floats(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(12, 5)).astype(np.float32)
+    vectors = [(i, [float(x) for x in v]) for i, v in enumerate([*base, *base[:5], *(base[:6] + np.float32(0.01))])] + [(90, None), (91, [0.0] * 5)]
+    sent, tasks = [], embedding_join._tasks
+
+    def seen(cells, block):
+        sent.append(dict(cells.dtypes)["embedding"])
+        return tasks(cells, block)
+
+    monkeypatch.setattr(embedding_join, "_tasks", seen)
+    got = {}
+    for kind in ("array<float>", "array<double>", "array<decimal(20,15)>"):
+        rows = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("embedding", F.col("embedding").cast("array<float>").cast(kind))
+        got[kind] = sorted(map(tuple, embedding_join.near_embeddings(rows, block=4).collect()))
+    assert sent == ["array<float>", "array<double>", "array<double>"]
+    assert len(got["array<float>"]) == 25 and got["array<float>"] == got["array<double>"] and sum(r[1] for r in got["array<float>"]) >= 20
